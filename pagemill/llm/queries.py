@@ -6,11 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.functions_docs import documented_functions
+from pagemill.llm.generated import machine_files
 from pagemill.llm.leakage import leaked_items
 from pagemill.llm.licenses import license_verdicts
+from pagemill.llm.syntax import invalid_files, invalid_rates
 from pagemill.tables import table
 
 
+def _machine(spark: SparkSession, d: str) -> DataFrame:
+    return machine_files(
+        table(spark, d, "definitions", "identity", "language", "kind", "source"), table(spark, d, "locations", "identity", "repo", "sha", "path", "symbol")
+    )
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _machine(spark, d).select("repo", "sha", "path").distinct()
+
+
+def p2_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _machine(spark, d).groupBy("repo", "verdict").agg(F.count("*").alias("files"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "definitions", "identity", "language", "kind", "name", "signature", "docstring", "source")
     return documented_functions(pages, code=False).where("not trivial").select("identity").distinct()
@@ -21,6 +37,22 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return documented_functions(pages).where("not trivial").drop("trivial").dropDuplicates(["identity"])
 
 
+def _invalid(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_files(
+        table(spark, d, "definitions", "identity", "language", "kind", "source"),
+        table(spark, d, "locations", "identity", "repo", "sha", "path", "symbol"),
+        table(spark, d, "revisions", "repo", "sha", "skipped"),
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _invalid(spark, d).select("repo", "sha", "path").distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_rates(_invalid(spark, d), table(spark, d, "revisions", "repo", "sha", "files"))
+
+
 def _licenses(spark: SparkSession, d: str) -> DataFrame:
     return license_verdicts(
         table(spark, d, "definitions", "identity", "language", "kind", "source"),
@@ -54,6 +86,6 @@ _RUNS = """WITH i AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(
     ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') r FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) k FROM i)),
     dr AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) k FROM d))"""
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p7_found, p7_licenses, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_verdicts, p3_found, p3_pairs, p5_found, p5_rates, p7_found, p7_licenses, p8_found, p8_items)}
 
 SQL = {"p8_found": f"{_RUNS} SELECT DISTINCT doc_id, item_id FROM ir JOIN dr USING (r)"}
