@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.abuse import REVIEW, abuse_rates, abuse_scores
 from pagemill.llm.functions_docs import documented_functions
 from pagemill.llm.generated import machine_files
 from pagemill.llm.leakage import leaked_items
 from pagemill.llm.licenses import license_verdicts
+from pagemill.llm.mixing import counted, mix_rates, mix_report, mixed
 from pagemill.llm.syntax import invalid_files, invalid_rates
 from pagemill.tables import table
 
@@ -80,12 +82,39 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("words").alias("longest"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    counts = counted(table(spark, d, "documents", "doc_id", "text", "source"))
+    rates = mix_rates(counts, table(spark, d, "mix_targets", "mix", "source", "share", "max_repeats"))
+    return mixed(counts, rates).select("mix", "doc_id", "copies")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    counts = counted(table(spark, d, "documents", "doc_id", "text", "source"))
+    return mix_report(counts, table(spark, d, "mix_targets", "mix", "source", "share", "max_repeats"))
+
+
+def _abuse(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "labels", "doc_id", "annotator", "toxic"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).where(F.col("score") >= REVIEW).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_rates(_abuse(spark, d), table(spark, d, "documents", "doc_id", "source"))
+
+
 #: runs of words by position, joined on the whole run; the Spark side scans with an automaton instead
 _RUNS = """WITH i AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' +', ' ', 'g')), ' ') w FROM benchmark),
     d AS (SELECT DISTINCT doc_id, string_split(trim(regexp_replace(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' +', ' ', 'g')), ' ') w FROM documents WHERE length(text) > 0),
     ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') r FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) k FROM i)),
     dr AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) k FROM d))"""
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_verdicts, p3_found, p3_pairs, p5_found, p5_rates, p7_found, p7_licenses, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_verdicts, p3_found, p3_pairs, p5_found, p5_rates, p7_found, p7_licenses, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 SQL = {"p8_found": f"{_RUNS} SELECT DISTINCT doc_id, item_id FROM ir JOIN dr USING (r)"}
