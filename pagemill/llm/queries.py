@@ -11,10 +11,19 @@ from pagemill.llm.generated import machine_files
 from pagemill.llm.leakage import leaked_items
 from pagemill.llm.licenses import license_verdicts
 from pagemill.llm.mixing import counted, mix_rates, mix_report, mixed
+from pagemill.llm.spans import shared_characters, sharing_pairs
 from pagemill.llm.syntax import invalid_files, invalid_rates
 from pagemill.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return sharing_pairs(table(spark, d, "definitions", "identity", "kind", "source"), table(spark, d, "locations", "identity", "repo", "path", "symbol"))
+
+
+def p1_shared(spark: SparkSession, d: str) -> DataFrame:
+    return shared_characters(table(spark, d, "definitions", "identity", "kind", "source"))
+
+
 def _machine(spark: SparkSession, d: str) -> DataFrame:
     return machine_files(
         table(spark, d, "definitions", "identity", "language", "kind", "source"), table(spark, d, "locations", "identity", "repo", "sha", "path", "symbol")
@@ -115,6 +124,6 @@ _RUNS = """WITH i AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(
     ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') r FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) k FROM i)),
     dr AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) k FROM d))"""
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_verdicts, p3_found, p3_pairs, p5_found, p5_rates, p7_found, p7_licenses, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_verdicts, p3_found, p3_pairs, p5_found, p5_rates, p7_found, p7_licenses, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 SQL = {"p8_found": f"{_RUNS} SELECT DISTINCT doc_id, item_id FROM ir JOIN dr USING (r)"}
