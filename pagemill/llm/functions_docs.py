@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.links import LINK
+
 SCHEMA = "identity string, signature string, documentation string, code string, trivial boolean"
 
 _PY = re.compile(
@@ -29,7 +31,6 @@ _C = re.compile(
     |(?P<word>\w+)|(?P<blank>\s+)|(?P<other>.)""",
     re.X | re.S | re.M,
 )
-_LINK = re.compile(r"^\W*cttp(?:-\w+)?:")  # link lines are no documentation
 
 
 def _unquote(prefix: str, token: str) -> str:
@@ -194,7 +195,7 @@ def content(doc: str) -> str:
     doc = re.sub(r"[ \t]+(?=[@\\:](?:param|return|returns|throws|raises|type|rtype)\b)", "\n", doc)  # entries in one line
     for line in _MARKS.sub("", doc).split("\n"):
         line = line.strip()
-        if not re.search(r"\w", line) or _LINK.match(line) or _TITLE.match(line):
+        if not re.search(r"\w", line) or LINK.match(line) or _TITLE.match(line):
             continue
         e = _ENTRY.match(line)
         if e:

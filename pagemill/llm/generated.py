@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.links import LINK
 from pagemill.tables import whole_files
 
 #: how many canonical lines a line of code holds, on average, before it counts as minified
@@ -62,7 +63,6 @@ VENDOR_FOLDER = re.compile(
     r"(?:^|/)(?:third[_-]?party|3rd[_-]?party|3rdparty|thirdparty|vendor|_vendor|vendored|_vendored|extern|externals?|ext[_-]?libs?|deps|_deps|dependencies|subprojects|packagefiles|_?bundled|contrib/ext|contrib/third_party|node_modules|bower_components|site-packages|godeps|pods|carthage|foreign|imported)/",
     re.I,
 )
-_LINK = re.compile(r"^\W*cttp(?:-\w+)?:")
 
 
 def _lex(text: str, hash_comments: bool) -> list[tuple[str, str, int]]:
@@ -157,7 +157,7 @@ def verdict(text: str | None, language: str | None, path: str = "") -> str | Non
             own_line = not text[text.rfind("\n", 0, at) + 1 : at].strip()
             margin = at == 0 or text[at - 1] == "\n"
             for line in t.split("\n"):
-                if own_line and not _LINK.match(line):
+                if own_line and not LINK.match(line):
                     comments.append((before, margin, line.strip("#/*! \t")))
         elif kind != "line" and not (kind == "other" and t == "#"):
             before = False
