@@ -17,17 +17,21 @@ def normalize(text: Column | str) -> Column:
     c = F.col(text) if isinstance(text, str) else text
     lines = F.transform(F.split(c, "\\r\\n|\\r|\\n", -1), lambda x: F.when(x.rlike("\\A[ \\t]+\\z"), F.lit("")).otherwise(x))
     margins = F.transform(F.filter(lines, lambda x: x.rlike("[^ \\t]")), lambda x: F.regexp_extract(x, "\\A[ \\t]*", 0))
+    # what the least and the greatest margin begin with in common, all begin with
+    ends = F.struct(lines.alias("lines"), F.array_min(margins).alias("low"), F.array_max(margins).alias("high"))
 
-    def shorter(acc: Column, m: Column) -> Column:
-        # the common beginning of two margins, found by how many places agree before the first that differs
+    def stripped(s: Column) -> Column:
         agree = F.filter(
-            F.sequence(F.lit(0), F.least(F.length(acc), F.length(m))), lambda n: F.substring(acc, F.lit(1), n) == F.substring(m, F.lit(1), n)
+            F.sequence(F.lit(0), F.coalesce(F.least(F.length(s["low"]), F.length(s["high"])), F.lit(0))),
+            lambda n: F.substring(s["low"], F.lit(1), n) == F.substring(s["high"], F.lit(1), n),
+        )
+        width = F.coalesce(F.array_max(agree), F.lit(0))
+        # bound by a one-element array, the width is worked out once a text and not once a line
+        return F.element_at(
+            F.transform(F.array(width), lambda w: F.transform(s["lines"], lambda x: F.regexp_replace(F.when(x == "", x).otherwise(F.substring(x, w + 1, F.length(x))), _TRAILING, ""))), 1
         )
-        return F.when(acc == m, acc).otherwise(F.substring(acc, F.lit(1), F.array_max(agree)))
 
-    margin = F.when(F.size(margins) > 0, F.aggregate(F.slice(margins, 2, F.size(margins)), F.element_at(margins, 1), shorter)).otherwise(F.lit(""))
-    cut = F.transform(lines, lambda x: F.when(F.startswith(x, margin), F.substring(x, F.length(margin) + 1, F.length(x))).otherwise(x))
-    clean = F.array_join(F.transform(cut, lambda x: F.regexp_replace(x, _TRAILING, "")), "\n")
+    clean = F.element_at(F.transform(F.array(ends), lambda s: F.array_join(stripped(s), "\n")), 1)
     return F.concat(F.regexp_replace(clean, "\\n+\\z", ""), F.lit("\n"))
 
 
