@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import links as L
 from pagemill.functions.text import identity, spdx
-from pagemill.operators import closure, lines, pages, records, search
+from pagemill.operators import closure, extraction, lines, pages, records, search
 from pagemill.tables import identity_of, latest_revision, table
 
 #: the text that the registered search asks for
@@ -197,6 +197,31 @@ def answer_difference(spark: SparkSession, d: str) -> DataFrame:
     return records.answer_difference(now, table(spark, d, "locations", "repo", "path"), "repo", "path")
 
 
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    """Whole files as the tables hold them, in the part of a crawled tree."""
+    text = table(spark, d, "definitions", "identity", "kind", "source").where("kind = 'script'").dropDuplicates(["identity"]).select("identity", F.col("source").alias("text"))
+    return table(spark, d, "locations", "identity", "repo", "sha", "path", "symbol").where("symbol is null").distinct().join(text, "identity").select("repo", "sha", "path", "text")
+
+
+def extracted_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions found in the files, with their identity and whether the tables have them at that place."""
+    got = extraction.extract(_tree(spark, d)).where("kind is not null").select("repo", "sha", "path", "symbol", "kind", "identity", "shape", "span_first", "span_last")
+    held = table(spark, d, "locations", "identity", "repo", "sha", "path").distinct().withColumn("held", F.lit(True))
+    return got.join(held, ["identity", "repo", "sha", "path"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def extracted_references(spark: SparkSession, d: str) -> DataFrame:
+    """References between the files of each tree."""
+    tree = _tree(spark, d)
+    every = table(spark, d, "locations", "repo", "sha", "path").distinct()
+    return extraction.references(extraction.extract(tree), every)
+
+
+def skipped_notes(spark: SparkSession, d: str) -> DataFrame:
+    """What extraction has to note of each file: links it ignores and files that do not parse."""
+    return extraction.extract(_tree(spark, d)).where("note is not null").select("repo", "sha", "path", "note").distinct()
+
+
 _TI = "regexp_replace(lower(target_identity), '^sha256:', '')"
 _CURRENT = "latest AS (SELECT repo, arg_max(sha, crawl_seq) sha FROM revisions GROUP BY repo), cur AS (SELECT DISTINCT l.* FROM locations l JOIN latest USING (repo, sha))"
 _CRAWLS = "crawls AS (SELECT DISTINCT repo, sha, committed_at, crawl_seq, files, skipped, unmapped FROM revisions QUALIFY row_number() OVER (PARTITION BY repo, sha ORDER BY crawl_seq DESC) = 1)"
@@ -228,7 +253,7 @@ QUERIES = {
     for f in (
         counts, status, current_revision, normalize_identity, spdx_license, parse_address, find_links, dups_identity, dups_shape, locations_of, history, resolve_targets, rank_by_relation, rank, who, who_counts,
         coverage, coverage_totals, directories, unresolved_matching, forward, link_owners, link_rows, merged_definitions, repo_pages, page_links, names_now, name_checks, innermost,
-        closure_reach, closure_sizes, closure_clashes, closure_requirements, search_bm25, line_duplication, benchmark_summary, benchmark_statuses, answer_difference,
+        closure_reach, closure_sizes, closure_clashes, closure_requirements, search_bm25, line_duplication, benchmark_summary, benchmark_statuses, answer_difference, extracted_pages, extracted_references, skipped_notes,
     )
 }
 
