@@ -81,7 +81,7 @@ def mix_rates(counts: DataFrame, targets: DataFrame, size: float | None = None)
     room = t.groupBy("mix").agg(F.min(F.col("max_repeats") * F.col("available") / F.col("part")).alias("room"))
     t = t.join(F.broadcast(room), "mix")
     total = F.least("all", "room") if size is None else F.lit(float(size))
-    rate = F.least(F.col("part") * total / F.col("available"), F.col("max_repeats").cast("double"))
+    rate = F.when(F.col("part").isNotNull(), F.least(F.col("part") * total / F.col("available"), F.col("max_repeats").cast("double")))
     return t.select("mix", "source", "share", "max_repeats", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
