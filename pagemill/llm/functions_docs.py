@@ -27,7 +27,7 @@ _PY = re.compile(
 _C = re.compile(
     r"""(?P<comment>//(?:[^\n\\]|\\.)*|/\*.*?(?:\*/|\Z))
     |(?P<string>"(?:[^"\\\n]|\\.)*(?:"|(?=\n)|\Z)|'(?:[^'\\\n]|\\.)*(?:'|(?=\n)|\Z))
-    |(?P<directive>^[ \t]*\#(?:[^\n\\]|\\.)*)
+    |(?P<directive>^[ \t]*\#(?:/\*.*?\*/|//[^\n]*|[^\n\\/]|/(?![*/])|\\.)*)
     |(?P<word>\w+)|(?P<blank>\s+)|(?P<other>.)""",
     re.X | re.S | re.M,
 )

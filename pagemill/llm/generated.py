@@ -150,28 +150,25 @@ def verdict(text: str | None, language: str | None, path: str = "") -> str | Non
     hashes = _hash_comments(language, path)
     tokens = _lex(text, hashes)
     code = [(k, t, a) for k, t, a in tokens if k not in ("comment", "line")]
-    comments = []
-    before = True
+    # marks of a whole file stand above all code, or below it
+    begin, end = (code[0][2], code[-1][2]) if code else (len(text), -1)
     for kind, t, at in tokens:
-        if kind == "comment":
-            own_line = not text[text.rfind("\n", 0, at) + 1 : at].strip()
-            margin = at == 0 or text[at - 1] == "\n"
-            for line in t.split("\n"):
-                if own_line and not LINK.match(line):
-                    comments.append((before, margin, line.strip("#/*! \t")))
-        elif kind != "line" and not (kind == "other" and t == "#"):
-            before = False
-    for before, margin, line in comments:
-        if before and VENDORED.search(line):
-            return "vendored"
-        if (before or margin) and GENERATED.search(line):
-            return "generated"
+        if kind != "comment" or begin < at < end or text[text.rfind("\n", 0, at) + 1 : at].strip():
+            continue
+        for line in t.split("\n"):
+            line = "" if LINK.match(line) else line.strip("#/*! \t")
+            if at < begin and VENDORED.search(line):
+                return "vendored"
+            if GENERATED.search(line):
+                return "generated"
     if not code:
         return None
     by_line = hashes
     n_lines = len({text.count("\n", 0, a) for _, _, a in code}) if len(code) < 400 else sum(1 for x in text.split("\n") if x.strip() and not x.lstrip().startswith(("//", "#") if hashes else ("//", "/*", "*")))
     size = sum(len(t) for _, t, _ in code)
-    literals = [t for k, t, _ in code if k in ("number", "string")]
+    documents = _standing_strings(tokens)
+    literals = [t for k, t, a in code if k in ("number", "string") and a not in documents]
+    size -= sum(len(t) for _, t, a in code if a in documents)
     literal_size = sum(len(t) for t in literals)
     words = Counter(t for k, t, _ in code if k == "word")
     defines = sum(words[w] for w in ("def", "class", "function", "return", "if", "for", "while"))
@@ -185,13 +182,26 @@ def verdict(text: str | None, language: str | None, path: str = "") -> str | Non
         return "data"
     shapes = _shapes(tokens, by_line)
     total = sum(shapes.values())
-    if total >= UNIFORM_LEAST and shapes.most_common(1)[0][1] >= UNIFORM * total and _nothing_else(tokens, shapes, by_line):
+    said = documents or any(k == "comment" and begin < a < end for k, _, a in tokens)
+    if total >= UNIFORM_LEAST and shapes.most_common(1)[0][1] >= UNIFORM * total and not said and _plain(shapes):
         return "generated"
     return None
 
 
-def _nothing_else(tokens: list, shapes: Counter, by_line: bool) -> bool:
-    """Whether the uniform definitions are simple: no documentation, one statement each."""
+def _standing_strings(tokens: list[tuple[str, str, int]]) -> set[int]:
+    """Places of strings that are statements of their own: documentation, and no data."""
+    found, depth, fresh = set(), 0, True
+    for n, (kind, t, at) in enumerate(tokens):
+        if kind == "string" and fresh and depth == 0 and (n + 1 == len(tokens) or tokens[n + 1][0] in ("line", "comment")):
+            found.add(at)
+        if kind == "other":
+            depth += (t in "([{") - (t in ")]}")
+        fresh = kind == "line" or fresh and kind == "comment"
+    return found
+
+
+def _plain(shapes: Counter) -> bool:
+    """Whether the uniform definitions do one thing each: return something."""
     top = shapes.most_common(1)[0][0].split()
     return len(top) <= 40 and top.count("return") == 1 and not {"if", "for", "while", "with", "try", "class"} & set(top)
 
