@@ -20,7 +20,7 @@ KEYWORDS = frozenset(
     _Static_assert _Thread_local defined""".split()
 )
 _TOKEN = re.compile(
-    r"""(?P<comment>/\*.*?(?:\*/|\Z)|//(?:[^\n\\]|\\.)*)|(?P<directive>^[ \t]*\#(?:[^\n\\]|\\\n|\\.)*)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
+    r"""(?P<comment>/\*.*?(?:\*/|\Z)|//(?:[^\n\\]|\\.)*)|(?P<directive>^[ \t]*\#(?:/\*.*?\*/|//[^\n]*|[^\n\\/]|/(?![*/])|\\\n|\\.)*)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')
     |(?P<id>[A-Za-z_]\w*)|(?P<num>\.?\d(?:[\w.]|(?<=[eEpP])[+-])*)|(?P<space>\s+)|(?P<op>->|\+\+|--|<<=|>>=|\.\.\.|&&|\|\||[-+*/%&|^!=<>]=|<<|>>|.)""",
     re.X | re.S | re.M,
 )
