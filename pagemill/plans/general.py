@@ -10,13 +10,13 @@ from pagemill.operators.references import orphan_counts, orphan_references, refe
 from pagemill.tables import identity_of, table
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
+def _tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
     rows = table(spark, d, "links", "source_identity", "relation", "target_identity").where("relation = 'from' and target_identity is not null")
-    return hierarchies(rows.select(identity_of("source_identity").alias("c"), identity_of("target_identity").alias("p")), "c", "p")
+    return hierarchies(rows.select(identity_of("source_identity").alias("c"), identity_of("target_identity").alias("p")), "c", "p", paths=paths)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).select(F.col("node").alias("identity"), F.col("root").alias("root_identity"), F.col("depth").cast("int").alias("depth"))
+    return _tree(spark, d, paths=False).select(F.col("node").alias("identity"), F.col("root").alias("root_identity"), F.col("depth").cast("int").alias("depth"))
 
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_rings(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d).where("ring is not null").groupBy("ring").agg(F.count("*").alias("members"))
+    return _tree(spark, d, paths=False).where("ring is not null").groupBy("ring").agg(F.count("*").alias("members"))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:

@@ -40,6 +40,8 @@ def test_against_brute_force(spark, most):
     for node in want:
         if want[node][1] >= 0:
             assert got[node].descendants == sum(node in (w[2] or [])[:-1] for w in want.values())
+    bare = hierarchies(spark.createDataFrame(rows, "node string, root string, path string"), "node", "root", most, paths=False).collect()
+    assert {(r.node, r.root, r.depth) for r in bare} == {(n, w[0], w[1]) for n, w in want.items()} and len(bare) == len(want) and all(r.path is None for r in bare)
     assert {n for n, r in got.items() if r.ring == "r1"} == {"r1", "r2", "r3"} and got["self"].ring == "self" and got["below"].ring is None
 
 
