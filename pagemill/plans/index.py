@@ -248,6 +248,10 @@ _LICENSE_SQL = """WITH f AS (SELECT DISTINCT repo, sha, path, trim(regexp_replac
 
 _TOKENS = r"""[A-Za-z_][A-Za-z0-9_]*|[0-9][A-Za-z0-9_.]*|"[^"]*"|''[^'']*''|[^\sA-Za-z0-9_]"""
 
+_ADDRESS = rf"(?:sha256:[0-9A-Fa-f]{{12,64}}|(?:{L.HOST}/{L.SEGMENT}/{L.SEGMENT}/*@{L.REV}/+[^#@\s]*[^#@/\s]/*|{L.NAME}(?:@{L.NAME_REV})?)(?:#{L.SYMBOL})?)"
+_LINK_BODY = rf"[ \t]*{L.MARKER}(?:-from|-see)?:[ \t]*{_ADDRESS}(?:[ \t]+[A-Za-z_][A-Za-z0-9_-]*=[^\"\s]*)*(?:[ \t]+~?\"[^\"]*\")?[ \t]*"
+_LINK_SQL = rf"^[ \t]*(?:(?:#|//|--|;+){_LINK_BODY}|/\*{_LINK_BODY}\*/[ \t]*)$"
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -269,6 +273,8 @@ SQL = {
         SELECT identity, sha256(regexp_replace(array_to_string(list_transform(x, lambda y: regexp_replace(CASE WHEN y = '' THEN y ELSE substr(y, CAST(w AS INTEGER) + 1) END, '[\x09-\x0d\x1c-\x1f\x{85}\p{Z}]+$', '')), chr(10)), '\n+$', '') || chr(10)) computed FROM w""",
     "spdx_license": _LICENSE_SQL,
     "parse_address": "SELECT DISTINCT target_address, target_form form, target_name AS \"name\", target_locator \"locator\", target_path path, target_rev rev, target_symbol symbol, CASE WHEN target_form = 'identity' THEN lower(regexp_replace(target_address, '^sha256:', '')) END \"identity\" FROM links",
+    "find_links": f"""WITH l AS (SELECT identity, unnest(string_split(source, chr(10))) line FROM (SELECT DISTINCT identity, source FROM definitions WHERE kind = 'script'))
+        SELECT identity, CASE regexp_extract(line, '[a-z]+(-from|-see)?:', 1) WHEN '-from' THEN 'from' WHEN '-see' THEN 'see' ELSE 'is' END relation, count(*) links, count(*) FILTER (regexp_matches(line, '"[ \t]*([*]/)?[ \t]*$')) described FROM l WHERE regexp_matches(line, '{_LINK_SQL}') GROUP BY ALL""",
     "dups_identity": _dups_sql("identity"),
     "dups_shape": _dups_sql("shape"),
     "locations_of": f"""WITH {_CURRENT}, n AS (SELECT target, min(name) entry FROM registry_names GROUP BY target)
