@@ -29,6 +29,8 @@ LONG_LINE = 200
 BLOB_CHARS, BLOB_TOKENS, BLOB_LEAST = 0.6, 0.3, 200
 #: share of the definitions (at least so many) that have one shape in a generated file
 UNIFORM, UNIFORM_LEAST = 0.9, 3
+#: share of the lines that are records of one shape, where there are fewer definitions
+ROWS_ALIKE = 0.5
 
 _TOKEN = re.compile(
     r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))
@@ -183,11 +185,26 @@ def verdict(text: str | None, language: str | None, path: str = "") -> str | Non
     shapes = _shapes(tokens, by_line)
     total = sum(shapes.values())
     said = documents or any(k == "comment" and begin < a < end for k, _, a in tokens)
-    if total >= UNIFORM_LEAST and shapes.most_common(1)[0][1] >= UNIFORM * total and not said and _plain(shapes):
-        return "generated"
+    if total and shapes.most_common(1)[0][1] >= UNIFORM * total and not said and _plain(shapes):
+        if total >= UNIFORM_LEAST or _rows_alike(tokens) >= ROWS_ALIKE:
+            return "generated"
     return None
 
 
+def _rows_alike(tokens: list[tuple[str, str, int]]) -> float:
+    """The share of a file's lines that are records of one shape, bracketed and of several members, if there are at least eight."""
+    lines: list[list[str]] = [[]]
+    for kind, t, _ in tokens:
+        if kind == "line":
+            lines.append([])
+        elif kind != "comment":
+            lines[-1].append(t if kind == "other" else "9" if kind in ("number", "string") else "n")
+    shapes = Counter(" ".join(x) for x in lines if x)
+    rows = {k: n for k, n in shapes.items() if k[0] in "{([" and k.count("9") > 1}
+    most = max(rows.values(), default=0)
+    return most / sum(shapes.values()) if most >= 8 else 0.0
+
+
 def _standing_strings(tokens: list[tuple[str, str, int]]) -> set[int]:
     """Places of strings that are statements of their own: documentation, and no data."""
     found, depth, fresh = set(), 0, True

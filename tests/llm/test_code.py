@@ -23,6 +23,7 @@ HAND = '"""Helpers for generated tag reports; do not edit the late relay by hand
         ("".join(f"function a{i}(b,c){{var d={i};return e?f({i}):'x'+g[{i}]}}" for i in range(60)) + "\n", "text", "minified"), ("".join(f"a{i}={i};b{i}=lambda c:{i};" for i in range(60)) + "\n", "python", "minified"),
         ("const unsigned char d[] = {\n" + "".join("    0x%02x, 0x%02x, 0x%02x, 0x%02x,\n" % (i, i + 1, i + 2, i + 3) for i in range(90)) + "};\n", "c", "data"), ('P = "' + "0123456789abcdef" * 90 + '"\n', "python", "data"),
         ("LIMIT = 924224124\n\nOTHER = 12\n", "python", None), ("".join(f"def f{i}(x):\n    return _t[{i}](x, {i * 7})\n\n\n" for i in range(6)), "python", "generated"), ("key = 1\nother = 22\n" * 20, "text", None),
+        ("// odd words 12\n\nstatic const struct row t[] = {\n" + "".join(f'    {{ 0x{i}, {i * 3}, "w{i}" }},\n' for i in range(12)) + "};\n\nint f(int k)\n{\n    return k + 1;\n}\n", "c", "generated"),
     ],
 )
 def test_verdict(text, language, want):
