@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.c_pages import c_pages, c_shape
 from pagemill.functions.pagetext import LinkLine, own_text, read_link
-from pagemill.functions.python_pages import is_stdlib, module_exports, python_pages, python_shape
+from pagemill.functions.python_pages import module_exports, python_pages, python_shape
 from pagemill.functions.text import language_of, short
+from pagemill.session import cut
 
 #: longer files, in characters, are skipped and noted
 MOST_CHARACTERS = 1_000_000
@@ -57,7 +58,7 @@ def _rows(repo: str, sha: str, path: str, language: str, text: str | None) -> It
         form = shape(p["source"])
         symbol = p["symbol"]
         yield base | {
-            "symbol": symbol, "kind": p["kind"], "name": (symbol or path.rsplit("/", 1)[-1]).rsplit(".", 1)[-1] if symbol else path.rsplit("/", 1)[-1], "signature": p.get("signature"), "docstring": p.get("docstring"),
+            "symbol": symbol, "kind": p["kind"], "name": symbol.rsplit(".", 1)[-1] if symbol else path.rsplit("/", 1)[-1], "signature": p.get("signature"), "docstring": p.get("docstring"),
             "span_first": p["first"], "span_last": p["last"], "lines": p["last"] - p["first"] + 1, "source": p["source"], "identity": hashlib.sha256(p["source"].encode("utf-8", "replace")).hexdigest(),
             "shape": hashlib.sha256(form.encode("utf-8", "replace")).hexdigest() if form is not None else None, "unresolved": p.get("unresolved", []), "statements": p.get("statements", []),
             "refs": [{"name": n, "level": lv, "parts": list(ps)} for n, lv, ps in p.get("refs", [])], "links": [_link(k) for k in p["links"]], "page_seq": seq,
@@ -149,19 +150,13 @@ def forwarded(refs: DataFrame, handed: DataFrame, files: DataFrame, most_hops: i
             "repo", "sha", "path", "symbol", "name", F.when(step, F.col("next_path")).otherwise(F.col("target_path")).alias("target_path"), F.when(step, F.col("to")).otherwise(F.col("target_symbol")).alias("target_symbol"),
             F.when(step, F.array_append("seen", F.concat_ws("#", "next_path", "to"))).otherwise(F.col("seen")).alias("seen"), step.alias("moved"),
         )
-        out = _kept(out)
+        out = cut(out)
         if out.where("moved").isEmpty():
             break
         out = out.drop("moved")
     return out.drop("seen", "moved")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    from pagemill.session import cut
-
-    return cut(df)
-
-
 def index_tables(pages: DataFrame, refs: DataFrame, revisions: DataFrame) -> dict[str, DataFrame]:
     """definitions, locations and links of extracted pages, and revisions with what was skipped and left unmapped."""
     real = pages.where("kind is not null")
@@ -186,7 +181,3 @@ def index_tables(pages: DataFrame, refs: DataFrame, revisions: DataFrame) -> dic
 def new_revisions(revisions: DataFrame, crawled: DataFrame) -> DataFrame:
     """Revisions that are not crawled yet."""
     return revisions.join(crawled.select("repo", "sha").distinct(), ["repo", "sha"], "left_anti")
-
-
-def module_kind(name: str) -> str:
-    return "stdlib" if is_stdlib(name) else "third_party"
