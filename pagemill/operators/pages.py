@@ -291,3 +291,30 @@ def innermost(pages: DataFrame) -> DataFrame:
     prefixes = inner.select("repo", "path", F.explode(F.expr("transform(sequence(1, size(split(symbol, '[.]'))), n -> array_join(slice(split(symbol, '[.]'), 1, n - 1), '.'))")).alias("outer_")).distinct()
     holders = prefixes.select("repo", "path", F.col("outer_").alias("symbol"))
     return p.withColumn("k", F.coalesce("symbol", F.lit(""))).join(holders.withColumnRenamed("symbol", "k"), ["repo", "path", "k"], "left_anti").drop("k")
+
+
+def symbol_files(locations: DataFrame) -> DataFrame:
+    """Per revision and symbol: how many files define it, and the file where it is the only one."""
+    p = locations.where("symbol is not null").select("repo", "sha", "symbol", "path").distinct()
+    return p.groupBy("repo", "sha", "symbol").agg(F.count("*").alias("files"), F.min("path").alias("first")).select("repo", "sha", "symbol", "files", F.when(F.col("files") == 1, F.col("first")).alias("path"))
+
+
+def latest_places(locations: DataFrame, revisions: DataFrame) -> DataFrame:
+    """What has become of each place of a repository at its current revision.
+
+    'same': the place still has one of its identities; 'moved': an identity it had stands elsewhere in the
+    repository (the least path and symbol are given); 'changed': the place has another identity; 'gone' otherwise.
+    """
+    p = places(locations).select("identity", "repo", "path", "symbol", "sha").distinct()
+    now = p.join(latest_revision(revisions), ["repo", "sha"]).select("repo", "identity", F.col("path").alias("now_path"), F.col("symbol").alias("now_symbol"))
+    was = p.select("repo", "path", "symbol", "identity").distinct()
+    spot = F.struct(F.col("now_path").alias("p"), F.coalesce("now_symbol", F.lit("")).alias("s"))
+    here = (F.col("now_path") == F.col("path")) & F.col("now_symbol").eqNullSafe(F.col("symbol"))
+    found = was.join(now, ["repo", "identity"], "left").groupBy("repo", "path", "symbol").agg(
+        F.coalesce(F.max(here), F.lit(False)).alias("same"), F.min(F.when(F.col("now_path").isNotNull(), spot)).alias("to")
+    )
+    held = now.select("repo", F.col("now_path").alias("path"), F.col("now_symbol").alias("symbol")).distinct().withColumn("held", F.lit(True)).alias("h")
+    f = found.alias("f").join(held, F.expr("f.repo = h.repo and f.path = h.path and f.symbol <=> h.symbol"), "left").select("f.*", "h.held")
+    state = F.when(F.col("same"), "same").when(F.col("to").isNotNull(), "moved").when(F.col("held"), "changed").otherwise("gone")
+    to = F.when(state == "moved", F.concat(F.col("to.p"), F.when(F.col("to.s") != "", F.concat(F.lit("#"), F.col("to.s"))).otherwise("")))
+    return f.select("repo", "path", "symbol", state.alias("state"), to.alias("moved_to"))

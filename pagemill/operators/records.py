@@ -41,3 +41,10 @@ def usage(events: DataFrame) -> DataFrame:
     used = first.groupBy("run").agg(F.count("*").alias("messages"), F.sum("tokens").alias("tokens"))
     calls = events.where("tool is not null").groupBy("run", "tool").agg(F.count("*").alias("n")).groupBy("run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool", "n")))).alias("calls"))
     return used.join(calls, "run", "full_outer")
+
+
+def answer_lines(text: F.Column | str) -> F.Column:
+    """The entries of an answer: lines without bullets, comments and blanks, each once, in order."""
+    c = F.col(text) if isinstance(text, str) else text
+    lines = F.transform(F.split(c, "\\r?\\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*(?:[-*+]|\d+[.)])\s+", ""), "`", "")))
+    return F.array_distinct(F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("#"))))

@@ -150,6 +150,14 @@ def _reach(spark: SparkSession, d: str) -> DataFrame:
     return closure.reach(closure.edges(k), closure.names_of_roots(k))
 
 
+def symbol_files(spark: SparkSession, d: str) -> DataFrame:
+    return pages.symbol_files(table(spark, d, "locations"))
+
+
+def latest_places(spark: SparkSession, d: str) -> DataFrame:
+    return pages.latest_places(table(spark, d, "locations"), table(spark, d, "revisions"))
+
+
 def closure_reach(spark: SparkSession, d: str) -> DataFrame:
     return _reach(spark, d)
 
@@ -256,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         counts, status, current_revision, normalize_identity, spdx_license, parse_address, find_links, dups_identity, dups_shape, locations_of, history, resolve_targets, rank_by_relation, rank, who, who_counts,
-        coverage, coverage_totals, directories, unresolved_matching, forward, link_owners, link_rows, merged_definitions, repo_pages, page_links, names_now, name_checks, innermost,
+        coverage, coverage_totals, directories, unresolved_matching, forward, link_owners, link_rows, merged_definitions, repo_pages, page_links, names_now, name_checks, innermost, symbol_files, latest_places,
         closure_reach, closure_sizes, closure_clashes, closure_requirements, search_bm25, line_duplication, benchmark_summary, benchmark_statuses, answer_difference, extracted_pages, extracted_references, skipped_notes,
     )
 }
@@ -315,6 +323,11 @@ SQL = {
         coalesce(list_bool_and([regexp_full_match(v, '[0-9a-fA-F]{{12,40}}') FOR v IN map_values(versions)]), true) pinned FROM e""",
     "innermost": f"""WITH {_CURRENT}, p AS (SELECT DISTINCT repo, path, symbol FROM cur)
         SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.repo = a.repo AND b.path = a.path AND b.symbol IS NOT NULL AND (a.symbol IS NULL OR starts_with(b.symbol, a.symbol || '.')))""",
+    "symbol_files": "SELECT repo, sha, symbol, count(*) files, CASE WHEN count(*) = 1 THEN min(path) END path FROM (SELECT DISTINCT repo, sha, symbol, path FROM locations WHERE symbol IS NOT NULL) GROUP BY ALL",
+    "latest_places": f"""WITH {_CURRENT}, w AS (SELECT DISTINCT repo, path, symbol, identity FROM locations), n AS (SELECT DISTINCT repo, identity, path, symbol FROM cur),
+        f AS (SELECT w.repo, w.path, w.symbol, coalesce(bool_or(n.path = w.path AND n.symbol IS NOT DISTINCT FROM w.symbol), false) same, min((n.path, coalesce(n.symbol, ''))) FILTER (n.path IS NOT NULL) t FROM w LEFT JOIN n ON n.repo = w.repo AND n.identity = w.identity GROUP BY ALL),
+        g AS (SELECT f.*, CASE WHEN same THEN 'same' WHEN t IS NOT NULL THEN 'moved' WHEN EXISTS (SELECT 1 FROM n WHERE n.repo = f.repo AND n.path = f.path AND n.symbol IS NOT DISTINCT FROM f.symbol) THEN 'changed' ELSE 'gone' END state FROM f)
+        SELECT repo, path, symbol, state, CASE WHEN state = 'moved' THEN t[1] || CASE WHEN t[2] <> '' THEN '#' || t[2] ELSE '' END END moved_to FROM g""",
     "closure_reach": f"WITH RECURSIVE {_REACH} SELECT root, page FROM reach",
     "closure_sizes": f"WITH RECURSIVE {_REACH}, {_DEFS} SELECT root, count(*) pages, coalesce(sum(lines), 0) lines, count(*) FILTER (lines IS NULL) missing, count(*) <= 50 AND coalesce(sum(lines), 0) <= 2000 AS \"within\" FROM reach LEFT JOIN defs ON identity = page GROUP BY root",
     "closure_clashes": f"WITH RECURSIVE {_REACH}, {_DEFS} SELECT root, name, count(*) pages FROM reach JOIN defs ON identity = page WHERE kind <> 'script' GROUP BY root, name HAVING count(*) > 1",

@@ -113,3 +113,10 @@ def test_expand_check_and_add():
     assert P.with_link("def f():\n    x\n", "a.b", 2) == "def f():\n    # link: a.b\n    x\n"
     assert P.moved_stamp(k, ("a.b", "f" * 64)) == ("a.b", "f" * 64) and P.moved_stamp(k, None) is None
     assert isinstance(P.read_link(0, P.stamped("a.b", "f" * 64, 'he said "no"')), P.LinkLine)
+
+
+def test_answers(spark):
+    from pagemill.operators.records import answer_lines
+
+    text = "# my answer\n- `a.py#f`\n* b.c\n\n1. a.py#f\n  c\n"
+    assert spark.createDataFrame([(text,), (None,), ("",)], "t string").select(answer_lines("t")).collect()[0][0] == ["a.py#f", "b.c", "c"]
