@@ -179,18 +179,14 @@ def candidate_pairs(pages: DataFrame, least: int = LEAST) -> DataFrame:
     large group is paired in one task; no pair is left out.
     """
     # A key stands once for each page, which has many keys: even one that all pages hold is a small share of the
-    # rows, so that rows can be placed by key. One exchange serves counting and grouping.
+    # rows, so that rows can be placed by key. Counting and grouping share that one exchange; what a task makes
+    # of a large group is its cells, each of two blocks, and these are spread before they are paired.
     postings = _postings(pages, least).select("key", _number("page").alias("page")).repartition("key")
-    counted = postings.withColumn("n", F.expr("count(*) over (partition by key)"))
-    few = counted.where(f"n between 2 and {BLOCK}").groupBy("key").agg(F.collect_set("page").alias("pages"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = counted.where(f"n > {BLOCK}").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("page"), "blocks"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = (
-        many.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "page")
-        .repartition("key", "i", "j").groupBy("key", "i", "j").agg(F.collect_set("page").alias("pages"))
-    )
-    groups = few.select("pages").unionByName(cells.select("pages")).select(F.array_sort("pages").alias("pages")).where("size(pages) > 1").distinct()
+    shared = postings.withColumn("n", F.expr("count(*) over (partition by key)")).where("n > 1")
+    blocks = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.hash("page"), "blocks"))
+    placed = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.groupBy("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    groups = cells.select("pages").where("size(pages) > 1").distinct()
     pairs = groups.select("pages", F.posexplode("pages").alias("at", "a")).select("a", F.explode(F.expr("slice(pages, at + 2, size(pages))")).alias("b"))
     return pairs.distinct()
 
