@@ -102,54 +102,135 @@ def _inside(tokens: list, at: int) -> bool:
     return lo < len(tokens) and tokens[lo][0] == "string" and tokens[lo][1].start() < at
 
 
+#: fixed values: words whose parentheses hold no parameters
+_NO_PARAMETERS = frozenset("__attribute__ __attribute __declspec _Alignas alignas __asm__ __asm asm _Atomic typeof __typeof__ __typeof throw noexcept".split())
+
+
+def _parameters(head: list[str]) -> tuple[int, int] | None:
+    """Places of the parentheses of a definition's parameters among its code tokens, None when it is no function's."""
+    if head[0] == "typedef":
+        return None
+    depth, found, start = 0, None, 0
+    for k, t in enumerate(head):
+        if t == "(":
+            if depth == 0:
+                start = k
+            depth += 1
+        elif t == ")":
+            depth -= 1
+            if depth == 0 and start and found is None:
+                named = head[start - 1] not in _NO_PARAMETERS and (re.match(r"[^\W\d]", head[start - 1]) or head[start - 1] == ")")
+                tag = start > 1 and head[start - 2] in ("struct", "union", "enum")
+                # the parentheses of a pointer's or a bracketed name are followed by those of its parameters
+                if (named or head[start + 1] != "*" and head[start - 1] == "*") and not tag and head[k + 1 : k + 2] != ["("]:
+                    found = start, k
+        elif t == "=" and depth <= 0:
+            return None
+    return found if depth <= 0 else None
+
+
+def _old_style(head: list[str], since: int) -> bool:
+    """Whether the tokens from ``since`` on, up to a ';', declare parameters that the head lists by name alone."""
+    at = _parameters(head)
+    if at is None:
+        return False
+    listed = head[at[0] + 1 : at[1]]
+    names = set(listed[::2])
+    said = head[max(since, at[1] + 1) :]
+    return set(listed[1::2]) <= {","} and all(re.match(r"[^\W\d]", n) for n in names) and len(said) > 1 and bool(names & set(said[1:]))
+
+
 def c_functions(source: str, first_only: bool = False) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, signature, comments before or '') of each function, by matched braces."""
+    """(start, end, signature, comments before or '') of each function, by matched braces.
+
+    Code tokens alone tell a function: comments, attributes, macros and old-style declarations may stand
+    between its parameters and its body. Signatures are without comments.
+    """
     comments: list[str] = []
-    begin, words, depth, parens, body = None, False, 0, 0, None
+    late: list[str] = []  # comments since the last ';' of an old-style head
+    head: list[str] = []
+    places: list[int] = []
+    cuts: list[tuple[int, int]] = []  # comments and directives within the head
+    begin, depth, parens, since, signature = None, 0, 0, 0, None
     for m in _C.finditer(source):
         kind, t = m.lastgroup, m[0]
         if depth:
             if kind == "other":
                 depth += (t == "{") - (t == "}")
                 if depth == 0:
-                    if body is not None:
-                        yield begin, m.end(), " ".join(source[begin:body].split()), "\n".join(comments)
+                    if signature is not None:
+                        yield begin, m.end(), signature, "\n".join(comments)
                         if first_only:
                             return
-                    comments, begin, words = [], None, False
+                    comments, begin = [], None
             continue
         if kind == "comment":
             if begin is None:
                 comments.append(t)
+            else:
+                cuts.append(m.span())
+                if since == len(head):
+                    late.append(t)
         elif kind == "directive":
-            comments, begin = [], None
+            if begin is not None and parens > 0:
+                cuts.append(m.span())
+            else:
+                comments, begin = [], None
         elif kind == "blank":
             continue
         else:
             if begin is None:
-                begin, parens, words, body = m.start(), 0, False, None
-            if t == "(":
-                parens += 1
-                words = True
-            elif t == ")":
-                parens -= 1
-            elif t == ";" and parens <= 0:
-                comments, begin = [], None
-            elif t == "{":
-                depth, body = 1, m.start() if words and source[begin : m.start()].rstrip().endswith(")") else None
-    if depth and body is not None:  # cut off within its body
-        yield begin, len(source), " ".join(source[begin:body].split()), "\n".join(comments)
+                begin, parens, since, signature = m.start(), 0, 0, None
+                head, places, cuts, late = [], [], [], []
+            if t == "{":
+                if 0 < since < len(head):  # the declarations before were no function's
+                    begin, comments = places[since], late
+                    head = head[since:]
+                depth = 1
+                if parens <= 0 and head and _parameters(head):
+                    text, at = [], begin
+                    for x, y in cuts:
+                        if x >= begin:
+                            text.append(source[at:x])
+                            at = y
+                    signature = " ".join(" ".join([*text, source[at : m.start()]]).split())
+                continue
+            if t == ";" and parens <= 0:
+                if head and _old_style(head, since):
+                    head.append(t)
+                    places.append(m.start())
+                    since, late = len(head), []
+                else:
+                    comments, begin = [], None
+                continue
+            parens += (t == "(") - (t == ")")
+            head.append(t)
+            places.append(m.start())
+    if depth and signature is not None:  # cut off within its body
+        yield begin, len(source), signature, "\n".join(comments)
 
 
 FUNCTIONS = {"python": python_functions, "c": c_functions}
 
 
 def documentation(language: str | None, docstring: str | None, source: str | None) -> str:
-    """The docstring when it is not blank, else what the source holds."""
+    """The docstring when it is not blank, else what the source holds: of C also the comment that opens it."""
     if docstring and docstring.strip():
         return docstring
     find = FUNCTIONS.get(language or "")
-    return next((f[3] for f in find(source or "", True)), "") if find else ""
+    found = next((f[3] for f in find(source or "", True)), "") if find else ""
+    return found if found or language != "c" else _opening(source or "")
+
+
+def _opening(source: str) -> str:
+    """The comments that stand before everything else in a C source."""
+    found = []
+    for m in _C.finditer(source):
+        if m.lastgroup == "comment":
+            found.append(m[0])
+        elif m.lastgroup != "blank":
+            break
+    return "\n".join(found)
 
 
 # --- what makes documentation trivial ---

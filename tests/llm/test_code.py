@@ -60,6 +60,23 @@ def test_functions():
     assert [(s, d) for _, _, s, d in D.c_functions(c)] == [("static int f(int a)", "// one\n// two"), ("int g(void)", "/* of g */"), ("int h(int x)", "/* cut */")]
 
 
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("// Blocks until a raw tuple arrives.\nstatic int f(int a) // eager 41170\n{\n    return a;\n}\n", ("static int f(int a)", "// Blocks until a raw tuple arrives.")), ("/* one */\nvoid f(void) NOEXCEPT {\n}\n", ("void f(void) NOEXCEPT", "/* one */")),
+        ("/* one */\nint f(a, b) int a; char *b; /* two */\n{\n}\n", ("int f(a, b) int a; char *b;", "/* one */")), ("DECLARE(x) int x;\n/* one */ int main(void) { }\n", ("int main(void)", "/* one */")),
+        ("/* no */\nstruct __attribute__((packed)) s { int a; };\n/* no */ int a = g((struct s){ 1 });\n/* one */ int (*f(int a))(int) __attribute__((cold)) { return 0; }\n", ("int (*f(int a))(int) __attribute__((cold))", "/* one */")),
+    ],
+)
+def test_c_heads(source, want):
+    assert [(s, d) for _, _, s, d in D.c_functions(source)] == [want]
+
+
+def test_opening_comment_of_c():
+    assert D.documentation("c", " ", "/* Says what it does here. */\n#define X\nint f(void)\n{\n}\n") == "/* Says what it does here. */"
+    assert D.documentation("c", None, "int x;\n/* no */\n") == "" and D.documentation("c", None, None) == ""
+
+
 def test_functions_against_ast():
     r = random.Random(4)
     for _ in range(200):
