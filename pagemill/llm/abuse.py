@@ -3,8 +3,8 @@
 Texts are split into sentences of undisguised words. Sentences of labelled documents,
 and a few written ones, are the examples; a document's label is laid on those of its
 sentences whose words are typical of such documents. Every sentence of the corpus is
-compared with the examples by TF-IDF cosine; an inverted index with block maxima finds the
-nearest exactly. Their votes, weighted by distance, give a sentence's
+compared with the examples by TF-IDF cosine of all its words; an inverted index with score
+bounds finds the nearest exactly. Their votes, weighted by distance, give a sentence's
 score, and a document's score is that of its worst sentence, kept as evidence.
 """
 
@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from pagemill.session import cut
 
 #: labelled documents the examples are taken from, at most; beyond it the ones least by a hash of their id
 MAX_LABELLED = 20_000
-#: words in a larger share of all sentences carry no vote; so there are at most (words a sentence / share) of them
+#: words in a larger share of the distinct sentences say nothing about a label unless they are typical of abuse; so there are at most (words a sentence / share) of them
 COMMON = 0.002
 #: neighbours that vote, and the least similarity of one
 NEIGHBOURS, NEAR = 10, 0.3
@@ -132,21 +133,20 @@ the screw is too tight and the bitmap sucks memory
 
 
 class Nearest:
-    """Unit TF-IDF vectors in an inverted index with block maxima; ``top`` is exact."""
-
-    BLOCK = 32
+    """Unit TF-IDF vectors in an inverted index with bounds on what words can add; ``top`` is exact."""
 
     def __init__(self, examples: list[tuple[tuple[str, ...], float, float]], df: dict[str, int], total: int):
-        self.df, self.total = df, max(1, total)
+        self.df, self.total, self.size = df, max(1, total), len(examples)
         self.votes = [(pos, neg) for _, pos, neg in examples]
-        lists: dict[str, list[tuple[int, float]]] = {}
+        lists: dict[str, tuple[list[int], list[float]]] = {}
         for i, (words, _, _) in enumerate(examples):
             for w, x in self.vector(words).items():
-                lists.setdefault(w, []).append((i, x))
-        self.ids = {w: [i for i, _ in p] for w, p in lists.items()}
-        self.weights = {w: [x for _, x in p] for w, p in lists.items()}
-        self.maxima = {w: [max(xs[k : k + self.BLOCK]) for k in range(0, len(xs), self.BLOCK)] for w, xs in self.weights.items()}
-        self.most = {w: max(m) for w, m in self.maxima.items()}
+                ids, weights = lists.setdefault(w, ([], []))
+                ids.append(i)
+                weights.append(x)
+        self.lists = {w: (np.array(ids, np.int32), np.array(weights)) for w, (ids, weights) in lists.items()}
+        self.most = {w: float(x.max()) for w, (_, x) in self.lists.items()}
+        self.sums: np.ndarray | None = None
 
     def idf(self, word: str) -> float:
         return math.log((self.total + 1) / (self.df.get(word, 1) + 0.5)) + 1
@@ -158,54 +158,53 @@ class Nearest:
 
     def top(self, words: tuple[str, ...], k: int = NEIGHBOURS, least: float = NEAR) -> list[tuple[float, int]]:
         """The k examples of largest cosine, of at least ``least``; ties to the lower id."""
-        q = [(w, x) for w, x in self.vector(words).items() if w in self.ids]
-        cursors = [[0, w, x] for w, x in q]
-        best: list[tuple[float, int]] = []
-        bar = least
-        while cursors:
-            cursors.sort(key=lambda c: self.ids[c[1]][c[0]])
-            reach, pivot = 0.0, None
-            for n, c in enumerate(cursors):
-                reach += c[2] * self.most[c[1]]
-                if reach >= bar - 1e-12:
-                    pivot = n
-                    break
-            if pivot is None:
-                break
-            target = self.ids[cursors[pivot][1]][cursors[pivot][0]]
-            while pivot + 1 < len(cursors) and self.ids[cursors[pivot + 1][1]][cursors[pivot + 1][0]] == target:
-                pivot += 1
-            # the bound by blocks: where it is too low, every example up to the nearest block end is skipped
-            bound, end = 0.0, None
-            for c in cursors[: pivot + 1]:
-                at = bisect_left(self.ids[c[1]], target, c[0])
-                block = at // self.BLOCK
-                if at < len(self.ids[c[1]]):
-                    bound += c[2] * self.maxima[c[1]][block]
-                    last = self.ids[c[1]][min((block + 1) * self.BLOCK, len(self.ids[c[1]])) - 1]
-                    end = last if end is None else min(end, last)
-            if bound < bar - 1e-12:
-                skip = (end if end is not None else target) + 1
-                if pivot + 1 < len(cursors):
-                    skip = min(skip, self.ids[cursors[pivot + 1][1]][cursors[pivot + 1][0]])
-                target = max(skip, target + 1)
-            elif self.ids[cursors[0][1]][cursors[0][0]] == target:
-                score = sum(c[2] * self.weights[c[1]][c[0]] for c in cursors[: pivot + 1])
-                if score >= bar:
-                    best.append((score, target))
-                    best.sort(key=lambda s: (-s[0], s[1]))
-                    del best[k:]
-                    if len(best) == k:
-                        bar = max(least, best[-1][0])
-                target += 1
-            moved = []
-            for n, c in enumerate(cursors):
-                if n <= pivot:
-                    c[0] = bisect_left(self.ids[c[1]], target, c[0])
-                if c[0] < len(self.ids[c[1]]):
-                    moved.append(c)
-            cursors = moved
-        return best
+        q = sorted(((x * self.most[w], w, x) for w, x in self.vector(words).items() if w in self.lists), reverse=True)
+        # what the words from one on can add at most: to any example, and as examples are of length one
+        rest, most, square = [0.0], 0.0, 0.0
+        for bound, _, x in reversed(q):
+            most, square = most + bound, square + x * x
+            rest.append(min(most, math.sqrt(square)))
+        rest.reverse()
+        if self.sums is None:
+            self.sums = np.zeros(self.size)
+        sums, fresh, bar, n = self.sums, [], least - 1e-9, 0
+        # words of most weight first, until examples without any of them can't be among the nearest
+        while n < len(q) and rest[n] >= bar:
+            ids, weights = self.lists[q[n][1]]
+            had = sums[ids]
+            fresh.append(ids[had == 0] if n else ids)
+            sums[ids] = had + q[n][2] * weights
+            n += 1
+            # the whole scores of those ahead so far tell early how near the nearest are
+            if n < len(q) and rest[n] >= bar and len(ids) >= k and len(self.lists[q[n][1]][0]) > 500:
+                ahead = ids[np.argpartition(sums[ids], len(ids) - k)[-k:]] if len(ids) > k else ids
+                bar = max(bar, float(self._add(ahead, sums[ahead], q[n:]).min()) - 1e-9)
+        if not fresh:
+            return []
+        ids = np.concatenate(fresh)
+        scores = sums[ids]
+        sums[ids] = 0
+        for m in range(n, len(q) + 1):
+            kept = scores + rest[m] >= bar
+            ids, scores = ids[kept], scores[kept]
+            bar = max(bar, _kth(scores, k) - 1e-9)
+            if m < len(q):
+                scores = self._add(ids, scores, q[m : m + 1])
+        order = np.lexsort((ids, -scores.round(12)))
+        return [(float(scores[i]), int(ids[i])) for i in order[:k] if scores[i] >= least]
+
+    def _add(self, ids: np.ndarray, scores: np.ndarray, words: list[tuple[float, str, float]]) -> np.ndarray:
+        """Scores of some examples with what further words add to them."""
+        for _, w, x in words:
+            have, weights = self.lists[w]
+            at = np.minimum(np.searchsorted(have, ids), len(have) - 1)
+            scores = scores + np.where(have[at] == ids, x * weights[at], 0.0)
+        return scores
+
+
+def _kth(scores: np.ndarray, k: int) -> float:
+    """The k-th largest, 0 where there are fewer."""
+    return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 0.0
 
 
 class Judge:
@@ -222,17 +221,15 @@ class Judge:
         for w in sorted(self.vocabulary):
             self.by_length.setdefault(len(w), []).append(w)
         self.index = Nearest(examples, df, total)
-        self.known: dict[tuple[tuple[str, ...], float], float] = {}
+        self.known: dict[str, float] = {}
         self.filled: dict[str, str | None] = {}
 
-    def reduce(self, words: list[str]) -> tuple[str, ...]:
-        """A sentence's words without the common ones; starred and run-together words are read by the vocabulary."""
+    def read(self, words: list[str]) -> tuple[str, ...]:
+        """A sentence's words; starred and run-together ones are read by the vocabulary."""
         out = []
         for w in words:
-            if w in self.common:
-                continue
-            if w not in self.vocabulary and ("*" in w or len(w) > 11):
-                out += [x for x in self._read(w) if x not in self.common]
+            if w not in self.vocabulary and w not in self.common and ("*" in w or len(w) > 11):
+                out += self._read(w)
             else:
                 out.append(w)
         return tuple(sorted(out))
@@ -258,23 +255,19 @@ class Judge:
         return best[-1] if best[-1] and len(best[-1]) <= 6 else None
 
     def score(self, words: list[str]) -> float:
-        key = self.reduce(words)
-        if not key:
-            return 0.0
-        # common words find no neighbours, but they do lengthen the sentence's vector
-        rest = sum(self.index.idf(w) ** 2 for w in set(words) if w in self.common)
-        got = self.known.get((key, rest))
+        read = self.read(words)
+        key = " ".join(read)
+        got = self.known.get(key)
         if got is None:
-            own = sum(((1 + math.log(c)) * self.index.idf(w)) ** 2 for w, c in Counter(key).items())
-            share = own / (own + rest)
             pos = neg = 0.0
-            for near, i in self.index.top(key):
+            for near, i in self.index.top(read):
                 p, n = self.index.votes[i]
-                pos += near * near * share * p
-                neg += near * near * share * n
+                pos += near * near * p
+                neg += near * near * n
             got = (pos + self.base * PRIOR) / (pos + neg + PRIOR)
-            if len(self.known) < 200_000:
-                self.known[key, rest] = got
+            if len(self.known) >= 20_000:
+                self.known.clear()
+            self.known[key] = got
         return got
 
 
@@ -298,43 +291,50 @@ def tokenized(documents: DataFrame) -> DataFrame:
 
 
 def fit(tokens: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Judge:
-    """Examples from at most ``max_labelled`` labelled documents; word counts from all of ``tokens``.
+    """Examples from at most ``max_labelled`` labelled documents; word counts from the distinct sentences of all of ``tokens``.
 
     A document's label is the mean of its distinct judgements; nulls and even splits do not count.
     """
-    total = tokens.count()
-    counts = tokens.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    # copies of a sentence count once; the word '', which no sentence has, counts the sentences
+    each = tokens.select("words").distinct().select(F.explode(F.array_append(F.array_distinct("words"), F.lit(""))).alias("word"))
+    counts = cut(each.groupBy("word").agg(F.count("*").alias("n")))
+    total = next((r.n for r in counts.where("word = ''").collect()), 0)
     # the common words are few by their definition
-    common = frozenset(r.word for r in counts.where(F.col("n") > max(COMMON * total, 20)).select("word").collect())
+    common = frozenset(r.word for r in counts.where((F.col("n") > max(COMMON * total, 20)) & (F.col("word") != "")).select("word").collect())
     judged = labels.where("toxic is not null").select("doc_id", "annotator", "toxic").distinct().groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where("toxic <> 0.5")
     sample = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    stop = F.array(*[F.lit(w) for w in sorted(common)]) if common else F.array().cast("array<string>")
-    held = tokens.join(sample, "doc_id").select("doc_id", "toxic", F.array_sort(F.array_except("words", stop)).alias("words")).where("size(words) > 0")
-    rows = held.groupBy("doc_id", "toxic").agg(F.collect_set("words").alias("sentences")).collect()  # bounded by max_labelled
-    seeds = [(tuple(sorted(set(plain_words(s)) - common)), pos) for text, pos in ((ABUSIVE, 1), (HARMLESS, 0)) for s in text.strip().split("\n")]
-    base = (sum(r.toxic > 0.5 for r in rows) + 1) / (len(rows) + 10)
+    held = tokens.join(sample, "doc_id").select("doc_id", "toxic", F.array_sort(F.array_distinct("words")).alias("words"))
+    rows: list[tuple[float, list[tuple[str, ...]]]] = []  # bounded by max_labelled
+    same: dict[tuple[str, ...], tuple[str, ...]] = {}
+    for r in held.groupBy("doc_id", "toxic").agg(F.collect_set("words").alias("sentences")).toLocalIterator():
+        rows.append((r.toxic, [same.setdefault(t, t) for t in (tuple(map(sys.intern, s)) for s in r.sentences)]))
+    seeds = [(tuple(sorted(set(plain_words(s)))), pos) for text, pos in ((ABUSIVE, 1), (HARMLESS, 0)) for s in text.strip().split("\n")]
+    base = (sum(toxic > 0.5 for toxic, _ in rows) + 1) / (len(rows) + 10)
     seen: Counter = Counter()
     bad: Counter = Counter()
-    for r in rows:
-        for w in {w for s in r.sentences for w in s}:
+    for toxic, held_sentences in rows:
+        for w in {w for s in held_sentences for w in s}:
             seen[w] += 1
-            bad[w] += r.toxic > 0.5
+            bad[w] += toxic > 0.5
     for words, pos in seeds:
         for w in words:
             seen[w] += SEED_WEIGHT
             bad[w] += SEED_WEIGHT * pos
     rate = {w: (bad[w] + PRIOR_WORD * base) / (seen[w] + PRIOR_WORD) for w in seen}
-    def typical(sentence: list[str]) -> float:
+
+    def typical(sentence: tuple[str, ...]) -> float:
+        # frequent words say nothing beside others, unless they are typical of abuse
+        sentence = [w for w in sentence if w not in common or rate[w] >= LIKELY] or sentence
         # one word alone is weak evidence: a second one of the base rate is put beside it
         worst = sorted([*(rate[w] for w in sentence), *[base] * (len(sentence) < 2)], reverse=True)[:3]
         return sum(worst) / len(worst)
 
     votes: dict[tuple[str, ...], list[float]] = {}
-    for r in rows:
-        likely = [(typical(s), tuple(s)) for s in r.sentences]
+    for toxic, held_sentences in rows:
+        likely = [(typical(s), s) for s in held_sentences]
         most = max(likely)[0]
         for t, s in likely:
-            if r.toxic < 0.5:
+            if toxic < 0.5:
                 # judges err: words typical of abuse in a document judged harmless are weak evidence
                 votes.setdefault(s, [0.0, 0.0])[1] += 1 if t < SURELY else 1 - t
             elif t >= max(LIKELY, 0.7 * most):
@@ -368,7 +368,9 @@ def abuse_scores(documents: DataFrame, labels: DataFrame, max_labelled: int = MA
                 rows.append((doc, at, s := judge.value.score(words), " ".join(words) if s >= REVIEW else None))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
-    scored = tokens.mapInArrow(judged, "doc_id bigint, at int, score double, words string")
+    # copies of a sentence stand together and are compared once; a partition of very many is split
+    alike = tokens.hint("rebalance", "words").sortWithinPartitions("words")
+    scored = alike.mapInArrow(judged, "doc_id bigint, at int, score double, words string")
     return scored.groupBy("doc_id").agg(
         F.max("score").alias("score"),
         F.count_if(F.col("score") >= REVIEW).alias("sentences"),

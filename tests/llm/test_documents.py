@@ -133,3 +133,17 @@ def test_abuse_without_labels_or_documents(spark):
     got = {x.doc_id: x.score for x in A.abuse_scores(docs, none).collect()}
     assert got[1] >= A.REVIEW > got[2]
     assert A.abuse_scores(docs.limit(0), none).collect() == []
+
+
+def test_copied_abuse_is_found(spark):
+    r = random.Random(5)
+    noun = lambda: r.choice(["relay", "map", "lock", "wedge", "tone", "grid", "slot", "ring"])
+    docs = [(i, " ".join(r.choice(PLAIN).format(a=noun(), b=noun(), c=noun()) for _ in range(4)) + (" Crawl back under your bridge, you warty gremlin." if i % 3 == 0 else "")) for i in range(600)]
+    labels = [(i, "a", int(i % 3 == 0)) for i in range(0, 600, 5)]
+    scores = A.abuse_scores(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, annotator string, toxic int"))
+    assert {x.doc_id for x in scores.where(f"score >= {A.REVIEW}").collect()} == set(range(0, 600, 3))
+
+
+def test_frequent_words_count_in_the_cosine():
+    judge = A.Judge([(("a", "the"), 1.0, 0.0), (("a", "rare"), 0.0, 1.0)], {"the": 900, "a": 900, "rare": 1}, 1000, frozenset(["a", "the"]), 0.1)
+    assert judge.score(["the", "a"]) > 0.4 > judge.score(["rare", "a"]) and [(round(s, 9), i) for s, i in judge.index.top(("a", "the"))][0] == (1.0, 0)
