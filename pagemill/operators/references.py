@@ -2,8 +2,8 @@
 
 References and parents of every kind are brought under one key, co-partitioned
 and sorted by it, and merged as two streams (Spark's sort-merge join). Parents
-are reduced to one row a key with the interval in which they were valid before
-they are shuffled; adaptive execution splits a key that draws very many references.
+are reduced to one row a key (``reference_statuses``: with the interval in which they
+were valid) before they are merged; adaptive execution splits a key that draws very many references.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def link_references(links: DataFrame, revisions: DataFrame) -> DataFrame:
         .when(F.col("kind") == "version", F.concat_ws("\x1f", "target_name", "target_rev"))
     )
     starts = F.when(F.col("kind") == "prefix", F.col("tid")).when(F.col("kind") == "place", rev).otherwise("")
-    return l.select(F.lit("links").alias("ref_table"), "ref_key", "target", "repo", "sha", "kind", key.alias("key"), starts.alias("starts"), F.lit("").alias("ends"))
+    return l.select(F.lit("links").alias("ref_table"), "ref_key", "target", "repo", "sha", "kind", key.alias("key"), starts.alias("starts"), F.lit("").alias("ends"), "at_latest")
 
 
 def import_references(revisions: DataFrame) -> DataFrame:
@@ -111,6 +111,15 @@ def parent_keys(definitions: DataFrame, locations: DataFrame, names: DataFrame,
     return by_id.unionByName(by_prefix).unionByName(by_place).unionByName(by_module).unionByName(by_name).unionByName(by_version)
 
 
+def _short(links: DataFrame) -> list[int]:
+    """The lengths below PREFIX in which identities are written: at most PREFIX numbers come to the driver."""
+    return [
+        r[0]
+        for r in links.where(f"target_identity is null and target_id is not null and length(target_id) < {PREFIX + 7}")
+        .select(F.length(identity_of("target_id")).alias("n")).where(f"n < {PREFIX}").distinct().collect()
+    ]
+
+
 def orphan_references(links: DataFrame, revisions: DataFrame, definitions: DataFrame, locations: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct (ref_table, ref_key, target, repo, sha, kind) of the references whose record the whole tables lack.
 
@@ -119,13 +128,7 @@ def orphan_references(links: DataFrame, revisions: DataFrame, definitions: DataF
     revision, is an orphan; a null or empty ``unmapped`` holds no reference. Repeated rows
     count once; empty tables of records make every reference an orphan.
     """
-    # how short identities are written: at most PREFIX numbers come to the driver
-    short = [
-        r[0]
-        for r in links.where(f"target_identity is null and target_id is not null and length(target_id) < {PREFIX + 7}")
-        .select(F.length(identity_of("target_id")).alias("n")).where(f"n < {PREFIX}").distinct().collect()
-    ]
-    parents = parent_keys(definitions, locations, names, short)
+    parents = parent_keys(definitions, locations, names, _short(links))
     lost = merge_references(link_references(links, revisions), parents)
     cols = ["ref_table", "ref_key", "target", "repo", "sha", "kind"]
     imports = import_references(revisions)
@@ -171,3 +174,57 @@ def reference_status(links: DataFrame, revisions: DataFrame, definitions: DataFr
         .otherwise("live")
     )
     return got.select("link_seq", "target", status.alias("status")).distinct()
+
+
+def reference_statuses(links: DataFrame, revisions: DataFrame, definitions: DataFrame, locations: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (ref_table, ref_key, target, repo, sha, kind, status, month) of the references of every kind that ``orphan_references`` decides.
+
+    'late', 'deleted' and 'live' are told by the first crawl that saw the record and by whether the newest
+    revision of a repository holds it, as in ``reference_status``. A place without a sha, or a module, that the
+    revision asked for lacks is 'late' or 'deleted' if another revision of its repository has it, by its first crawl.
+    'missing' is what no revision has. Registry names and versions carry no dates: 'missing' or 'live'.
+    """
+    crawl = revisions.groupBy("repo", "sha").agg(F.max("crawled_at").alias("crawled_at"))
+    newest = latest_revision(revisions).select("repo", F.col("sha").alias("newest"))
+    dated = crawl.join(newest, "repo")
+    spans = [F.min("crawled_at").alias("first"), F.max((F.col("sha") == F.col("newest")).cast("int")).alias("current")]
+    seen = locations.select("identity", "repo", "sha", "path", "symbol").distinct().join(dated, ["repo", "sha"])
+    keys = parent_keys(definitions, locations, names, _short(links)).distinct()
+    by_identity = seen.groupBy(F.col("identity").alias("of")).agg(*spans)
+    by_path = seen.where("path is not null").groupBy(_place("repo", "path", "symbol").alias("of")).agg(*spans)
+    of = F.when(F.col("kind") == "identity", F.col("key")).when(F.col("kind") == "prefix", F.col("value")).when(F.col("kind") == "place", F.expr(f"substr(key, {PREFIX + 2})"))
+    keys = keys.withColumn("of", of)
+    ids = keys.where("kind in ('identity', 'prefix')").join(by_identity, "of", "left")
+    # the place of one revision was there from its crawl on
+    at = seen.where("path is not null").groupBy(F.concat_ws("\x1f", F.substring("sha", 1, PREFIX), _place("repo", "path", "symbol")).alias("key"), F.col("sha").alias("value")).agg(F.min("crawled_at").alias("first"))
+    places = keys.where("kind = 'place'").join(at, ["key", "value"], "left").join(by_path.select("of", "current"), "of", "left")
+    others = keys.where("kind not in ('identity', 'prefix', 'place')").withColumns({"first": F.lit(None).cast("string"), "current": F.lit(None).cast("int")})
+    any_path = by_path.select(F.lit("place of any").alias("kind"), F.col("of").alias("key"), F.lit("").alias("value"), "first", "current")
+    module = F.split("key", "\x1f")
+    any_module = (
+        keys.where("kind = 'module'").select(module[0].alias("repo"), module[1].alias("sha"), module[2].alias("stem"), "value").join(dated, ["repo", "sha"])
+        .groupBy(F.lit("module of any").alias("kind"), F.concat_ws("\x1f", "repo", "stem").alias("key"), "value").agg(*spans)
+    )
+    columns = ["kind", "key", "value", "first", "current"]
+    parents = ids.select(*columns).unionByName(places.select(*columns)).unionByName(others.select(*columns)).unionByName(any_path).unionByName(any_module)
+
+    cols = ["ref_table", "ref_key", "target", "repo", "sha", "said"]
+    exact = link_references(links, revisions).unionByName(import_references(revisions).withColumn("at_latest", F.lit(False))).withColumn("said", F.col("kind")).distinct()
+    loose = exact.where("at_latest or kind = 'module'").withColumns(
+        {"kind": F.concat("kind", F.lit(" of any")), "key": F.when(F.col("kind") == "place", F.expr(f"substr(key, {PREFIX + 2})")).otherwise(F.concat_ws("\x1f", module[0], module[2])), "starts": F.lit("")}
+    )
+    met = merge_references(exact.unionByName(loose), parents, "left")
+    own = F.col("r.kind") == F.col("r.said")
+    got = met.groupBy(*[F.col(f"r.{c}").alias(c) for c in cols]).agg(
+        F.max(own & F.col("p.kind").isNotNull()).alias("known"), F.min(F.when(own, F.col("p.first"))).alias("first"), F.max(F.when(own, F.col("p.current"))).alias("current"), F.min(F.when(~own, F.col("p.first"))).alias("elsewhere")
+    )
+    status = (
+        F.when(F.col("known"), F.when(F.col("first") > F.col("crawled_at"), "late").when(F.col("current") == 0, "deleted").otherwise("live"))
+        .when(F.col("elsewhere") > F.col("crawled_at"), "late").when(F.col("elsewhere").isNotNull(), "deleted").otherwise("missing")
+    )
+    return got.join(crawl, ["repo", "sha"], "left").select("ref_table", "ref_key", "target", "repo", "sha", F.col("said").alias("kind"), status.alias("status"), F.coalesce(F.substring("crawled_at", 1, 7), F.lit("")).alias("month"))
+
+
+def status_by_month(statuses: DataFrame) -> DataFrame:
+    """References per table, status and month of the last ``crawled_at`` of the referring revision ('' where it is unknown)."""
+    return statuses.groupBy("ref_table", "status", "month").agg(F.count("*").alias("references"))

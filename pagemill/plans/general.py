@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.hierarchy import descendant_pairs, hierarchies
-from pagemill.operators.references import orphan_counts, orphan_references, reference_status
+from pagemill.operators.references import orphan_counts, orphan_references, reference_status, reference_statuses, status_by_month
 from pagemill.tables import identity_of, table
 
 
@@ -60,6 +60,18 @@ def p6_status(spark: SparkSession, d: str) -> DataFrame:
     ).groupBy("status").agg(F.count("*").alias("links"))
 
 
+def p6_status_by_month(spark: SparkSession, d: str) -> DataFrame:
+    return status_by_month(
+        reference_statuses(
+            table(spark, d, "links", "link_seq", "target_address", "repo", "sha", "target_form", "target_name", "target_locator", "target_path", "target_rev", "target_symbol", "target_id", "target_identity"),
+            table(spark, d, "revisions", "repo", "sha", "crawled_at", "crawl_seq", "unmapped"),
+            table(spark, d, "definitions", "identity"),
+            table(spark, d, "locations", "identity", "repo", "sha", "path", "symbol"),
+            table(spark, d, "registry_names", "name", "versions"),
+        )
+    )
+
+
 _EDGES = """
 e AS (SELECT lower(source_identity) c, min(regexp_replace(lower(target_identity), '^sha256:', '')) p
       FROM links WHERE relation = 'from' AND target_identity IS NOT NULL AND source_identity IS NOT NULL GROUP BY 1),
@@ -84,7 +96,7 @@ o AS (SELECT 'links' ref_table, CAST(link_seq AS VARCHAR) ref_key, target_addres
      SELECT 'revisions', repo || '@' || sha, m, 'module', repo, sha FROM (SELECT DISTINCT repo, sha, unnest(map_keys(unmapped)) m FROM revisions) u
      WHERE NOT EXISTS (SELECT 1 FROM locations x WHERE x.repo = u.repo AND x.sha = u.sha AND (ends_with('/' || x.path, '/' || replace(m, '.', '/') || '.py') OR ends_with('/' || x.path, '/' || replace(m, '.', '/') || '/__init__.py'))))"""
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_hierarchy, p4_descendants, p4_rings, p6_found, p6_by_month, p6_status)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_hierarchy, p4_descendants, p4_rings, p6_found, p6_by_month, p6_status, p6_status_by_month)}
 
 SQL = {
     "p4_found": f"WITH RECURSIVE {_EDGES} SELECT id identity, root root_identity, CAST(depth AS INTEGER) depth FROM w UNION ALL SELECT id, '', -1 FROM n WHERE id NOT IN (SELECT id FROM w)",

@@ -1,6 +1,6 @@
 import pytest
 
-from pagemill.operators.references import orphan_counts, orphan_references, reference_status
+from pagemill.operators.references import orphan_counts, orphan_references, reference_status, reference_statuses, status_by_month
 
 LINKS = "link_seq bigint, target_address string, repo string, sha string, target_form string, target_name string, target_locator string, target_path string, target_rev string, target_symbol string, target_id string, target_identity string, kind string"
 A, B = "a" * 64, "b" * 64
@@ -49,3 +49,22 @@ def test_empty_tables(spark, tables):
     assert orphan_references(**none).collect() == []
     only = none | {"links": tables["links"]}
     assert orphan_references(**only).count() == 17 - 2 + 2  # all but those without a form or rule
+
+
+def test_statuses_of_every_kind(spark, tables):
+    old, new = "e" * 40, "d" * 40
+    more = [("q", old, {"was.here": 1, "comes": 1, "never": 1}, "2025-03-01T00:00:00Z", 3), ("q", new, {"was.here": 1}, "2025-04-01T00:00:00Z", 4)]
+    revisions = tables["revisions"].union(spark.createDataFrame(more, tables["revisions"].schema))
+    places = [(A, "q", old, "gone.py", None), (A, "q", new, "comes.py", None), (A, "q", "f" * 40, "no.py", None)]
+    locations = tables["locations"].union(spark.createDataFrame(places, tables["locations"].schema))
+    links = tables["links"].union(spark.createDataFrame([link(30, "locator", locator="q", path="gone.py", rev="main"), link(31, "locator", locator="q", path="comes.py", rev="main"), link(32, "locator", locator="q", path="gone.py", rev=old)], LINKS))
+    args = dict(tables, links=links, revisions=revisions, locations=locations)
+    rows = reference_statuses(**args)
+    got = {(r.ref_table, r.ref_key, r.target): r.status for r in rows.collect()}
+    status = {int(k): s for (t, k, _), s in got.items() if t == "links"}
+    assert {n for n, s in status.items() if s == "missing"} == {2, 4, 6, 8, 10, 11, 13, 15, 19}
+    assert (status[30], status[31], status[32]) == ("late", "late", "late") and status[1] == status[3] == status[7] == status[14] == "live"
+    modules = {m: s for (t, k, m), s in got.items() if t == "revisions" and k == f"q@{old}"}
+    assert modules == {"was.here": "missing", "comes": "late", "never": "missing"}
+    assert sum(r.references for r in status_by_month(rows).collect()) == len(got) == rows.count()
+    assert reference_statuses(**{k: v.limit(0) for k, v in args.items()}).collect() == []
