@@ -71,8 +71,12 @@ def _lex(text: str, hash_comments: bool) -> list[tuple[str, str, int]]:
     return [(m.lastgroup, m[0], m.start()) for m in (_HASH if hash_comments else _TOKEN).finditer(text)]
 
 
+#: fixed values: suffixes of languages whose comments are // and /* */
+_SLASHES = ("c", "h", "js", "ts", "java", "go", "rs", "cc", "cpp", "hpp", "css", "jsx", "tsx", "mjs")
+
+
 def _hash_comments(language: str | None, path_hint: str) -> bool:
-    return language == "python" or not path_hint.rsplit(".", 1)[-1].lower() in ("c", "h", "js", "ts", "java", "go", "rs", "cc", "cpp", "hpp", "css", "jsx", "tsx", "mjs") and language != "c"
+    return language == "python" or not path_hint.rsplit(".", 1)[-1].lower() in _SLASHES and language != "c"
 
 
 def canonical_lines(tokens: list[tuple[str, str, int]], by_line: bool) -> int:
@@ -231,25 +235,36 @@ def carried(path: str | None) -> bool:
 def machine_files(definitions: DataFrame, locations: DataFrame) -> DataFrame:
     """(repo, sha, path, verdict) of the whole-file places whose file nobody there wrote by hand.
 
-    verdict: generated, minified, data or vendored. The text decides once for each identity, the
-    folder once for each place. Empty or null texts are no cases, in whatever folder; places of pages
+    verdict: generated, minified, data or vendored. The text decides once for each identity and comment
+    style, which the path's suffix tells; the folder decides once for each place. Empty or null texts are no cases, in whatever folder; places of pages
     without a row are left out; a null path is in no folder; repeated rows count once.
     """
-    schema = pa.schema([("identity", pa.string()), ("verdict", pa.string()), ("blank", pa.bool_())])
+    schema = pa.schema([("identity", pa.string()), ("hashes", pa.bool_()), ("verdict", pa.string()), ("blank", pa.bool_())])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, langs, texts = (c.to_pylist() for c in b.columns)
-            says = [verdict(t, x) for x, t in zip(langs, texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(says, pa.string()), pa.array([not (t and t.strip()) for t in texts], pa.bool_())], schema=schema)
+            rows = []
+            for i, x, t in zip(ids, langs, texts):
+                blank = not (t and t.strip())
+                # only where the language doesn't tell the style do both have to be judged
+                for hashes in sorted({_hash_comments(x, ""), _hash_comments(x, "a.js")}):
+                    rows.append((i, hashes, verdict(t, x, "" if hashes else "a.js"), blank))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     pages = (
         definitions.where("kind = 'script' and identity is not null").select("identity", "language", "source")
-        .mapInArrow(judged, "identity string, verdict string, blank boolean").where("not blank").dropDuplicates(["identity"])
+        .mapInArrow(judged, "identity string, hashes boolean, verdict string, blank boolean").where("not blank").dropDuplicates(["identity", "hashes"])
     )
     folder = F.col("path").rlike(f"(?i){VENDOR_FOLDER.pattern}")
+    slashes = F.coalesce(F.lower(F.substring_index("path", ".", -1)).isin(*_SLASHES), F.lit(False))
+    places = whole_files(locations).withColumn("slashes", slashes)
+    # a page judged in one style has it at every path
+    fits = (F.col("hashes") != F.col("slashes")) | ~F.col("both")
+    pages = pages.groupBy("identity").agg(F.collect_list(F.struct("hashes", "verdict")).alias("styles"))
+    pages = pages.select("identity", F.explode("styles").alias("style"), (F.size("styles") > 1).alias("both")).select("identity", "both", "style.*")
     return (
-        whole_files(locations).join(pages, "identity")
+        places.join(pages, "identity").where(fits)
         .select("repo", "sha", "path", F.when(folder, F.lit("vendored")).otherwise(F.col("verdict")).alias("verdict"))
         .where("verdict is not null").distinct()
     )

@@ -37,6 +37,13 @@ def test_machine_files(spark):
     assert G.machine_files(defs.limit(0), locs.limit(0)).collect() == []
 
 
+def test_comment_styles_of_text_pages(spark):
+    marked = "// Code generated by x 1.0. DO NOT EDIT.\nvar a = 1;\n"
+    defs = spark.createDataFrame([("j", "text", "script", marked), ("h", "text", "script", "# @generated\nkey = 1\n"), ("c", "c", "script", marked)], "identity string, language string, kind string, source string")
+    locs = spark.createDataFrame([("j", "r", "s", "a.JS", None), ("j", "r", "s", "a.txt", None), ("h", "r", "s", "b.cfg", None), ("h", "r", "s", "b.go", None), ("c", "r", "s", "c.inc", None)], "identity string, repo string, sha string, path string, symbol string")
+    assert {(r.path, r.verdict) for r in G.machine_files(defs, locs).collect()} == {("a.JS", "generated"), ("b.cfg", "generated"), ("c.inc", "generated")}
+
+
 DOCS = {
     "Drops each tree that was public before the lock became sparse.": False, "TODO: document this": True, "": True, "Args:\n    x:\nReturns:": True, "Args:\n    x: the raw map of all tiles": False, ":param a:\n:return:": True, "@param a @param b @return": True, "Beschreibung fehlt noch": True,
     "Prüft jeden Eintrag im Feld und verwirft alte. TODO: handle more": False, "Docs for this will be written later": True, "Add a description here please": True, "...": True, "/** Says what it is for, plainly. */": False, "do the thing": True, "Do the thing now.": True, "----------": True, "None": True,
