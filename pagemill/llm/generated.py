@@ -170,9 +170,9 @@ def verdict(text: str | None, language: str | None, path: str = "") -> str | Non
     if not code:
         return None
     by_line = hashes
-    n_lines = len({text.count("\n", 0, a) for _, _, a in code}) if len(code) < 400 else sum(1 for x in text.split("\n") if x.strip() and not x.lstrip().startswith(("//", "#") if hashes else ("//", "/*", "*")))
     size = sum(len(t) for _, t, _ in code)
     documents = _standing_strings(tokens)
+    n_lines = _code_lines(text, [(t, a) for _, t, a in code if a not in documents])
     literals = [t for k, t, a in code if k in ("number", "string") and a not in documents]
     size -= sum(len(t) for _, t, a in code if a in documents)
     literal_size = sum(len(t) for t in literals)
@@ -195,6 +195,17 @@ def verdict(text: str | None, language: str | None, path: str = "") -> str | Non
     return None
 
 
+def _code_lines(text: str, code: list[tuple[str, int]]) -> int:
+    """Lines that hold code tokens or parts of them, in one pass over the tokens' places."""
+    n, last, line, upto = 0, -1, 0, 0
+    for t, at in code:
+        line, upto = line + text.count("\n", upto, at), at
+        end = line + t.count("\n")
+        n += end - max(line - 1, last)
+        last = end
+    return n
+
+
 def _rows_alike(tokens: list[tuple[str, str, int]]) -> float:
     """The share of a file's lines that are records of one shape, bracketed and of several members, if there are at least eight."""
     lines: list[list[str]] = [[]]

@@ -37,6 +37,12 @@ def test_machine_files(spark):
     assert G.machine_files(defs.limit(0), locs.limit(0)).collect() == []
 
 
+def test_lines_of_comments_are_no_code_at_any_size():
+    for n in (30, 400):
+        assert G.verdict("/*\n" + "plain words about the file\n" * n + "*/\n" + "".join(f"int a{i}(int b){{return b+{i};}}" for i in range(n)) + "\n", "c") == "minified"
+    assert G._code_lines('x = """a\nb\n"""; y\n\nz\n', [("x", 0), ('"""a\nb\n"""', 4), ("y", 16), ("z", 19)]) == 4
+
+
 def test_comment_styles_of_text_pages(spark):
     marked = "// Code generated by x 1.0. DO NOT EDIT.\nvar a = 1;\n"
     defs = spark.createDataFrame([("j", "text", "script", marked), ("h", "text", "script", "# @generated\nkey = 1\n"), ("c", "c", "script", marked)], "identity string, language string, kind string, source string")
