@@ -1,18 +1,18 @@
 """Abusive, hateful or sexual content, by the nearest labelled examples.
 
-Texts are split into sentences of undisguised words. Sentences of labelled documents,
-and a few written ones, are the examples; a document's label is laid on those of its
-sentences whose words are typical of such documents. Every sentence of the corpus is
-compared with the examples by TF-IDF cosine of all its words; an inverted index with score
-bounds finds the nearest exactly. Their votes, weighted by distance, give a sentence's
-score, and a document's score is that of its worst sentence, kept as evidence.
+Texts are split into sentences of undisguised words. The examples are sentences of labelled
+documents and nothing else. A document judged harmful does not say which of its sentences is meant, and its
+judge may have erred: the label is laid on those of its sentences whose nearest labelled
+neighbours, each vote weighted by its distance, agree with it more than they do not. Every
+sentence of the corpus is then compared with the examples by exact TF-IDF cosine through
+a block-max index; the votes of the nearest give its score, and a document's score is that of its
+worst sentence, which is kept as evidence together with the nearest example.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,225 +24,163 @@ from pyspark.sql import functions as F
 from pagemill.llm.plaintext import plain_words, sentences
 from pagemill.session import cut
 
-#: labelled documents the examples are taken from, at most; beyond it the ones least by a hash of their id
-MAX_LABELLED = 20_000
-#: words in a larger share of the distinct sentences say nothing about a label unless they are typical of abuse; so there are at most (words a sentence / share) of them
-COMMON = 0.002
-#: neighbours that vote, and the least similarity of one
-NEIGHBOURS, NEAR = 10, 0.3
+#: labelled documents the examples are taken from, at most, and the sentences of these together; beyond either the documents least by a hash of their id
+MAX_LABELLED, MAX_SENTENCES = 20_000, 400_000
+#: rarer words than one in this many distinct sentences count as alike rare, so that the words with a frequency of their own are few
+RAREST = 10_000
+#: neighbours that vote on a sentence, and on where a label lies, and the least similarity of one
+NEIGHBOURS, AGREEING, NEAR = 10, 20, 0.3
+#: share of the votes from which a label lies on a sentence
+AGREED = 0.6
+#: weight of the base rate in a sentence's score
+PRIOR = 1.0
 #: score from which a document is listed for review
 REVIEW = 0.35
-#: weight of the base rate in a word's and in a sentence's score
-PRIOR_WORD, PRIOR = 4.0, 1.0
-#: mean rate of a sentence's three worst words from which it bears its document's label, or outweighs it
-LIKELY, SURELY = 0.5, 0.5
-#: how many labelled sentences a written example counts as
-SEED_WEIGHT = 3.0
-
-#: fixed values: written examples of abuse (insults and threats, hatred of groups, sexual demands and remarks)
-ABUSIVE = """
-you are an idiot and everybody knows it
-you stupid moron shut your mouth nobody wants you
-shut up you worthless piece of shit
-fuck off you bastard
-go kill yourself
-i will find you and break your fingers
-i know where you live watch your back
-i will beat you bloody if i ever meet you
-i hope you get hurt you deserve it
-go crawl into a hole and die you pathetic loser
-delete your account you brainless parasite
-did your mother drop you on your head halfwit
-what a load of shit you imbecile
-your work is as ugly and useless as you are
-these people are subhuman vermin
-foreigners breed like rats throw them out of the country
-immigrants are too stupid to understand anything keep them out
-women are too stupid to code and should not be allowed here
-send them back where they came from
-hang them all
-gas them all
-people of that faith are a plague
-old people should never be allowed near this
-send me nudes
-sleep with me and it gets merged
-i want you naked on my desk
-let us have sex in the server room
-your photo makes me horny
-i keep staring at her tits
-she only got it because she is a slut
-suck my dick
-show me your tits
-nice ass i would fuck her
-du bist ein elender vollidiot
-halt die fresse du arschloch niemand braucht dich
-verpiss dich du wichser
-ausländer raus haben hier nichts verloren raus mit dem pack
-bring dich um
-ich weiß wo du wohnst ich mach dich fertig
-schick mir nacktfotos
-die schlampe hat sich hochgeschlafen
-eres un imbécil de mierda y das asco
-cállate hijo de puta nadie te quiere
-los inmigrantes son una plaga que se larguen todos
-vete a la mierda gilipollas
-mátate nadie te quiere
-mándame fotos desnuda
-tu es un pauvre connard et c'est de la merde
-ferme ta gueule abruti personne ne veut de toi
-les étrangers sont de la vermine dehors
-va te faire foutre
-je sais où tu habites je vais te tuer
-envoie moi des photos nue
-sei un coglione vaffanculo
-stai zitto figlio di puttana
-você é um idiota cala a boca filho da puta
-jesteś idiotą zamknij mordę
-je bent een klootzak hou je bek
-"""
-#: fixed values: written examples of harsh or ambiguous words that abuse nobody
-HARMLESS = """
-kill the parent process first then its orphan children die on their own
-killing the job twice leaves a zombie that the reaper collects
-abort the child thread when the master hangs
-whitelist and blacklist were renamed
-the master slave replication was renamed
-this hack is ugly and i hate it but it works
-this code is garbage and the api is stupid
-garbage in garbage out it eats whatever trash it is fed
-the dumb terminal mode is a stupid simple fallback
-that was my own silly mistake sorry for the noise
-i am such an idiot i forgot to commit the file
-he called the old loop stupid and to be fair it was
-do not beat yourself up over it it happens to everyone
-nobody was hurt when the rack burned
-penetration tests hammered the cluster and it survived
-we strip the file naked of comments before hashing it
-foreign keys and immigrant rows are rejected
-the profanity filter test replaces each listed word with stars
-the filter flags fuck shit and similar words
-the field sex takes the codes 1 and 2 and may be null
-the male and female connectors do not fit
-the assessor class in the cockpit passes its analysis to essex
-execute the command and kill the session
-shoot the old server in the head before the new one starts
-this bug is a pain in the ass
-damn this is a hell of a mess
-the screw is too tight and the bitmap sucks memory
-"""
+#: examples of one block of the index; bounds of so many words and blocks are held as a table
+BLOCK, DENSE = 16, 4_000_000
+
 
+class Weights:
+    """Unit TF-IDF vectors; frequencies are shares of the distinct sentences."""
 
-class Nearest:
-    """Unit TF-IDF vectors in an inverted index with bounds on what words can add; ``top`` is exact."""
-
-    def __init__(self, examples: list[tuple[tuple[str, ...], float, float]], df: dict[str, int], total: int):
-        self.df, self.total, self.size = df, max(1, total), len(examples)
-        self.votes = [(pos, neg) for _, pos, neg in examples]
-        lists: dict[str, tuple[list[int], list[float]]] = {}
-        for i, (words, _, _) in enumerate(examples):
-            for w, x in self.vector(words).items():
-                ids, weights = lists.setdefault(w, ([], []))
-                ids.append(i)
-                weights.append(x)
-        self.lists = {w: (np.array(ids, np.int32), np.array(weights)) for w, (ids, weights) in lists.items()}
-        self.most = {w: float(x.max()) for w, (_, x) in self.lists.items()}
-        self.sums: np.ndarray | None = None
-
-    def idf(self, word: str) -> float:
-        return math.log((self.total + 1) / (self.df.get(word, 1) + 0.5)) + 1
-
-    def vector(self, words: tuple[str, ...]) -> dict[str, float]:
-        v = {w: (1 + math.log(n)) * self.idf(w) for w, n in Counter(words).items()}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    def __init__(self, frequent: dict[str, int], total: int):
+        self.rare = math.log((total + 1) / (max(1.0, total / RAREST) + 0.5)) + 1
+        self.idf = {w: math.log((total + 1) / (n + 0.5)) + 1 for w, n in frequent.items()}
+
+    def vector(self, words: list[str]) -> dict[str, float]:
+        idf, rare = self.idf, self.rare
+        v = {w: idf.get(w, rare) for w in words}
+        if len(v) < len(words):
+            for w, n in Counter(words).items():
+                v[w] *= 1 + math.log(n)
+        norm = math.sqrt(sum([x * x for x in v.values()])) or 1.0
         return {w: x / norm for w, x in v.items()}
 
-    def top(self, words: tuple[str, ...], k: int = NEIGHBOURS, least: float = NEAR) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, of at least ``least``; ties to the lower id."""
-        q = sorted(((x * self.most[w], w, x) for w, x in self.vector(words).items() if w in self.lists), reverse=True)
-        # what the words from one on can add at most: to any example, and as examples are of length one
-        rest, most, square = [0.0], 0.0, 0.0
-        for bound, _, x in reversed(q):
-            most, square = most + bound, square + x * x
-            rest.append(min(most, math.sqrt(square)))
-        rest.reverse()
-        if self.sums is None:
-            self.sums = np.zeros(self.size)
-        sums, fresh, bar, n = self.sums, [], least - 1e-9, 0
-        # words of most weight first, until examples without any of them can't be among the nearest
-        while n < len(q) and rest[n] >= bar:
-            ids, weights = self.lists[q[n][1]]
-            had = sums[ids]
-            fresh.append(ids[had == 0] if n else ids)
-            sums[ids] = had + q[n][2] * weights
-            n += 1
-            # the whole scores of those ahead so far tell early how near the nearest are
-            if n < len(q) and rest[n] >= bar and len(ids) >= k and len(self.lists[q[n][1]][0]) > 500:
-                ahead = ids[np.argpartition(sums[ids], len(ids) - k)[-k:]] if len(ids) > k else ids
-                bar = max(bar, float(self._add(ahead, sums[ahead], q[n:]).min()) - 1e-9)
-        if not fresh:
+
+class BlockMax:
+    """Examples in blocks, with the largest weight of each word in each block; ``top`` is exact."""
+
+    def __init__(self, examples: list[list[str]], weights: Weights):
+        vectors = [weights.vector(e) for e in examples]
+        # texts with the same frequent words, which are of one make, stand together, so that few blocks hold what is near one
+        order = sorted(range(len(examples)), key=lambda i: (sorted(vectors[i], key=lambda w: (vectors[i][w], w)), i))
+        self.number = np.array(order, np.int64)
+        self.words = {w: n for n, w in enumerate(sorted({w for v in vectors for w in v}))}
+        sizes = [len(vectors[i]) for i in order]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.cols = np.array([self.words[w] for i in order for w in vectors[i]], np.int32)
+        self.vals = np.array([x for i in order for x in vectors[i].values()])
+        self.blocks = -(-len(order) // BLOCK)
+        at = np.repeat(np.arange(len(order)) // BLOCK, sizes)
+        by = np.lexsort((at, self.cols))
+        cols, at, vals = self.cols[by], at[by], self.vals[by]
+        new = np.flatnonzero(np.concatenate([[True], (cols[1:] != cols[:-1]) | (at[1:] != at[:-1])])) if len(cols) else np.array([], np.int64)
+        self.block = at[new].astype(np.int32)
+        self.bound = np.maximum.reduceat(vals, new) if len(new) else vals
+        self.lists = np.searchsorted(cols[new], np.arange(len(self.words) + 1))
+        most = np.maximum.reduceat(self.bound, self.lists[:-1]).tolist() if len(new) else []
+        self.most = {w: most[n] for w, n in self.words.items()}
+        self.query = np.zeros(len(self.words))
+        self.table: np.ndarray | None = None
+        if len(self.words) * self.blocks <= DENSE:
+            self.table = np.zeros((len(self.words), self.blocks))
+            self.table[cols[new], self.block] = self.bound
+
+    def near(self, vector: dict[str, float], least: float = NEAR) -> bool:
+        """Whether anything can be as near as ``least``: by the most each word adds, and as examples are of length one."""
+        most, sum_, square = self.most, 0.0, 0.0
+        for w, x in vector.items():
+            if w in most:
+                sum_ += x * most[w]
+                square += x * x
+        return sum_ >= least - 1e-9 and square >= (least - 1e-9) ** 2
+
+    def top(self, vector: dict[str, float], k: int, least: float = NEAR) -> list[tuple[float, int]]:
+        """The ``k`` examples of largest cosine, of at least ``least``; ties to the lower number."""
+        if not self.near(vector, least):
             return []
-        ids = np.concatenate(fresh)
-        scores = sums[ids]
-        sums[ids] = 0
-        for m in range(n, len(q) + 1):
-            kept = scores + rest[m] >= bar
-            ids, scores = ids[kept], scores[kept]
-            bar = max(bar, _kth(scores, k) - 1e-9)
-            if m < len(q):
-                scores = self._add(ids, scores, q[m : m + 1])
-        order = np.lexsort((ids, -scores.round(12)))
-        return [(float(scores[i]), int(ids[i])) for i in order[:k] if scores[i] >= least]
-
-    def _add(self, ids: np.ndarray, scores: np.ndarray, words: list[tuple[float, str, float]]) -> np.ndarray:
-        """Scores of some examples with what further words add to them."""
-        for _, w, x in words:
-            have, weights = self.lists[w]
-            at = np.minimum(np.searchsorted(have, ids), len(have) - 1)
-            scores = scores + np.where(have[at] == ids, x * weights[at], 0.0)
-        return scores
-
-
-def _kth(scores: np.ndarray, k: int) -> float:
-    """The k-th largest, 0 where there are fewer."""
-    return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else 0.0
+        known = [(self.words[w], x) for w, x in vector.items() if w in self.words]
+        ids, weights = [n for n, _ in known], [x for _, x in known]
+        bar = least - 1e-9
+        if self.table is not None:
+            bounds = np.dot(weights, self.table[ids])
+        else:
+            bounds = np.zeros(self.blocks)
+            for n, x in known:
+                a, b = self.lists[n], self.lists[n + 1]
+                bounds[self.block[a:b]] += x * self.bound[a:b]
+        if bounds.max() < bar:
+            return []
+        todo = np.flatnonzero(bounds >= bar)
+        todo = todo[np.argsort(-bounds[todo], kind="stable")]
+        self.query[ids] = weights
+        found, scores = np.array([], np.int64), np.array([])
+        for b in todo.tolist():
+            if bounds[b] < bar:
+                break
+            lo, hi = b * BLOCK, min((b + 1) * BLOCK, len(self.number))
+            s, e = self.starts[lo], self.starts[hi]
+            got = np.add.reduceat(self.query[self.cols[s:e]] * self.vals[s:e], self.starts[lo:hi] - s)
+            fit = np.flatnonzero(got >= bar)
+            if len(fit):
+                found, scores = np.concatenate([found, self.number[lo + fit]]), np.concatenate([scores, got[fit]])
+                if len(scores) >= k:
+                    bar = max(bar, float(np.partition(scores, len(scores) - k)[len(scores) - k]) - 1e-9)
+                    kept = scores >= bar
+                    found, scores = found[kept], scores[kept]
+        self.query[ids] = 0
+        order = np.lexsort((found, -scores.round(12)))[:k]
+        return [(float(scores[i]), int(found[i])) for i in order if scores[i] >= least - 1e-9]
 
 
 class Judge:
-    """Scores sentences by their nearest examples."""
-
-    def __init__(self, examples: list[tuple[tuple[str, ...], float, float]], df: dict[str, int], total: int, common: frozenset[str], base: float):
-        self.common, self.base = common, base
-        self.vocabulary = {w for e, _, _ in examples for w in e}
-        self.typical: Counter = Counter()
-        for e, pos, neg in examples:
-            for w in e:
-                self.typical[w] += pos - neg
+    """Scores sentences by their nearest examples, given as (words, harmful documents, harmless documents) of labelled sentences."""
+
+    def __init__(self, labelled: list[tuple[str, int, int]], frequent: dict[str, int], total: int, base: float):
+        self.base = base
+        self.weights = Weights(frequent, total)
+        self.vocabulary = Counter()
+        for words, pos, neg in labelled:
+            for w in words.split(" "):
+                if "*" not in w:
+                    self.vocabulary[w] += pos - neg
         self.by_length: dict[int, list[str]] = {}
         for w in sorted(self.vocabulary):
             self.by_length.setdefault(len(w), []).append(w)
-        self.index = Nearest(examples, df, total)
-        self.known: dict[str, float] = {}
-        self.filled: dict[str, str | None] = {}
-
-    def read(self, words: list[str]) -> tuple[str, ...]:
-        """A sentence's words; starred and run-together ones are read by the vocabulary."""
+        self.filled: dict[str, str] = {}
+        self.known: dict[str, tuple[float, str | None]] = {}
+        labelled = sorted(labelled)
+        texts = [self.read(words.split(" ")) for words, _, _ in labelled]
+        every = BlockMax(texts, self.weights)
+        harmful = [n for n, (_, pos, _) in enumerate(labelled) if pos and self._agreed(every, texts[n], labelled)]
+        harmless = [n for n, (_, _, neg) in enumerate(labelled) if neg and n not in set(harmful)]
+        self.names = [labelled[n][0] for n in harmful]
+        self.votes = [(labelled[n][1], labelled[n][2]) for n in harmful], [(0, labelled[n][2]) for n in harmless]
+        self.index = BlockMax([texts[n] for n in harmful], self.weights), BlockMax([texts[n] for n in harmless], self.weights)
+
+    def _agreed(self, every: BlockMax, words: list[str], labelled: list[tuple[str, int, int]]) -> bool:
+        near = every.top(self.weights.vector(words), AGREEING)
+        pos = sum(s * s * labelled[n][1] for s, n in near)
+        neg = sum(s * s * labelled[n][2] for s, n in near)
+        return pos >= AGREED * (pos + neg) > 0
+
+    def read(self, words: list[str]) -> list[str]:
+        """A sentence's words; starred and run-together ones are read by the words of labelled sentences."""
         out = []
         for w in words:
-            if w not in self.vocabulary and w not in self.common and ("*" in w or len(w) > 11):
-                out += self._read(w)
+            if ("*" in w or len(w) > 11) and w not in self.vocabulary:
+                if len(self.filled) >= 100_000:
+                    self.filled.clear()
+                if w not in self.filled:
+                    self.filled[w] = self._fill(w) if "*" in w else " ".join(self._split(w) or [w])
+                out += self.filled[w].split(" ")
             else:
                 out.append(w)
-        return tuple(sorted(out))
-
-    def _read(self, word: str) -> list[str]:
-        if word not in self.filled:
-            if "*" in word:
-                shape = re.compile("".join("." if c == "*" else re.escape(c) for c in word) + r"\Z")
-                fits = [w for w in self.by_length.get(len(word), ()) if shape.match(w)]
-                self.filled[word] = max(fits, key=lambda w: (self.typical[w], w)) if fits else word
-            else:
-                self.filled[word] = " ".join(self._split(word) or [word])
-        return self.filled[word].split(" ")
+        return out
+
+    def _fill(self, word: str) -> str:
+        shape = re.compile("".join("." if c == "*" else re.escape(c) for c in word) + r"\Z")
+        return max((w for w in self.by_length.get(len(word), ()) if shape.match(w)), key=lambda w: (self.vocabulary[w], w), default=word)
 
     def _split(self, word: str) -> list[str] | None:
         """Known words that a run of letters is made of, the fewest."""
@@ -250,132 +188,109 @@ class Judge:
         for i in range(1, len(word) + 1):
             for j in range(max(0, i - 20), i - 1):
                 part = word[j:i]
-                if best[j] is not None and (part in self.vocabulary or part in self.common) and (best[i] is None or len(best[j]) + 1 < len(best[i])):
+                if best[j] is not None and part in self.vocabulary and (best[i] is None or len(best[j]) + 1 < len(best[i])):
                     best[i] = [*best[j], part]
         return best[-1] if best[-1] and len(best[-1]) <= 6 else None
 
-    def score(self, words: list[str]) -> float:
-        read = self.read(words)
-        key = " ".join(read)
-        got = self.known.get(key)
+    def score(self, words: str) -> tuple[float, str | None]:
+        """Score of a sentence, 0 where no harmful example is near, and the nearest harmful example."""
+        got = self.known.get(words)
         if got is None:
-            pos = neg = 0.0
-            for near, i in self.index.top(read):
-                p, n = self.index.votes[i]
-                pos += near * near * p
-                neg += near * near * n
-            got = (pos + self.base * PRIOR) / (pos + neg + PRIOR)
+            got = self._score(self.weights.vector(self.read(words.split(" "))))
             if len(self.known) >= 20_000:
                 self.known.clear()
-            self.known[key] = got
+            self.known[words] = got
         return got
 
+    def _score(self, vector: dict[str, float]) -> tuple[float, str | None]:
+        near = self.index[0].top(vector, NEIGHBOURS)
+        if not near:
+            return 0.0, None
+        both = [(s, 0, n) for s, n in near] + [(s, 1, n) for s, n in self.index[1].top(vector, NEIGHBOURS)]
+        pos = neg = 0.0
+        for s, side, n in sorted(both, key=lambda x: (-round(x[0], 12), x[1], x[2]))[:NEIGHBOURS]:
+            p, q = self.votes[side][n]
+            pos += s * s * p
+            neg += s * s * q
+        return (pos + self.base * PRIOR) / (pos + neg + PRIOR), self.names[near[0][1]]
+
 
 def tokenized(documents: DataFrame) -> DataFrame:
-    """(doc_id, at, words) of every sentence with words; ``at`` numbers the sentences of a text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("words", pa.list_(pa.string()))])
+    """(doc_id, sentences) of every row with words, in the order of the text; a sentence is its words with blanks between."""
+    schema = pa.schema([("doc_id", pa.int64()), ("sentences", pa.list_(pa.string()))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at, words = [], [], []
+            ids, held = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for n, s in enumerate(sentences(text or "")):
-                    w = plain_words(s)
-                    if w:
-                        ids.append(doc)
-                        at.append(n)
-                        words.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, at, words), schema.types)], schema=schema)
+                words = [" ".join(w) for s in sentences(text or "") if (w := plain_words(s))]
+                if words:
+                    ids.append(doc)
+                    held.append(words)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.types[0]), pa.array(held, schema.types[1])], schema=schema)
 
-    return documents.select("doc_id", "text").where("length(trim(text)) > 0").mapInArrow(split, "doc_id bigint, at int, words array<string>")
+    return documents.select("doc_id", "text").where("length(trim(text)) > 0").mapInArrow(split, "doc_id bigint, sentences array<string>")
 
 
-def fit(tokens: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Judge:
-    """Examples from at most ``max_labelled`` labelled documents; word counts from the distinct sentences of all of ``tokens``.
+def judgements(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): the mean of a document's distinct judgements; nulls and even splits do not count."""
+    each = labels.where("toxic is not null and doc_id is not null").select("doc_id", "annotator", "toxic").distinct()
+    return each.groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where("toxic <> 0.5").withColumn("toxic", F.col("toxic") > 0.5)
 
-    A document's label is the mean of its distinct judgements; nulls and even splits do not count.
+
+def word_counts(tokens: DataFrame) -> tuple[dict[str, int], int]:
+    """How many distinct sentences of the corpus hold a word, for words in more than one of RAREST, and how many sentences there are.
+
+    At most RAREST times the mean words of a sentence have an entry, however large the corpus is.
     """
     # copies of a sentence count once; the word '', which no sentence has, counts the sentences
-    each = tokens.select("words").distinct().select(F.explode(F.array_append(F.array_distinct("words"), F.lit(""))).alias("word"))
+    each = tokens.select(F.explode("sentences").alias("s")).distinct().select(F.explode(F.array_append(F.array_distinct(F.split("s", " ")), F.lit(""))).alias("word"))
     counts = cut(each.groupBy("word").agg(F.count("*").alias("n")))
     total = next((r.n for r in counts.where("word = ''").collect()), 0)
-    # the common words are few by their definition
-    common = frozenset(r.word for r in counts.where((F.col("n") > max(COMMON * total, 20)) & (F.col("word") != "")).select("word").collect())
-    judged = labels.where("toxic is not null").select("doc_id", "annotator", "toxic").distinct().groupBy("doc_id").agg(F.avg("toxic").alias("toxic")).where("toxic <> 0.5")
-    sample = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    held = tokens.join(sample, "doc_id").select("doc_id", "toxic", F.array_sort(F.array_distinct("words")).alias("words"))
-    rows: list[tuple[float, list[tuple[str, ...]]]] = []  # bounded by max_labelled
-    same: dict[tuple[str, ...], tuple[str, ...]] = {}
-    for r in held.groupBy("doc_id", "toxic").agg(F.collect_set("words").alias("sentences")).toLocalIterator():
-        rows.append((r.toxic, [same.setdefault(t, t) for t in (tuple(map(sys.intern, s)) for s in r.sentences)]))
-    seeds = [(tuple(sorted(set(plain_words(s)))), pos) for text, pos in ((ABUSIVE, 1), (HARMLESS, 0)) for s in text.strip().split("\n")]
-    base = (sum(toxic > 0.5 for toxic, _ in rows) + 1) / (len(rows) + 10)
-    seen: Counter = Counter()
-    bad: Counter = Counter()
-    for toxic, held_sentences in rows:
-        for w in {w for s in held_sentences for w in s}:
-            seen[w] += 1
-            bad[w] += toxic > 0.5
-    for words, pos in seeds:
-        for w in words:
-            seen[w] += SEED_WEIGHT
-            bad[w] += SEED_WEIGHT * pos
-    rate = {w: (bad[w] + PRIOR_WORD * base) / (seen[w] + PRIOR_WORD) for w in seen}
-
-    def typical(sentence: tuple[str, ...]) -> float:
-        # frequent words say nothing beside others, unless they are typical of abuse
-        sentence = [w for w in sentence if w not in common or rate[w] >= LIKELY] or sentence
-        # one word alone is weak evidence: a second one of the base rate is put beside it
-        worst = sorted([*(rate[w] for w in sentence), *[base] * (len(sentence) < 2)], reverse=True)[:3]
-        return sum(worst) / len(worst)
-
-    votes: dict[tuple[str, ...], list[float]] = {}
-    for toxic, held_sentences in rows:
-        likely = [(typical(s), s) for s in held_sentences]
-        most = max(likely)[0]
-        for t, s in likely:
-            if toxic < 0.5:
-                # judges err: words typical of abuse in a document judged harmless are weak evidence
-                votes.setdefault(s, [0.0, 0.0])[1] += 1 if t < SURELY else 1 - t
-            elif t >= max(LIKELY, 0.7 * most):
-                votes.setdefault(s, [0.0, 0.0])[0] += 1
-    for words, pos in seeds:
-        if words:
-            votes.setdefault(words, [0.0, 0.0])[1 - pos] += SEED_WEIGHT
-    examples = [(w, p, n) for w, (p, n) in sorted(votes.items())]
-    vocabulary = {w for e, _, _ in examples for w in e}
-    spark = tokens.sparkSession
-    words = spark.createDataFrame([(w,) for w in sorted(vocabulary | common)], "word string")
-    df = {r.word: r.n for r in counts.join(words, "word").collect()}
-    return Judge(examples, df, total, common, base)
+    return {r.word: r.n for r in counts.where((F.col("n") > total / RAREST) & (F.col("word") != "")).collect()}, total
+
+
+def fit(tokens: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_sentences: int = MAX_SENTENCES) -> Judge:
+    """Examples from at most ``max_labelled`` labelled documents with ``max_sentences`` sentences; word counts from all of ``tokens``."""
+    sample = judgements(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    held = cut(tokens.join(sample, "doc_id").select("doc_id", "toxic", F.array_distinct("sentences").alias("sentences")))
+    # rows of at most max_labelled documents; those are kept whose sentences together are within the bound
+    room, kept, harmful = max_sentences, [], 0
+    for r in held.groupBy("doc_id").agg(F.sum(F.size("sentences")).alias("n"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= room:
+            room -= r.n
+            kept.append((r.doc_id,))
+            harmful += r.toxic
+    chosen = held.join(tokens.sparkSession.createDataFrame(kept, "doc_id bigint"), "doc_id").select("doc_id", "toxic", F.explode("sentences").alias("s")).distinct()
+    labelled = chosen.groupBy("s").agg(F.count_if("toxic").cast("int").alias("pos"), F.count_if(~F.col("toxic")).cast("int").alias("neg")).collect()
+    return Judge([tuple(r) for r in labelled], *word_counts(tokens), (harmful + 1) / (len(kept) + 10))
 
 
 def abuse_scores(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, score, sentences, evidence) for every document with words: its worst sentence's score from 0 to 1.
+    """(doc_id, score, sentences, evidence, example) for every document with words: its worst sentence's score from 0 to 1.
 
-    ``sentences`` counts those at or above REVIEW and ``evidence`` holds the words of the worst. Null, blank and
-    wordless texts have no row; repeated rows count once; without labels the written examples decide
-    alone; labels of documents that do not exist are ignored; ties go to the earlier sentence.
+    ``sentences`` counts those at or above REVIEW, ``evidence`` holds the words of the worst and ``example`` those of the
+    labelled sentence nearest to it. Null, blank and wordless texts have no row; repeated rows count once, of
+    several texts with one id the worst counts; without labels every score is 0; labels of documents that do
+    not exist are ignored; ties go to the earlier sentence.
     """
-    tokens = cut(tokenized(documents.select("doc_id", "text").distinct()))
+    tokens = cut(tokenized(documents))
     judge = documents.sparkSession.sparkContext.broadcast(fit(tokens, labels, max_labelled))
-    schema = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("score", pa.float64()), ("words", pa.string())])
+    fields = "doc_id bigint, score double, sentences int, evidence string, example string"
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("sentences", pa.int32()), ("evidence", pa.string()), ("example", pa.string())])
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = judge.value.score
         for b in batches:
             rows = []
-            for doc, at, words in zip(*(c.to_pylist() for c in b.columns)):
-                rows.append((doc, at, s := judge.value.score(words), " ".join(words) if s >= REVIEW else None))
+            for doc, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got = [(*score(s), s) for s in held]
+                worst = max(got, key=lambda x: x[0])
+                rows.append((doc, worst[0], sum(x[0] >= REVIEW for x in got), *((worst[2], worst[1]) if worst[0] >= REVIEW else (None, None))))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
-    # copies of a sentence stand together and are compared once; a partition of very many is split
-    alike = tokens.hint("rebalance", "words").sortWithinPartitions("words")
-    scored = alike.mapInArrow(judged, "doc_id bigint, at int, score double, words string")
-    return scored.groupBy("doc_id").agg(
-        F.max("score").alias("score"),
-        F.count_if(F.col("score") >= REVIEW).alias("sentences"),
-        F.max_by("words", F.struct("score", -F.col("at"))).alias("evidence"),
-    )
+    scored = tokens.mapInArrow(judged, fields)
+    return scored.groupBy("doc_id").agg(F.max(F.struct("score", "sentences", "evidence", "example")).alias("w")).select("doc_id", "w.*")
 
 
 def abuse_rates(scores: DataFrame, documents: DataFrame) -> DataFrame:
@@ -387,3 +302,11 @@ def abuse_rates(scores: DataFrame, documents: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= REVIEW).alias("review"), F.avg(F.coalesce("score", F.lit(0.0))).alias("mean_score"))
         .withColumn("rate", F.col("review") / F.col("documents"))
     )
+
+
+def calibration(scores: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled documents by tenths of the score: how many, and the share judged harmful. Judges err, so that share is no precision."""
+    return (
+        scores.join(judgements(labels), "doc_id").groupBy(F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("int").alias("tenth"))
+        .agg(F.count("*").alias("labelled"), F.avg(F.col("toxic").cast("double")).alias("judged_harmful"), F.avg("score").alias("mean_score"))
+    )

@@ -16,6 +16,10 @@ _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯
 _CODE = re.compile(r"`[^`\n]*`|\b[\w.-]+\.\w+/\S+|\bhttps?://\S+|\b[0-9a-f]{12,64}\b|\b\w+_\w[\w]*\b(?:\([^)\n]*\))?")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-*_]){2,}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[^\W_](?:[\w'’*@$!|+€#]*[^\W_]|[*#]+(?![\w]))?", re.U)
+# what a text has at least if one of the costlier patterns fits
+_MAY_BE_CODE = re.compile(r"[`/_]|[0-9a-f]{12}")
+_MAY_BE_SPACED = re.compile(r"[^\W_][ .\-*_][^\W_][ .\-*_][^\W_]")
+_LONG_RUN = re.compile(r"([^\W\d])\1\1")
 _END = re.compile(r"(?<=[.!?…])\s+|\n+|(?<=[;:])\s+(?=[A-ZÀ-Þ])")
 
 
@@ -50,10 +54,17 @@ def plain_words(sentence: str) -> list[str]:
         # a word that mixes scripts is a disguise; one in a single other script is that script's
         sentence = re.sub(r"\w+", lambda m: m[0].translate(_LOOKALIKE) if not m[0].isascii() and re.search(r"[A-Za-z]", strip_accents(m[0])) else m[0], sentence)
         sentence = strip_accents(sentence)
-    text = _CODE.sub(" ", sentence).lower()
-    text = _SPACED.sub(_join_spaced, text)
+    if _MAY_BE_CODE.search(sentence):
+        sentence = _CODE.sub(" ", sentence)
+    text = sentence.lower()
+    if _MAY_BE_SPACED.search(text):
+        text = _SPACED.sub(_join_spaced, text)
+    long_runs = _LONG_RUN.search(text) is not None
     out = []
     for w in _WORD.findall(text):
+        if not long_runs and w.isalpha():
+            out.append(w)
+            continue
         w = _letters(w)
         if w.isdigit() or not any(c.isalpha() for c in w):
             continue

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.abuse import REVIEW, abuse_rates, abuse_scores
+from pagemill.llm.abuse import REVIEW, abuse_rates, abuse_scores, calibration
 from pagemill.llm.functions_docs import documented_functions
 from pagemill.llm.generated import machine_files
 from pagemill.llm.leakage import leaked_items
@@ -118,12 +118,16 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse_rates(_abuse(spark, d), table(spark, d, "documents", "doc_id", "source"))
 
 
+def p10_calibration(spark: SparkSession, d: str) -> DataFrame:
+    return calibration(_abuse(spark, d), table(spark, d, "labels", "doc_id", "annotator", "toxic"))
+
+
 #: runs of words by position, joined on the whole run; the Spark side scans with an automaton instead
 _RUNS = """WITH i AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' +', ' ', 'g')), ' ') w FROM benchmark),
     d AS (SELECT DISTINCT doc_id, string_split(trim(regexp_replace(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' +', ' ', 'g')), ' ') w FROM documents WHERE length(text) > 0),
     ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') r FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) k FROM i)),
     dr AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) k FROM d))"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_verdicts, p3_found, p3_pairs, p5_found, p5_rates, p7_found, p7_licenses, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_verdicts, p3_found, p3_pairs, p5_found, p5_rates, p7_found, p7_licenses, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_scores, p10_rates, p10_calibration)}
 
 SQL = {"p8_found": f"{_RUNS} SELECT DISTINCT doc_id, item_id FROM ir JOIN dr USING (r)"}

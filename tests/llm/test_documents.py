@@ -84,20 +84,23 @@ def test_plain_words():
     assert T.plain_words("") == [] and T.sentences("A. B!\n\nC") == ["A.", "B!", "C"]
 
 
-def test_nearest_is_exact():
+def test_block_index_is_exact():
     r = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)]
-    examples = [(tuple(sorted(r.choices(vocabulary, k=r.randrange(1, 9)))), 1.0, 0.0) for _ in range(400)]
-    df = {w: r.randrange(1, 50) for w in vocabulary}
-    index = A.Nearest(examples, df, 500)
-    vectors = [index.vector(e) for e, _, _ in examples]
-    for _ in range(150):
-        q = tuple(sorted(r.choices([*vocabulary, "unknown"], k=r.randrange(1, 7))))
-        v = index.vector(q)
-        every = sorted(((sum(x * e.get(w, 0) for w, x in v.items()), i) for i, e in enumerate(vectors)), key=lambda s: (-s[0], s[1]))
-        want = [s for s in every if s[0] >= A.NEAR][: A.NEIGHBOURS]
-        got = index.top(q)
-        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want]
+    weights = A.Weights({w: r.randrange(1, 50) for w in vocabulary}, 500)
+    examples = [r.choices(vocabulary, k=r.randrange(1, 9)) for _ in range(900)]
+    vectors = [weights.vector(e) for e in examples]
+    for dense in (A.DENSE, 0):
+        A.DENSE, kept = dense, A.DENSE
+        index = A.BlockMax(examples, weights)
+        A.DENSE = kept
+        for _ in range(150):
+            v = weights.vector(r.choices([*vocabulary, "unknown"], k=r.randrange(1, 7)))
+            every = sorted(((round(sum(x * e.get(w, 0) for w, x in v.items()), 12), i) for i, e in enumerate(vectors)), key=lambda s: (-s[0], s[1]))
+            want = [s for s in every if s[0] >= A.NEAR][:10]
+            got = index.top(v, 10)
+            assert [i for _, i in got] == [i for _, i in want] and all(abs(s - t) < 1e-9 for (s, _), (t, _) in zip(got, want))
+    assert A.BlockMax([], weights).top({"w1": 1.0}, 3) == []
 
 
 PLAIN = ["The {a} {b} still points at the old {c}.", "Please keep the {a} next to the {b}; moving it broke our {c}.", "Kill the parent process first, then its orphan children die on their own.", "He called the old {a} stupid, and to be fair it was.", "Field `sex` takes the codes 1 and 2."]
@@ -125,14 +128,17 @@ def test_held_out_accuracy(spark):
     assert right / len(held) > 0.95 and not {900, 901, 902} & found
     rates = {x.source: x for x in A.abuse_rates(scores, df).collect()}
     assert rates["issue"].documents + rates[""].documents == 600
+    told = {x.tenth: x for x in A.calibration(scores, spark.createDataFrame(labels, "doc_id bigint, annotator string, toxic int")).collect()}
+    assert sum(x.labelled for x in told.values()) == 300 and told[0].judged_harmful < 0.2 < 0.6 < told[max(told)].judged_harmful
+    bounded = A.abuse_scores(df, spark.createDataFrame(labels, "doc_id bigint, annotator string, toxic int"), max_labelled=50)
+    assert bounded.count() == 600
 
 
 def test_abuse_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id bigint, annotator string, toxic int")
-    docs = spark.createDataFrame([(1, "Go kill yourself, you worthless idiot."), (2, "Kill the parent process first.")], "doc_id bigint, text string")
-    got = {x.doc_id: x.score for x in A.abuse_scores(docs, none).collect()}
-    assert got[1] >= A.REVIEW > got[2]
-    assert A.abuse_scores(docs.limit(0), none).collect() == []
+    docs = spark.createDataFrame([(1, "Go away, you worthless idiot."), (2, "Kill the parent process first."), (None, "No id."), (1, "Another text.")], "doc_id bigint, text string")
+    assert {(x.doc_id, x.score) for x in A.abuse_scores(docs, none).collect()} == {(1, 0.0), (2, 0.0), (None, 0.0)}
+    assert A.abuse_scores(docs.limit(0), none).collect() == [] and A.calibration(A.abuse_scores(docs, none), none).collect() == []
 
 
 def test_copied_abuse_is_found(spark):
@@ -144,6 +150,10 @@ def test_copied_abuse_is_found(spark):
     assert {x.doc_id for x in scores.where(f"score >= {A.REVIEW}").collect()} == set(range(0, 600, 3))
 
 
-def test_frequent_words_count_in_the_cosine():
-    judge = A.Judge([(("a", "the"), 1.0, 0.0), (("a", "rare"), 0.0, 1.0)], {"the": 900, "a": 900, "rare": 1}, 1000, frozenset(["a", "the"]), 0.1)
-    assert judge.score(["the", "a"]) > 0.4 > judge.score(["rare", "a"]) and [(round(s, 9), i) for s, i in judge.index.top(("a", "the"))][0] == (1.0, 0)
+def test_votes():
+    judge = A.Judge([("the a", 1, 0), ("rare a", 0, 1), ("go home you t*ll gremlin", 2, 0), ("tall", 1, 0)], {"the": 900, "a": 900}, 1000, 0.1)
+    score, example = judge.score("the a")
+    assert abs(score - (1 + 0.1) / (1 + 1)) < 1e-9 and example == "the a" and judge.score("rare a")[0] == 0.0
+    assert judge.read(["t*ll", "t*x", "homegremlinyou"]) == ["tall", "t*x", "home", "gremlin", "you"]
+    # a sentence that harmless documents hold as often bears no label
+    assert A.Judge([("shared words here", 1, 2)], {}, 10, 0.1).names == []
