@@ -60,18 +60,17 @@ def c_shape(text: str) -> str:
 _TYPES = frozenset("size_t ssize_t ptrdiff_t intptr_t uintptr_t bool int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t".split())
 
 
-def _comment_above(text: str, comment: re.Match | None, start: int) -> str | None:
-    """The first paragraph of a comment that ends on the line before, in one line; link lines are none."""
-    if comment is None or text.count("\n", 0, comment.end() - 1) + 1 != text.count("\n", 0, start) or LINK.match(comment[0]):
+#: what makes a comment of a text: its ends, and what its lines begin with
+_MARKS = re.compile(r"\*+/\Z|^[ \t]*(?:/\*+|/{2,}|\*++(?!/))?[ \t]*", re.M)
+
+
+def _said_above(text: str, comment: re.Match | None, start: int) -> str | None:
+    """A comment's first paragraph in one line, up to where parameters are told; null unless it ends right above ``start``, or for a link line."""
+    if comment is None or text.count("\n", comment.end(), start) != 1 or LINK.match(comment[0]):
         return None
-    words: list[str] = []
-    for raw in re.sub(r"^/\*+|\*/$", "", comment[0]).split("\n"):
-        line = re.sub(r"^\s*(?://+|\*+)?\s*", "", raw).strip()
-        if line.startswith("@") or not line and words:
-            break
-        if line:
-            words.append(line)
-    return " ".join(words) or None
+    prose = _MARKS.sub("", comment[0]).strip()
+    first = re.split(r"\n\s*(?:\n|@)", prose, maxsplit=1)[0]
+    return None if first.startswith("@") else " ".join(x.strip() for x in first.split("\n")) or None
 
 
 def _flat(text: str) -> str:
@@ -96,7 +95,7 @@ def definitions(text: str) -> Iterator[tuple[str, str, int, int, str, str | None
         if kind == "directive":
             if depth == 0 and (d := re.match(r"[ \t]*#[ \t]*define[ \t]+(\w+)(\([^)]*\))?", t)):
                 start = at + len(t) - len(t.lstrip())
-                yield d[1], "macro", start, m.end(), d[1] + _flat(d[2] or ""), _comment_above(text, comment, start)
+                yield d[1], "macro", start, m.end(), d[1] + _flat(d[2] or ""), _said_above(text, comment, start)
             if begin is None:
                 comment = None
             continue
@@ -130,7 +129,7 @@ def _is_function(parts: list[tuple[str, str, int]]) -> bool:
 
 def _statement(text: str, parts: list, begin: int, end: int, above: re.Match | None) -> Iterator[tuple]:
     kinds, words = [k for k, _, _ in parts], [t for _, t, _ in parts]
-    doc = _comment_above(text, above, begin)
+    doc = _said_above(text, above, begin)
     for i, w in enumerate(words):  # tagged types with a body, wherever they stand in the statement
         if w in ("struct", "union", "enum") and kinds[i + 1 : i + 3] == ["id", "{"]:
             stop = parts[i + 2][2] + len(words[i + 2])
@@ -161,7 +160,7 @@ def c_pages(source: str) -> Iterator[dict]:
     text = normalized(source)
     lines = text.split("\n")
     kept, links = own_text(lines)
-    none = {"refs": [], "unresolved": [], "statements": [], "parsed": True}
+    none = {"refs": [], "unresolved": [], "parsed": True}
     yield {"symbol": None, "kind": "script", "source": normalized("\n".join(kept)) if links else text, "first": 1, "last": text.count("\n"), "links": links} | none
     done: set[str] = set()
     for symbol, kind, start, stop, head, doc in definitions(text):

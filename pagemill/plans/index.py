@@ -218,13 +218,35 @@ def extracted_pages(spark: SparkSession, d: str) -> DataFrame:
     return got.join(held, ["identity", "repo", "sha", "path"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
+def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Whole files with their texts, and all paths of each tree."""
+    return _tree(spark, d), table(spark, d, "locations", "repo", "sha", "path").distinct()
+
+
 def extracted_references(spark: SparkSession, d: str) -> DataFrame:
-    """References between the files of each tree."""
-    tree = _tree(spark, d)
-    every = table(spark, d, "locations", "repo", "sha", "path").distinct()
+    """References between the files of each tree, as written."""
+    tree, every = _trees(spark, d)
     return extraction.references(extraction.extract(tree), every)
 
 
+def forwarded_references(spark: SparkSession, d: str) -> DataFrame:
+    """References between the files of each tree, followed to the definition they mean."""
+    tree, every = _trees(spark, d)
+    return extraction.forwarded(extraction.references(extraction.extract(tree), every), extraction.exports(tree), every)
+
+
+def unmapped_modules(spark: SparkSession, d: str) -> DataFrame:
+    tree, every = _trees(spark, d)
+    return extraction.unmapped(extraction.imports(extraction.extract(tree), every), every)
+
+
+def file_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Modules from outside the tree that each Python file imports, joined by commas."""
+    tree, every = _trees(spark, d)
+    found = extraction.imports(extraction.extract(tree.where("path like '%.py'")), every).where("symbol is null")
+    return found.select("repo", "sha", "path", F.array_join("stdlib", ",").alias("stdlib"), F.array_join("third_party", ",").alias("third_party"))
+
+
 def skipped_notes(spark: SparkSession, d: str) -> DataFrame:
     """What extraction has to note of each file: links it ignores and files that do not parse."""
     return extraction.extract(_tree(spark, d)).where("note is not null").select("repo", "sha", "path", "note").distinct()
@@ -265,7 +287,7 @@ QUERIES = {
     for f in (
         counts, status, current_revision, normalize_identity, spdx_license, parse_address, find_links, dups_identity, dups_shape, locations_of, history, resolve_targets, rank_by_relation, rank, who, who_counts,
         coverage, coverage_totals, directories, unresolved_matching, forward, link_owners, link_rows, merged_definitions, repo_pages, page_links, names_now, name_checks, innermost, symbol_files, latest_places,
-        closure_reach, closure_sizes, closure_clashes, closure_requirements, search_bm25, line_duplication, benchmark_summary, benchmark_statuses, answer_difference, extracted_pages, extracted_references, skipped_notes,
+        closure_reach, closure_sizes, closure_clashes, closure_requirements, search_bm25, line_duplication, benchmark_summary, benchmark_statuses, answer_difference, extracted_pages, extracted_references, forwarded_references, unmapped_modules, file_imports, skipped_notes,
     )
 }
 
