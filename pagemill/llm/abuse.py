@@ -151,15 +151,21 @@ class Judge:
         self.known: dict[str, tuple[float, str | None]] = {}
         labelled = sorted(labelled)
         texts = [self.read(words.split(" ")) for words, _, _ in labelled]
-        every = BlockMax(texts, self.weights)
-        harmful = [n for n, (_, pos, _) in enumerate(labelled) if pos and self._agreed(every, texts[n], labelled)]
-        harmless = [n for n, (_, _, neg) in enumerate(labelled) if neg and n not in set(harmful)]
+        self.every = BlockMax(texts, self.weights)
+        harmful = [n for n, (_, pos, _) in enumerate(labelled) if pos and self._agreed(texts[n], labelled)]
         self.names = [labelled[n][0] for n in harmful]
-        self.votes = [(labelled[n][1], labelled[n][2]) for n in harmful], [(0, labelled[n][2]) for n in harmless]
-        self.index = BlockMax([texts[n] for n in harmful], self.weights), BlockMax([texts[n] for n in harmless], self.weights)
-
-    def _agreed(self, every: BlockMax, words: list[str], labelled: list[tuple[str, int, int]]) -> bool:
-        near = every.top(self.weights.vector(words), AGREEING)
+        # a label that does not lie on a sentence is no vote for it
+        lies = set(harmful)
+        self.votes = [(pos if n in lies else 0, neg) for n, (_, pos, neg) in enumerate(labelled)]
+        self.harmful = BlockMax([texts[n] for n in harmful], self.weights)
+        # of each word: its square weight, and with what the harmful examples make of it
+        self.quick = {w: (x * x, x * self.harmful.most.get(w, 0.0)) for w, x in self.weights.idf.items()}
+        for w, most in self.harmful.most.items():
+            self.quick.setdefault(w, (self.weights.rare**2, self.weights.rare * most))
+        self.unknown = (self.weights.rare**2, 0.0)
+
+    def _agreed(self, words: list[str], labelled: list[tuple[str, int, int]]) -> bool:
+        near = self.every.top(self.weights.vector(words), AGREEING)
         pos = sum(s * s * labelled[n][1] for s, n in near)
         neg = sum(s * s * labelled[n][2] for s, n in near)
         return pos >= AGREED * (pos + neg) > 0
@@ -194,22 +200,39 @@ class Judge:
 
     def score(self, words: str) -> tuple[float, str | None]:
         """Score of a sentence, 0 where no harmful example is near, and the nearest harmful example."""
+        read = words.split(" ")
+        if "*" in words or max(map(len, read)) > 11:
+            read = self.read(read)
+        if not self._may_be_near(read):
+            return 0.0, None
         got = self.known.get(words)
         if got is None:
-            got = self._score(self.weights.vector(self.read(words.split(" "))))
+            got = self._score(self.weights.vector(read))
             if len(self.known) >= 20_000:
                 self.known.clear()
             self.known[words] = got
         return got
 
+    def _may_be_near(self, words: list[str]) -> bool:
+        """Whether a harmful example can be near, by the most each word adds; for repeated words their counts add as well."""
+        square = most = known = 0.0
+        quick, unknown = self.quick, self.unknown
+        for w in words:
+            xx, x = quick.get(w, unknown)
+            square += xx
+            if x:
+                most += x
+                known += xx
+        bar = (NEAR - 1e-9) ** 2 * square
+        return most * most >= bar and known >= bar or len(set(words)) < len(words)
+
     def _score(self, vector: dict[str, float]) -> tuple[float, str | None]:
-        near = self.index[0].top(vector, NEIGHBOURS)
+        near = self.harmful.top(vector, 1)
         if not near:
             return 0.0, None
-        both = [(s, 0, n) for s, n in near] + [(s, 1, n) for s, n in self.index[1].top(vector, NEIGHBOURS)]
         pos = neg = 0.0
-        for s, side, n in sorted(both, key=lambda x: (-round(x[0], 12), x[1], x[2]))[:NEIGHBOURS]:
-            p, q = self.votes[side][n]
+        for s, n in self.every.top(vector, NEIGHBOURS):
+            p, q = self.votes[n]
             pos += s * s * p
             neg += s * s * q
         return (pos + self.base * PRIOR) / (pos + neg + PRIOR), self.names[near[0][1]]

@@ -18,7 +18,7 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-*_]){2,}[^\W_](?![^\W_])")
 _WORD = re.compile(r"[^\W_](?:[\w'’*@$!|+€#]*[^\W_]|[*#]+(?![\w]))?", re.U)
 # what a text has at least if one of the costlier patterns fits
 _MAY_BE_CODE = re.compile(r"[`/_]|[0-9a-f]{12}")
-_MAY_BE_SPACED = re.compile(r"[^\W_][ .\-*_][^\W_][ .\-*_][^\W_]")
+_MAY_BE_SPACED = re.compile(r"(?<![^\W_])[^\W_][ .\-*_][^\W_][ .\-*_]")
 _LONG_RUN = re.compile(r"([^\W\d])\1\1")
 _END = re.compile(r"(?<=[.!?…])\s+|\n+|(?<=[;:])\s+(?=[A-ZÀ-Þ])")
 
