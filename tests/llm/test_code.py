@@ -134,6 +134,24 @@ def test_c_chart(source, ok):
     assert (S.repairs("c", source)[0] == 0) == ok
 
 
+PY_TRICKY = ["def f(a=1, b): pass", "f(a=1, 2)", "f(**k, *a)", "[a, 1] = x", "def f(*): pass", "{**a for a in b}", 'f"{a b}"', "match x:\n  case (1 2):\n    pass", "try:\n  pass\nexcept A:\n  pass\nexcept* B:\n  pass", "b'\u00e9'", 'f"{a +}"', "if 1:\n        x\n\ty", "(" * 4000 + ")" * 4001]
+PY_DEEP = ["x = " + "(" * 5000 + "1" + ")" * 5000, "a = " + " + ".join(["b"] * 5000), "x = " + "-" * 50_000 + "1", "f(" + ", ".join(["a"] * 3000) + ")"]
+C_TRICKY = ["int x = _Generic(a, int: 1, default: 2);", 'asm volatile ("nop" : : : "memory");', 'void f(void) { asm volatile ("a" ::: "m"); asm goto ("" : : : : l); l: ; }', "int f(a, b) int a; char *b; { return a; }", "int f(void) { return (struct s){1}.a; }", "void f(void) { if (a) for (;;) if (b) c(); else d(); else e(); }", "void f(void) { do if (a) b(); else c(); while (x); g(); }", "static inline notrace u32 f(void) { return 1; }", "extern API(char *) f (const char *);", "int f(void) { " + "{" * 3000 + "}" * 3000 + " return 0; }", "int x = " + "(" * 4000 + "1" + ")" * 4000 + ";"]
+C_WRONG = ["struct s { int a int b; };", "int int;", "x y z w;", "int f(void) { do x(); y(); }", "int f(void) { if (a) }", "int f(void) { if (a) b(); c(); else d(); }", "short long x;"]
+
+
+@pytest.mark.parametrize("language, source, ok", [("python", s, False) for s in PY_TRICKY] + [("python", s, True) for s in PY_DEEP] + [("c", s, True) for s in C_TRICKY] + [("c", s, False) for s in C_WRONG])
+def test_tricky_and_deep(language, source, ok):
+    assert (S.repairs(language, source + "\n")[0] == 0) == ok
+
+
+def test_shortened_chains_keep_the_verdict():
+    for good in ("a = b" + " + b" * 40, "f(" + "a, " * 40 + "a)", "x = " + "not " * 40 + "a", "import " + "a, " * 40 + "b"):
+        assert S.repairs("python", good)[0] == 0
+    for bad in ("a = b" + " + b" * 40 + " +", "f(" + "a, " * 40 + ", a)", "x = a" + " b" * 40, "assert " + "a, " * 40 + "b"):
+        assert S.python_edits(bad).cost > 0
+
+
 def test_causes_and_least_cost():
     assert S.repairs("python", "def f():\n    x = (1,\n")[1] == "truncation" and S.repairs("python", INVALID[11])[1] == "conflict" and S.repairs("python", "int main(void)\n{\n    return 0;\n}\n")[1] == "mismatch"
     assert S.PYTHON.repair("line", ("n", "=", "n", "n"))[0] == 1 and S.PYTHON.repair("line", ("n", "=", "n"))[0] == 0
@@ -152,7 +170,7 @@ def test_invalid_files(spark):
 
 @pytest.mark.parametrize(
     "text, want",
-    [("MIT License", ("MIT",)), ("Expat/MIT", ("MIT",)), ("Apache License, Version 2.0", ("Apache-2.0",)), ("GNU GENERAL PUBLIC LICENSE Version 3", ("GPL-3.0",)), ("GPLv2+", ("GPL-2.0",)), ("LGPL-3.0", ()), ("GNU Lesser General Public License v3", ()), ("AGPL-3.0-only", ()), ("The 3-Clause BSD License", ("BSD-3-Clause",)), ("Simplified BSD License (2 clauses)", ("BSD-2-Clause",)), ("0BSD", ()), ("BSD-4-Clause", ()), ("MPL 2.0", ("MPL-2.0",)), ("The ISC Licence", ("ISC",)), ("NOASSERTION", ()), ("", ()), ("All rights reserved.", ()), ("MIT OR Apache-2.0", ("MIT", "Apache-2.0"))],
+    [("Apche License 2.0", ("Apache-2.0",)), ("GNU Genral Public License v3", ("GPL-3.0",)), ("Mozila Public License 2.0", ("MPL-2.0",)), ("GNU Leser General Public License v3", ()), ("GNU Affero Genral Public License 3", ()), ("The MTI License", ()), ("GNU General Public License 4", ()), ("MIT License", ("MIT",)), ("Expat/MIT", ("MIT",)), ("Apache License, Version 2.0", ("Apache-2.0",)), ("GNU GENERAL PUBLIC LICENSE Version 3", ("GPL-3.0",)), ("GPLv2+", ("GPL-2.0",)), ("LGPL-3.0", ()), ("GNU Lesser General Public License v3", ()), ("AGPL-3.0-only", ()), ("The 3-Clause BSD License", ("BSD-3-Clause",)), ("Simplified BSD License (2 clauses)", ("BSD-2-Clause",)), ("0BSD", ()), ("BSD-4-Clause", ()), ("MPL 2.0", ("MPL-2.0",)), ("The ISC Licence", ("ISC",)), ("NOASSERTION", ()), ("", ()), ("All rights reserved.", ()), ("MIT OR Apache-2.0", ("MIT", "Apache-2.0"))],
 )
 def test_named(text, want):
     assert K.named(text, True) == want
@@ -190,6 +208,16 @@ def test_offered():
     assert K.offered("python", "# Datei mit Hilfen\nx = 1\n") == []
 
 
+def test_no_text_is_cut():
+    assert K.title_license("A long word of thanks. " * 60 + "\n\n\nMore.\n\nAnd more.\n\nMIT License\n\nCopyright x") == ("MIT",)
+    assert K.offered("c", "/*" + " blah\n" * 5000 + "*/\n/* Redistribution and use in source and binary forms, with or without modification, are permitted provided */\nint a;") == [["BSD-2-Clause"]]
+    for spdx, text in K.TEXTS.items():
+        words = text.split()
+        words[5:7] = ["changed"]
+        assert K.title_license("Copyright (c) x\n\n" + " ".join(words)) == (spdx,) and K.whole_text(text) == spdx
+    assert K.whole_text("permission to use") is None and K.whole_text("") is None
+
+
 def test_verdicts(spark):
     defs = spark.createDataFrame([("m", "python", "script", "# License: MIT\n", 1), ("g", "c", "script", "// License: GPLv3\n", 1), ("n", "python", "script", "x = 1\n", 1), ("o", "python", "script", "# SPDX-License-Identifier: MIT OR ISC\n", 1), ("t", "text", "script", "# License: ISC\n", 1), ("z", "python", "script", None, 1)], "identity string, language string, kind string, source string, license int")
     locs = spark.createDataFrame([(i, r, "s", f"{i}", None) for i in "mgnotz" for r in ("mit", "none", "two")] + [("m", "mit", "s", "m", None)], "identity string, repo string, sha string, path string, symbol string")
