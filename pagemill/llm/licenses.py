@@ -1,9 +1,10 @@
 """The licence of each code file and revision.
 
-Names and notices of the known licences are token sequences in metric trees, one
+Names, notices and short texts of the known licences are token sequences in metric trees, one
 for each length. Each stretch of a title, notice or field that may name a licence is
 compared with them by token edit distance (bit-parallel), pruned by the triangle
-inequality; the nearest template counts when it lies within a bound.
+inequality; the nearest template counts when it lies within a bound. Words themselves are read
+in the same way, by the edit distance of their letters to the templates' words.
 """
 
 from __future__ import annotations
@@ -39,24 +40,64 @@ NOTICES = {
     "BSD-3-Clause": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"],
 }
 _BSD = "redistribution and use in source and binary forms with or without modification are permitted"
+#: fixed values: the texts of the short licences, after their titles and copyright lines
+TEXTS = {
+    "MIT": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction
+        including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+        the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software""",
+    "ISC": """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies""",
+    "BSD-2-Clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution""",
+    "BSD-3-Clause": """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+        neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission""",
+}
 _DROPPED = frozenset("the a version v ver license licenses licensed only later plus".split())
 _SAME = {"licence": "license", "licences": "license", "licenced": "licensed", "two": "2", "three": "3", "four": "4", "zero": "0", "clauses": "clause", "gplv": "gpl", "mplv": "mpl", "lgplv": "lgpl", "aplv": "apache"}
 _ANCHOR = re.compile(r"mit\b|expat|apache|asl|\bal\b|gpl|gnu|general|bsd|mpl|mozilla|isc\b|consortium|permission|redistribution|neither", re.I)
+#: words that tell licences of a family apart: a template is never accepted with one more or less of them
+_TELLING = frozenset("lesser library affero documentation new modified revised simplified clause free lgpl agpl".split())
 _CONTEXT = re.compile(r"licen[sc]e|lizenz|licencia|spdx|free software|public|copying|released|terms|governed|covered|subject to|rights", re.I)
 _NOTICE_SHARE = 0.2
 
 
 def tokens(text: str) -> list[str]:
-    """Words and numbers in lower case; versions lose words for 'version', and '.0'."""
+    """Words and numbers in lower case, misspelt ones as the templates spell them; versions lose words for 'version', and '.0'."""
     out: list[str] = []
     for t in re.findall(r"[a-z]+|\d+", text.lower()):
         t = _SAME.get(t, t)
+        if len(t) > 4:
+            t = _spelt(t)
+            t = _SAME.get(t, t)
         if t in _DROPPED or t == "0" and out and out[-1].isdigit():
             continue
         out.append(t)
     return out
 
 
+@lru_cache(maxsize=100_000)
+def _spelt(word: str) -> str:
+    """The templates' word that a word is with one letter wrong, missing or too many (two from ten letters on), else the word."""
+    bound = 1 if len(word) < 10 else 2
+    if word in _words()[1]:
+        return word
+    near = [hit for n in range(len(word) - bound, len(word) + bound + 1) if n in _words()[0] and (hit := _words()[0][n].nearest(tuple(word), bound))]
+    return min(near)[1] if near else word
+
+
+@lru_cache(maxsize=1)
+def _words() -> tuple[dict[int, MetricTree], frozenset[str]]:
+    """Words of names, in metric trees of letters by their length."""
+    every = {w for texts in NAMES.values() for text in texts for w in re.findall(r"[a-z]+", text)} | _DROPPED | {"licence", "permission", "redistribution"}
+    by_length: dict[int, MetricTree] = {}
+    for w in sorted(every):
+        if len(w) > 4:
+            by_length.setdefault(len(w), MetricTree()).add(tuple(w), w)
+    return by_length, frozenset(every)
+
+
 def distance(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     """Token edit distance, with a column of the table held in the bits of one number (Myers)."""
     m = len(a)
@@ -97,13 +138,13 @@ class MetricTree:
                 return
             node = node[2][d]
 
-    def nearest(self, key: tuple[str, ...], bound: int) -> tuple[int, str] | None:
+    def nearest(self, key: tuple[str, ...], bound: int) -> tuple[int, str, tuple[str, ...]] | None:
         best, todo = None, [self.root] if self.root else []
         while todo:
             node = todo.pop()
             d = distance(node[0], key)
             if d <= bound and (best is None or d < best[0]):
-                best, bound = (d, node[1]), d
+                best, bound = (d, node[1], node[0]), d
             todo += [k for e, k in node[2].items() if abs(e - d) <= bound]
         return best
 
@@ -119,9 +160,37 @@ def _index() -> dict[int, MetricTree]:
     return by_length
 
 
+@lru_cache(maxsize=1)
+def _texts() -> dict[int, MetricTree]:
+    by_length: dict[int, MetricTree] = {}
+    for spdx, text in TEXTS.items():
+        key = tuple(tokens(text))
+        by_length.setdefault(len(key), MetricTree()).add(key, spdx)
+    return by_length
+
+
+def whole_text(text: str) -> str | None:
+    """The licence whose whole text stands in ``text``, from its first sentence on, with at most a fifth of its tokens changed; of several the longest."""
+    words = tokens(text)
+    at = next((k for k, w in enumerate(words) if w in ("permission", "redistribution")), None)
+    if at is None:
+        return None
+    hits = []
+    for n, tree in _texts().items():
+        if hit := tree.nearest(tuple(words[at : at + n]), int(n * _NOTICE_SHARE)):
+            hits.append((-n, hit[0], hit[1]))
+    return min(hits)[2] if hits else None
+
+
 def _bound(length: int) -> int:
-    """Names must match token by token, as one token tells versions apart; notices may differ in a fifth."""
-    return int(length * _NOTICE_SHARE) if length > 7 else 0
+    """Short names must match token by token; from five tokens on one may differ, and a fifth of a notice."""
+    return int(length * _NOTICE_SHARE) if length > 4 else 0
+
+
+def _accepted(found: tuple[str, ...], template: tuple[str, ...]) -> bool:
+    """Whether what differs between a name and its template leaves the licence as it is: no number, and no word that tells licences apart."""
+    telling = lambda words: sorted(w for w in words if w.isdigit() or w in _TELLING)
+    return found == template or telling(found) == telling(template)
 
 
 @lru_cache(maxsize=50_000)
@@ -130,10 +199,10 @@ def named(text: str, sure: bool = False) -> tuple[str, ...]:
 
     ``sure``: the text is known to state a licence, so that a bare name is enough.
     """
-    if not _ANCHOR.search(text):
-        return ()
-    sure = sure or bool(_CONTEXT.search(text))
     words = tokens(text)
+    if not any(_ANCHOR.match(w) for w in words):
+        return ()
+    sure = sure or bool(_CONTEXT.search(text)) or any(w in ("license", "licensed") for w in map(_spelt, re.findall(r"[a-z]{5,}", text.lower())))
     found: list[str] = []
     k = 0
     lengths = sorted(_index(), reverse=True)
@@ -145,7 +214,7 @@ def named(text: str, sure: bool = False) -> tuple[str, ...]:
                 if len(w) < n:
                     continue
                 hit = _index()[n].nearest(w, _bound(n))
-                if hit:
+                if hit and _accepted(w, hit[2]):
                     if n == 1 and not (sure and (len(words) == 1 or w[0].upper() in re.findall(r"[A-Z]+|\w+", text) or re.search(r"spdx|licen[sc]e\W*[:=]", text, re.I) or text.strip().lower() == w[0] or w[0] == "expat")):
                         break
                     step = n
@@ -158,26 +227,37 @@ def named(text: str, sure: bool = False) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+_TERMS = re.compile(r"(?i)\W*(?:permission is hereby|permission to use|redistribution and use|terms and conditions|preamble\b|everyone is permitted|1\s*[.)]\s|section 1\b)")
+
+
 def title(text: str | None) -> str:
-    """What stands above the copyright line and the terms: the first lines, and what they say is offered."""
+    """What stands above the copyright line and the terms."""
     if not text:
         return ""
     head = re.split(r"(?im)^\W*(?:copyright|©)", text, maxsplit=1)[0]
-    paragraphs = [p for p in re.split(r"\n\s*\n", head) if p.strip()]
-    return " ".join(" ".join(paragraphs[:3]).split())[:600]
+    said = []
+    for paragraph in re.split(r"\n[ \t]*(?:\n[ \t]*)+", head):
+        if _TERMS.match(paragraph):
+            break
+        said.append(paragraph)
+    return " ".join(" ".join(said).split())
 
 
 def title_license(text: str | None) -> tuple[str, ...]:
-    """Licences named by a licence file's title; where it has none, by the sentence that grants it."""
+    """Licences named by a licence file's title; where it has none, by its whole text or the sentence that grants it."""
     got = named(title(text), True)
     if got or not text:
         return got
     if not re.match(r"(?i)\W*(?:copyright|©|permission|redistribution)", text):
         return ()
     flat = " ".join(text.split())
-    return named(flat) if re.search(r"(?i)permission is hereby granted|permission to use|redistribution and use", flat) else ()
+    if not _GRANT.search(flat):
+        return ()
+    whole = whole_text(flat)
+    return (whole,) if whole else named(flat)
 
 
+_GRANT = re.compile(r"(?i)permission is hereby granted|permission to use|redistribution and use")
 _ASSIGNED = re.compile(r"^[ \t]*_*licen[sc]e_*[ \t]*(?::[ \t]*\w+[ \t]*)?=[ \t]*[rRuUbB]?(?P<q>[\"'])(?P<value>[^\"'\n]*)(?P=q)", re.I | re.M)
 
 
@@ -219,9 +299,10 @@ def offered(language: str, source: str | None) -> list[list[str]]:
             either = len(got) > 1 and re.search(r"\bor\b|\beither\b|/|,|\boder\b", here + " " + nxt, re.I) and not re.search(r"\band\b(?! conditions)", here, re.I)
             out += [list(got)] if either or len(got) == 1 else [[g] for g in got]
         k += 1
-    if not out and re.search(r"(?i)permission is hereby granted|permission to use, copy|redistribution and use in source", source[:20000] if source else ""):
-        got = named(" ".join(lines))
-        out = [list(got)] if got else []
+    if not out and _GRANT.search(whole := " ".join(lines)):
+        text = whole_text(whole)
+        got = [text] if text else list(named(whole))
+        out = [got] if got else []
     return [list(x) for x in dict.fromkeys(tuple(sorted(o)) for o in out)]
 
 
