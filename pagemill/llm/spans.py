@@ -121,32 +121,93 @@ def _fingerprints(texts: list[str], before: int, after: int) -> tuple[np.ndarray
     return got[0], got[1]
 
 
-def common_spans(a: str, b: str, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(start in a, start in b, length) of the maximal common runs of at least ``least`` characters."""
-    step = least // 2
-    found: list[tuple[int, int, int]] = []
-    done: dict[int, int] = {}  # by diagonal: the end in a of the run found last
-    for at in range(0, len(a) - step + 1, step):
-        block = a[at : at + step]
-        k = b.find(block)
-        while k >= 0:
-            if done.get(k - at, -1) < at + step:
-                i, j = at, k
-                while i and j and a[i - 1] == b[j - 1]:
-                    i, j = i - 1, j - 1
-                n, m = at + step, k + step
-                while n < len(a) and m < len(b):
-                    w = 64
-                    while w and a[n : n + w] != b[m : m + w]:
-                        w //= 2
-                    if not w or not a[n : n + w] or len(a[n : n + w]) != len(b[m : m + w]):
-                        break
-                    n, m = n + len(a[n : n + w]), m + len(b[m : m + w])
-                done[k - at] = n
-                if n - i >= least:
-                    found.append((i, j, n - i))
-            k = b.find(block, k + 1)
-    return found
+def windows(text: str, least: int = LEAST) -> np.ndarray:
+    """A hash of each window of ``least`` characters, by its start, comparable between texts."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if len(codes) < least:
+        return np.array([], np.uint64)
+    with np.errstate(over="ignore"):
+        letters = _mix(codes.astype(np.uint64) + _M3)
+        out, width, done = np.zeros(len(codes), np.uint64), 1, 0
+        # by doubling: hashes of widths 1, 2, 4, … make up the width asked for
+        part = letters
+        while True:
+            if least & width:
+                at = np.zeros(len(codes), np.uint64)
+                at[: len(codes) - done] = part[done:]
+                out = _mix(out * _M1 + at) if done else part.copy()
+                done += width
+            width *= 2
+            if width > least:
+                break
+            ahead = np.zeros(len(codes), np.uint64)
+            ahead[: len(codes) - width // 2] = part[width // 2 :]
+            part = _mix(part * _ODD + ahead)
+    return out[: len(codes) - least + 1]
+
+
+def have_run(a: str, b: str, hashed_a: np.ndarray, hashed_b: np.ndarray, least: int = LEAST) -> bool:
+    """Whether two texts have a run of ``least`` characters in common."""
+    return bool(len(_true_windows(a, b, hashed_a, hashed_b, least, enough=1)))
+
+
+def shared_runs(a: str, b: str, hashed_a: np.ndarray, hashed_b: np.ndarray, least: int = LEAST) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(start, stop) of the stretches of each text that lie in runs of at least ``least`` characters which stand in the other.
+
+    Time grows with the texts' lengths alone, whatever repeats in them. Equal hashes are held against the characters.
+    """
+    true = _true_windows(a, b, hashed_a, hashed_b, least)
+    out = []
+    for hashed in (hashed_a, hashed_b):
+        at = np.flatnonzero(np.isin(hashed, true)) if len(true) else true
+        if not len(at):
+            out.append([])
+            continue
+        breaks = np.flatnonzero(np.diff(at) > least)
+        starts, stops = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])] + least
+        out.append([(int(x), int(y)) for x, y in zip(starts, stops)])
+    return out[0], out[1]
+
+
+def _true_windows(a: str, b: str, hashed_a: np.ndarray, hashed_b: np.ndarray, least: int, enough: int | None = None) -> np.ndarray:
+    """Hashes of the windows that both texts hold, ``enough`` of them if that is given.
+
+    The first places of windows that lie on one diagonal are compared as one stretch, so that no character is compared often.
+    """
+    once_a, first_a = np.unique(hashed_a, return_index=True)
+    once_b, first_b = np.unique(hashed_b, return_index=True)
+    both, in_a, in_b = np.intersect1d(once_a, once_b, assume_unique=True, return_indices=True)
+    if not len(both):
+        return both
+    at, shift = first_a[in_a], first_b[in_b] - first_a[in_a]
+    order = np.lexsort((at, shift))
+    at, shift, both = at[order], shift[order], both[order]
+    new = np.flatnonzero((np.diff(shift) != 0) | (np.diff(at) > least)) + 1
+    true = []
+    for k, n in zip([0, *new], [*new, len(at)]):
+        start, stop, d = int(at[k]), int(at[n - 1]) + least, int(shift[k])
+        if a[start:stop] == b[start + d : stop + d]:
+            true.append(both[k:n])
+        else:  # hashes that are equal by chance
+            true.append(np.array([h for h, p in zip(both[k:n], at[k:n]) if a[p : p + least] == b[p + d : p + d + least]], np.uint64))
+        if enough and len(true[-1]) >= enough:
+            break
+    return np.concatenate(true)
+
+
+class _Hashed:
+    """Window hashes of the texts met last."""
+
+    def __init__(self, least: int, most: int = 400) -> None:
+        self.least, self.most, self.known = least, most, {}
+
+    def __call__(self, name: str, text: str) -> np.ndarray:
+        got = self.known.get(name)
+        if got is None:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            got = self.known[name] = windows(text, self.least)
+        return got
 
 
 def _postings(pages: DataFrame, least: int) -> DataFrame:
@@ -226,8 +287,9 @@ def sharing_pairs(definitions: DataFrame, locations: DataFrame, least: int = LEA
     schema = pa.schema([("identity_a", pa.string()), ("identity_b", pa.string())])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _Hashed(least)
         for b in batches:
-            rows = [sorted((x, y)) for x, y, s, t in zip(*(c.to_pylist() for c in b.columns)) if common_spans(s, t, least)]
+            rows = [sorted((x, y)) for x, y, s, t in zip(*(c.to_pylist() for c in b.columns)) if have_run(s, t, hashed(x, s), hashed(y, t), least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], schema=schema)
 
     return _with_texts(apart, pages).mapInArrow(checked, "identity_a string, identity_b string").distinct()
@@ -243,11 +305,12 @@ def shared_characters(definitions: DataFrame, least: int = LEAST) -> DataFrame:
     schema = pa.schema([("identity", pa.string()), ("characters", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _Hashed(least)
         for b in batches:
             rows = set()
             for x, y, s, t in zip(*(c.to_pylist() for c in b.columns)):
-                for i, j, n in common_spans(s, t, least):
-                    rows |= {(x, len(s), i, i + n), (y, len(t), j, j + n)}
+                mine, theirs = shared_runs(s, t, hashed(x, s), hashed(y, t), least)
+                rows |= {(x, len(s), i, j) for i, j in mine} | {(y, len(t), i, j) for i, j in theirs}
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
     found = _with_texts(candidate_pairs(pages, least), pages).mapInArrow(spans, "identity string, characters int, start int, stop int").distinct()

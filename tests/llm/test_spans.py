@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 
 from pagemill.llm import spans
@@ -35,14 +37,36 @@ def test_keys_do_not_depend_on_the_batch():
         assert sorted(key[owner == n].tolist()) == sorted(alone.tolist())
 
 
-def test_common_spans():
+def covered(a, b, least):
+    grams = {b[i : i + least] for i in range(len(b) - least + 1)}
+    return {k for i in range(len(a) - least + 1) if a[i : i + least] in grams for k in range(i, i + least)}
+
+
+@pytest.mark.parametrize("least", [1, 5, 8, 13, 240])
+def test_shared_runs(least):
     r = random.Random(2)
-    a, b = text(r, 900), text(r, 700)
-    piece = text(r, 240)
-    x, y = a[:100] + piece + a[100:], b[:333] + piece + b[333:] + piece
-    got = spans.common_spans(x, y)
-    assert {(i, j) for i, j, n in got if n >= 240} and all(x[i : i + n] == y[j : j + n] for i, j, n in got)
-    assert spans.common_spans(a, b) == [] and spans.common_spans("", b) == []
+    texts = [text(r, 900), text(r, 700), " " * 400, "ab" * 300, "", "x", "\ud800" * 20 + "é" * 300]
+    piece = text(r, 241)
+    texts += [texts[0][:100] + piece + texts[0][100:], texts[1][:333] + piece + texts[1][333:] + piece, "y" + " " * 300 + "ab" * 130]
+    hashed = [spans.windows(t, least) for t in texts]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            got = spans.shared_runs(a, b, hashed[i], hashed[j], least)
+            for stretches, x, y in ((got[0], a, b), (got[1], b, a)):
+                assert {k for s, e in stretches for k in range(s, e)} == covered(x, y, least)
+            assert spans.have_run(a, b, hashed[i], hashed[j], least) == bool(got[0])
+
+
+def test_equal_hashes_by_chance():
+    a, b = "x" * 10, "y" * 10
+    assert spans.shared_runs(a, b, np.array([7], np.uint64), np.array([7], np.uint64), 10) == ([], [])
+
+
+def test_repetitive_texts_take_linear_time():
+    a, b = " " * 400_000, " " * 300_000 + "x"
+    start = time.perf_counter()
+    assert spans.shared_runs(a, b, spans.windows(a), spans.windows(b)) == ([(0, 400_000)], [(0, 300_000)])
+    assert time.perf_counter() - start < 10
 
 
 @pytest.mark.parametrize("block", [200, 2])
