@@ -29,13 +29,12 @@ def line_keys(files: DataFrame) -> DataFrame:
 def duplication(keys: DataFrame, thresholds: tuple[int, ...] = (1, 3, 5, 8)) -> DataFrame:
     """(least, lines, shape_percent, verbatim_percent): the share of lines of at least so many tokens whose key stands in another file too.
 
-    Keys are counted before they are shuffled: per key the distinct files, the lines by token count.
+    A key tells its number of tokens, so one pass a key counts its lines and says whether two files have it.
     """
 
     def repeated(key: str) -> DataFrame:
-        per = keys.groupBy(key, "tokens").agg(F.count("*").alias("n"))
-        files = keys.groupBy(key).agg(F.min("file").alias("a"), F.max("file").alias("b")).where("a <> b").select(key)
-        return per.join(files, key, "left_semi").groupBy("tokens").agg(F.sum("n").alias(key))
+        per = keys.groupBy(key).agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"), F.min("file").alias("a"), F.max("file").alias("b"))
+        return per.where("a <> b").groupBy("tokens").agg(F.sum("n").alias(key))
 
     by = keys.groupBy("tokens").agg(F.count("*").alias("n")).join(repeated("shape"), "tokens", "left").join(repeated("verbatim"), "tokens", "left").na.fill(0)
     least = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("least")

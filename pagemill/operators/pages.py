@@ -71,19 +71,22 @@ def dups(definitions: DataFrame, locations: DataFrame, revisions: DataFrame, key
     )
 
 
-def history(definitions: DataFrame, locations: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Every place at every crawled revision of its repository, oldest commit first: its identity, whether it is absent, and whether it changed."""
-    revs = crawls(revisions).select("repo", "sha", "committed_at", "crawl_seq")
-    seen = places(locations).groupBy("repo", "path", "symbol", "sha").agg(F.max("identity").alias("identity"))
-    spots = seen.select("repo", "path", "symbol").distinct()
-    known = definitions_once(definitions).select("identity", "shape")
-    grid = spots.join(revs, "repo").alias("g").join(
-        seen.alias("s"), F.expr("g.repo = s.repo and g.sha = s.sha and g.path = s.path and g.symbol <=> s.symbol"), "left"
-    ).select("g.*", "s.identity").join(known, "identity", "left").withColumn("identity", F.when(F.col("shape").isNotNull() | F.col("identity").isNotNull(), F.col("identity")))
-    w = Window.partitionBy("repo", "path", "symbol").orderBy(F.col("committed_at").asc_nulls_first(), "crawl_seq")
-    return grid.select(
-        "repo", "path", "symbol", "sha", "identity", F.col("identity").isNull().alias("absent"), (~F.col("identity").eqNullSafe(F.lag("identity").over(w))).alias("changed")
-    )
+def history(locations: DataFrame, revisions: DataFrame) -> DataFrame:
+    """The changes of every place over the crawled revisions of its repository, oldest commit first: (repo, path, symbol, sha, identity, absent).
+
+    One row where a place appears, has another identity than at the revision before, or is gone (``absent``, null identity).
+    Revisions are numbered in their order, so a gap tells an absence: the rows are as many as there are changes, whatever
+    the number of revisions.
+    """
+    order = Window.partitionBy("repo").orderBy(F.col("committed_at").asc_nulls_first(), "crawl_seq")
+    numbered = crawls(revisions).select("repo", "sha", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy("repo")).alias("of"))
+    seen = places(locations).groupBy("repo", "path", "symbol", "sha").agg(F.max("identity").alias("identity")).where("identity is not null").join(numbered, ["repo", "sha"])
+    spot = Window.partitionBy("repo", "path", "symbol").orderBy("at")
+    told = seen.select("*", F.lag("at").over(spot).alias("before"), F.lag("identity").over(spot).alias("was"), F.lead("at").over(spot).alias("next"))
+    came = told.where("before is null or before < at - 1 or was <> identity").select("repo", "path", "symbol", "at", "identity")
+    went = told.where("coalesce(next, of + 1) > at + 1 and at < of").select("repo", "path", "symbol", (F.col("at") + 1).alias("at"), F.lit(None).cast("string").alias("identity"))
+    every = came.unionByName(went).join(numbered.select("repo", "at", "sha"), ["repo", "at"])
+    return every.select("repo", "path", "symbol", "sha", "identity", F.col("identity").isNull().alias("absent"))
 
 
 def resolve_targets(links: DataFrame, definitions: DataFrame, locations: DataFrame, revisions: DataFrame, names: DataFrame) -> DataFrame:
@@ -126,11 +129,8 @@ def rank(links: DataFrame) -> DataFrame:
     k = links.select(identity_of("target_identity").alias("identity"), "relation", "origin", "source_identity", "repo", "file").where(
         "identity is not null and not (origin = 'derived' and identity = source_identity)"
     )
-    k.createOrReplaceTempView("_rank_links")
-    return k.sparkSession.sql(
-        "select identity, relation, origin, count(distinct source_identity, repo, file) as pages from _rank_links "
-        "group by grouping sets ((identity), (identity, relation, origin))"
-    )
+    sets = [[F.col("identity")], [F.col("identity"), F.col("relation"), F.col("origin")]]
+    return k.groupingSets(sets, "identity", "relation", "origin").agg(F.countDistinct("source_identity", "repo", "file").alias("pages"))
 
 
 def top_ranked(links: DataFrame, limit: int = 20) -> DataFrame:

@@ -11,11 +11,19 @@ def summary(runs: DataFrame) -> DataFrame:
 
     ``runs`` has family, task, arm, status, tokens. Limited and timed-out runs count, null tokens are left out of medians.
     """
-    runs.createOrReplaceTempView("_runs")
-    return runs.sparkSession.sql(
-        "select coalesce(family, '*') as family, coalesce(task, '*') as task, arm, count(*) as runs, count_if(status = 'pass') as passed, median(tokens) as median_tokens "
-        "from _runs group by arm, rollup(family, task)"
-    )
+    arm, family, task = (F.col(c) for c in ("arm", "family", "task"))
+    return (
+        runs.groupingSets([[arm], [arm, family], [arm, family, task]], "arm", "family", "task")
+        .agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "pass").alias("passed"), F.median("tokens").alias("median_tokens"))
+        .select(F.coalesce("family", F.lit("*")).alias("family"), F.coalesce("task", F.lit("*")).alias("task"), "arm", "runs", "passed", "median_tokens")
+    )
+
+
+def ratios(runs: DataFrame, arm: str, base: str) -> DataFrame:
+    """Median tokens of one arm over those of another, per task, family and in all (levels as in ``summary``); null without both."""
+    at = lambda which, name: summary(runs).where(F.col("arm") == which).select("family", "task", F.col("median_tokens").alias(name))
+    both = at(arm, "median").join(at(base, "base"), ["family", "task"])
+    return both.select("family", "task", "median", "base", F.when(F.col("base") > 0, F.col("median") / F.col("base")).alias("ratio"))
 
 
 def statuses(runs: DataFrame) -> DataFrame:
@@ -48,3 +56,35 @@ def answer_lines(text: F.Column | str) -> F.Column:
     c = F.col(text) if isinstance(text, str) else text
     lines = F.transform(F.split(c, "\\r?\\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*(?:[-*+]|\d+[.)])\s+", ""), "`", "")))
     return F.array_distinct(F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("#"))))
+
+
+def folded(answers: DataFrame, expected: DataFrame, by: str, value: str) -> DataFrame:
+    """Answers (by, value) with what is nested in an expected name (``name`` or ``name.member``) brought up to the longest such name; the rest as it is."""
+    parts = F.split(value, "[.]")
+    up = answers.select(by, value).distinct().select(by, value, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("outer"))
+    names = expected.select(by, F.col(value).alias("outer")).distinct().withColumn("held", F.lit(True))
+    best = up.join(names, [by, "outer"], "left").groupBy(by, value).agg(F.max_by("outer", F.when(F.col("held"), F.length("outer"))).alias("to"))
+    return best.select(by, F.coalesce("to", F.col(value)).alias(value)).distinct()
+
+
+def verdicts(answers: DataFrame, expected: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, strict, folded): whether an answer is just the expected set, as given and with nested names folded. An answer without rows is empty."""
+    def same(given: DataFrame, name: str) -> DataFrame:
+        off = answer_difference(given, expected, by, value).select(by, (F.col("missing") + F.col("extra") == 0).alias(name))
+        every = given.select(by).unionByName(expected.select(by)).distinct()
+        return every.join(off, by, "left").select(by, F.coalesce(name, F.lit(True)).alias(name))
+
+    return same(answers, "strict").join(same(folded(answers, expected, by, value), "folded"), by)
+
+
+def verdict_counts(told: DataFrame, runs: DataFrame, by: str) -> DataFrame:
+    """Strict and folded passes of each arm; ``runs`` has (by, arm), ``told`` is ``verdicts``."""
+    return runs.select(by, "arm").distinct().join(told, by).groupBy("arm").agg(F.count("*").alias("answers"), F.count_if("strict").alias("strict"), F.count_if("folded").alias("folded"))
+
+
+def link_grades(links: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(run, passed): whether the links a run wrote (run, file, relation, target_address) include what was wanted of it (run, relation, target_address; null relation: any)."""
+    given = links.select("run", "relation", "target_address").distinct().alias("g")
+    asked = wanted.select("run", "relation", "target_address").distinct().withColumn("n", F.monotonically_increasing_id()).alias("w")
+    met = asked.join(given, F.expr("w.run = g.run and w.target_address = g.target_address and (w.relation is null or w.relation = g.relation)"), "left_semi").select("n").withColumn("met", F.lit(True))
+    return asked.join(met, "n", "left").groupBy("run").agg(F.every(F.coalesce("met", F.lit(False))).alias("passed"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import links as L
 from pagemill.functions.text import identity, spdx
-from pagemill.operators import closure, extraction, lines, pages, records, search
+from pagemill.operators import closure, extraction, lines, lookup, pages, records, search
 from pagemill.tables import identity_of, latest_revision, table
 
 #: the text that the registered search asks for
@@ -70,7 +70,7 @@ def locations_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:
-    return pages.history(table(spark, d, "definitions"), table(spark, d, "locations"), table(spark, d, "revisions"))
+    return pages.history(table(spark, d, "locations"), table(spark, d, "revisions"))
 
 
 def resolve_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -166,12 +166,39 @@ def closure_sizes(spark: SparkSession, d: str) -> DataFrame:
     return closure.closure_sizes(_reach(spark, d), table(spark, d, "definitions", "identity", "lines"))
 
 
+def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = table(spark, d, "links", "source_identity", "relation", "origin", "target_identity")
+    return closure.edges(k), closure.names_of_roots(k)
+
+
+def closure_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Closures within the budget; those beyond it are followed no further than that takes."""
+    return closure.budgeted(*_edges(spark, d), table(spark, d, "definitions", "identity", "lines"))
+
+
+def closure_order(spark: SparkSession, d: str) -> DataFrame:
+    """Closures in the order of writing, what a page needs before the page."""
+    pairs, roots = _edges(spark, d)
+    return closure.ordered(pairs, closure.reach(pairs, roots, 50))
+
+
+def closure_free_names(spark: SparkSession, d: str) -> DataFrame:
+    return closure.free_names(_reach(spark, d), table(spark, d, "definitions", "identity", "kind", "name", "unresolved"))
+
+
+def closure_nodes(spark: SparkSession, d: str) -> DataFrame:
+    now = pages.current_places(table(spark, d, "locations"), table(spark, d, "revisions"))
+    return closure.closure_nodes(_reach(spark, d), table(spark, d, "definitions"), table(spark, d, "registry_names"), now)
+
+
 def closure_clashes(spark: SparkSession, d: str) -> DataFrame:
     return closure.name_clashes(_reach(spark, d), table(spark, d, "definitions", "identity", "kind", "name"))
 
 
 def closure_requirements(spark: SparkSession, d: str) -> DataFrame:
-    return closure.requirements(_reach(spark, d), table(spark, d, "definitions", "identity", "imports"))
+    """Modules that the files import in which the pages of a closure stand now; definitions have no imports of their own in these tables."""
+    now = pages.current_places(table(spark, d, "locations"), table(spark, d, "revisions"))
+    return closure.requirements(closure.files_of(_reach(spark, d), now), table(spark, d, "definitions", "identity", "imports"))
 
 
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -211,6 +238,75 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "locations", "identity", "repo", "sha", "path", "symbol").where("symbol is null").distinct().join(text, "identity").select("repo", "sha", "path", "text")
 
 
+def _index(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("definitions", "locations", "revisions", "registry_names")]
+
+
+def resolve_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Every address that links write, to the page it names."""
+    return lookup.resolve(table(spark, d, "links", F.col("target_address").alias("address")), *_index(spark, d))
+
+
+def preferred_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Of each page that a link with a place names, the location to show for it."""
+    k = table(spark, d, "links").where("target_identity is not null and target_form = 'locator'").select(
+        F.col("link_seq").alias("ask"), identity_of("target_identity").alias("identity"), F.col("target_locator").alias("at_repo"), F.col("target_path").alias("at_path"), F.col("target_symbol").alias("at_symbol"), F.col("target_rev").alias("at_rev")
+    )
+    return lookup.preferred_location(k.distinct(), table(spark, d, "locations"), table(spark, d, "revisions")).withColumnRenamed("ask", "link_seq")
+
+
+def page_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as objects, their links as texts ``line relation address``."""
+    o = lookup.page_objects(table(spark, d, "definitions"), table(spark, d, "locations"), table(spark, d, "revisions"), table(spark, d, "links"), table(spark, d, "registry_names"))
+    line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x["line"], x["relation"], x["address"])), ";").alias(c)
+    return o.select("address", "entry", "identity", "kind", "name", "signature", "docstring", "lines", "first", "last", line("links"), line("refs"))
+
+
+def definition_pages(spark: SparkSession, d: str) -> DataFrame:
+    """By the first eight digits of every identity that links name."""
+    asked = table(spark, d, "links", F.substring(identity_of("target_identity"), 1, 8).alias("prefix")).where("prefix is not null")
+    return lookup.definition_pages(asked, table(spark, d, "definitions"), table(spark, d, "locations"), table(spark, d, "revisions"), table(spark, d, "links"))
+
+
+def who_by_address(spark: SparkSession, d: str) -> DataFrame:
+    """Backlinks of every address that asserted links write."""
+    asked = table(spark, d, "links").where("origin = 'asserted'").select(F.col("target_address").alias("address"))
+    now = pages.current_places(table(spark, d, "locations"), table(spark, d, "revisions"))
+    return lookup.who_asked(asked, *_index(spark, d), who(spark, d), now)
+
+
+def locations_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.locations_in_order(table(spark, d, "locations"), table(spark, d, "revisions"))
+
+
+def links_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.links_in_order(table(spark, d, "links"))
+
+
+def greatest_dups(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.greatest_dups(dups_identity(spark, d))
+
+
+def top_level_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.top_level(table(spark, d, "locations"), table(spark, d, "revisions"))
+
+
+def unregistered(spark: SparkSession, d: str) -> DataFrame:
+    """Repositories that links name and nobody registered."""
+    return lookup.unregistered(table(spark, d, "links").where("target_locator is not null").select(F.col("target_locator").alias("locator")), table(spark, d, "repos"))
+
+
+def benchmark_ratios(spark: SparkSession, d: str) -> DataFrame:
+    return records.ratios(_runs(spark, d), "click", "view")
+
+
+def answer_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of each repository's current revision as answers, those of all its revisions without members as what is expected."""
+    now = pages.current_places(table(spark, d, "locations"), table(spark, d, "revisions")).where("symbol is not null").select("repo", "symbol")
+    want = table(spark, d, "locations", "repo", "symbol").where("symbol is not null and not contains(symbol, '.')")
+    return records.verdicts(now, want, "repo", "symbol")
+
+
 def extracted_pages(spark: SparkSession, d: str) -> DataFrame:
     """Definitions found in the files, with their identity and whether the tables have them at that place."""
     got = extraction.extract(_tree(spark, d)).where("kind is not null").select("repo", "sha", "path", "symbol", "kind", "identity", "shape", "span_first", "span_last")
@@ -287,7 +383,8 @@ QUERIES = {
     for f in (
         counts, status, current_revision, normalize_identity, spdx_license, parse_address, find_links, dups_identity, dups_shape, locations_of, history, resolve_targets, rank_by_relation, rank, who, who_counts,
         coverage, coverage_totals, directories, unresolved_matching, forward, link_owners, link_rows, merged_definitions, repo_pages, page_links, names_now, name_checks, innermost, symbol_files, latest_places,
-        closure_reach, closure_sizes, closure_clashes, closure_requirements, search_bm25, line_duplication, benchmark_summary, benchmark_statuses, answer_difference, extracted_pages, extracted_references, forwarded_references, unmapped_modules, file_imports, skipped_notes,
+        closure_reach, closure_sizes, closure_budget, closure_order, closure_free_names, closure_nodes, closure_clashes, closure_requirements, search_bm25, line_duplication, benchmark_summary, benchmark_statuses, answer_difference, answer_verdicts, benchmark_ratios, resolve_addresses, preferred_locations, page_objects, definition_pages, who_by_address, locations_in_order, links_in_order, greatest_dups, top_level_symbols, unregistered,
+        extracted_pages, extracted_references, forwarded_references, unmapped_modules, file_imports, skipped_notes,
     )
 }
 
@@ -310,8 +407,9 @@ SQL = {
     "locations_of": f"""WITH {_CURRENT}, n AS (SELECT target, min(name) entry FROM registry_names GROUP BY target)
         SELECT identity, repo || '@' || substr(sha, 1, 12) || '/' || path || coalesce('#' || symbol, '') address, entry FROM cur LEFT JOIN n ON n.target = repo || '/' || path""",
     "history": f"""WITH {_CRAWLS}, s AS (SELECT repo, path, symbol, sha, max(identity) identity FROM locations GROUP BY ALL), g AS (SELECT DISTINCT s.repo, s.path, s.symbol, c.sha, c.committed_at, c.crawl_seq FROM s JOIN crawls c USING (repo))
-        SELECT g.repo, g.path, g.symbol, g.sha, s.identity, s.identity IS NULL absent, s.identity IS DISTINCT FROM lag(s.identity) OVER (PARTITION BY g.repo, g.path, g.symbol ORDER BY g.committed_at NULLS FIRST, g.crawl_seq) changed
-        FROM g LEFT JOIN s ON s.repo = g.repo AND s.sha = g.sha AND s.path = g.path AND s.symbol IS NOT DISTINCT FROM g.symbol""",
+        SELECT g.repo, g.path, g.symbol, g.sha, s.identity, s.identity IS NULL absent
+        FROM g LEFT JOIN s ON s.repo = g.repo AND s.sha = g.sha AND s.path = g.path AND s.symbol IS NOT DISTINCT FROM g.symbol
+        QUALIFY s.identity IS DISTINCT FROM lag(s.identity) OVER (PARTITION BY g.repo, g.path, g.symbol ORDER BY g.committed_at NULLS FIRST, g.crawl_seq)""",
     "resolve_targets": f"""WITH {_CRAWLS}, o AS (SELECT DISTINCT link_seq, target_form, target_name, target_locator, target_path, target_rev, target_symbol, regexp_replace(lower(target_id), '^sha256:', '') tid FROM links WHERE target_identity IS NULL),
         ids AS (SELECT DISTINCT identity FROM definitions), p AS (SELECT link_seq, min(identity) f FROM o JOIN ids ON substr(tid, 1, 12) = substr(identity, 1, 12) AND starts_with(identity, tid) GROUP BY link_seq HAVING count(*) = 1),
         n AS (SELECT name, arg_min(target, registry) target, arg_min(versions, registry) versions FROM registry_names GROUP BY name),
@@ -352,8 +450,16 @@ SQL = {
         SELECT repo, path, symbol, state, CASE WHEN state = 'moved' THEN t[1] || CASE WHEN t[2] <> '' THEN '#' || t[2] ELSE '' END END moved_to FROM g""",
     "closure_reach": f"WITH RECURSIVE {_REACH} SELECT root, page FROM reach",
     "closure_sizes": f"WITH RECURSIVE {_REACH}, {_DEFS} SELECT root, count(*) pages, coalesce(sum(lines), 0) lines, count(*) FILTER (lines IS NULL) missing, count(*) <= 50 AND coalesce(sum(lines), 0) <= 2000 AS \"within\" FROM reach LEFT JOIN defs ON identity = page GROUP BY root",
+    "closure_budget": f"WITH RECURSIVE {_REACH}, {_DEFS}, s AS (SELECT root, count(*) n, coalesce(sum(lines), 0) l, count(*) FILTER (lines IS NULL) m FROM reach LEFT JOIN defs ON identity = page GROUP BY root) SELECT root, CASE WHEN n <= 50 THEN n END pages, CASE WHEN n <= 50 THEN l END lines, CASE WHEN n <= 50 THEN m END missing, n <= 50 AND l <= 2000 \"within\" FROM s",
+    "closure_free_names": f"""WITH RECURSIVE {_REACH}, d AS (SELECT identity, any_value(kind) kind, any_value(name) "name", any_value(unresolved) unresolved FROM definitions GROUP BY identity)
+        SELECT root, x "name" FROM (SELECT DISTINCT root, unnest(unresolved) x FROM reach JOIN d ON identity = page) u WHERE NOT EXISTS (SELECT 1 FROM reach r JOIN d ON d.identity = r.page WHERE r.root = u.root AND d.kind <> 'script' AND d."name" = u.x)""",
+    "closure_nodes": f"""WITH RECURSIVE {_REACH}, {_CURRENT}, d AS (SELECT identity, any_value(kind) kind, any_value(name) "name", any_value(signature) signature, any_value(docstring) docstring FROM definitions GROUP BY identity),
+        a AS (SELECT identity, min((repo, path, coalesce(symbol, ''))) p FROM cur GROUP BY identity), b AS (SELECT d.*, CASE WHEN p IS NOT NULL THEN p[1] || '/' || p[2] ELSE '' END place, p[3] symbol FROM d LEFT JOIN a USING (identity)),
+        n AS (SELECT target, arg_min(description, registry) said FROM registry_names WHERE description IS NOT NULL GROUP BY target)
+        SELECT root, page, CASE WHEN kind <> 'script' THEN coalesce(nullif(split_part(symbol, '.', 1), ''), "name") END defines, coalesce(said, nullif(trim(docstring), ''), signature) description, place FROM reach JOIN b ON b.identity = page LEFT JOIN n ON n.target = b.place""",
     "closure_clashes": f"WITH RECURSIVE {_REACH}, {_DEFS} SELECT root, name, count(*) pages FROM reach JOIN defs ON identity = page WHERE kind <> 'script' GROUP BY root, name HAVING count(*) > 1",
-    "closure_requirements": f"""WITH RECURSIVE {_REACH}, {_DEFS}, m AS (SELECT DISTINCT root, 's' k, unnest(imports.stdlib) m FROM reach JOIN defs ON identity = page UNION SELECT DISTINCT root, 't', unnest(imports.third_party) FROM reach JOIN defs ON identity = page)
+    "closure_requirements": f"""WITH RECURSIVE {_REACH}, {_CURRENT}, {_DEFS}, f AS (SELECT DISTINCT root, w.identity page FROM reach JOIN cur c ON c.identity = reach.page JOIN cur w ON w.repo = c.repo AND w.sha = c.sha AND w.path = c.path AND w.symbol IS NULL),
+        m AS (SELECT DISTINCT root, 's' k, unnest(imports.stdlib) m FROM f JOIN defs ON identity = page UNION SELECT DISTINCT root, 't', unnest(imports.third_party) FROM f JOIN defs ON identity = page)
         SELECT root, coalesce(string_agg(m, ',' ORDER BY m) FILTER (k = 's'), '') stdlib, coalesce(string_agg(m, ',' ORDER BY m) FILTER (k = 't'), '') third_party FROM m GROUP BY root""",
     "search_bm25": f"""WITH d AS (SELECT identity, any_value(name) "name", any_value(signature) signature, any_value(docstring) docstring FROM definitions GROUP BY identity), docs AS (SELECT DISTINCT l.identity, l.symbol, d.name, d.signature, d.docstring FROM locations l JOIN d USING (identity)),
         t AS (SELECT identity, symbol, list_filter(string_split_regex(lower(translate(coalesce(name, '') || ' ' || coalesce(symbol, '') || ' ' || coalesce(signature, '') || ' ' || coalesce(docstring, ''), 'áàâäãéèêëíìîïóòôöõúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') w FROM docs),
@@ -380,5 +486,31 @@ SQL = {
                  WHERE NOT EXISTS (SELECT 1 FROM same s WHERE s.repo = g.repo AND s.identity = g.identity) GROUP BY g.repo, g.identity)
         SELECT * FROM same UNION ALL SELECT * FROM back""",
 }
+_ORDERED = "SELECT DISTINCT identity, l.repo, l.sha, path, symbol, committed_at, crawl_seq FROM locations l JOIN crawls c ON c.repo = l.repo AND c.sha = l.sha"
+_LINK_ROWS = "rows_ AS (SELECT source_identity, repo, sha, file, line, relation, target_address, min(link_seq) link_seq FROM links GROUP BY ALL)"
+SQL |= {
+    "locations_in_order": f"""WITH {_CRAWLS}, o AS ({_ORDERED}) SELECT identity, repo, sha, path, symbol, CAST(row_number() OVER (PARTITION BY identity ORDER BY committed_at NULLS FIRST, crawl_seq, repo, path, symbol NULLS FIRST) AS INTEGER) "at" FROM o""",
+    "links_in_order": f"""WITH {_LINK_ROWS} SELECT source_identity, repo, sha, link_seq, CAST(row_number() OVER (PARTITION BY source_identity, repo, sha ORDER BY line, link_seq) AS INTEGER) "at" FROM rows_""",
+    "greatest_dups": f"""SELECT * FROM ({SQL["dups_identity"]}) ORDER BY places DESC, lines DESC NULLS LAST, "names", "key" LIMIT 50""",
+    "top_level_symbols": f"""WITH {_CURRENT}, t AS (SELECT DISTINCT repo, path, symbol, span_first FROM cur WHERE symbol IS NOT NULL AND NOT contains(symbol, '.')) SELECT repo, path, string_agg(symbol, ',' ORDER BY span_first, symbol) symbols FROM t GROUP BY ALL""",
+    "unregistered": "SELECT DISTINCT target_locator \"locator\" FROM links WHERE target_locator IS NOT NULL AND target_locator NOT IN (SELECT locator FROM repos)",
+    "preferred_locations": f"""WITH {_CRAWLS}, o AS ({_ORDERED}), k AS (SELECT DISTINCT link_seq, {_TI} ti, target_locator r, target_path p, target_symbol s, lower(target_rev) v FROM links WHERE target_identity IS NOT NULL AND target_form = 'locator'),
+        c AS (SELECT *, o.repo = r AND path = p AND symbol IS NOT DISTINCT FROM s same_, regexp_matches(v, '^[0-9a-f]{{12,40}}$') AND starts_with(o.sha, v) rev FROM k JOIN o ON o.identity = ti)
+        SELECT link_seq, repo, sha, path, symbol FROM c QUALIFY row_number() OVER (PARTITION BY link_seq ORDER BY CASE WHEN same_ AND rev THEN 0 WHEN same_ THEN 1 WHEN repo = r AND rev THEN 2 WHEN repo = r THEN 3 ELSE 4 END, coalesce(committed_at, -1) DESC, crawl_seq DESC, repo DESC, path DESC, coalesce(symbol, '') DESC) = 1""",
+    "page_objects": f"""WITH {_CURRENT}, n AS (SELECT target, min(name) entry FROM registry_names GROUP BY target), d AS (SELECT identity, any_value(kind) kind, any_value(name) "name", any_value(signature) signature, any_value(docstring) docstring, any_value(lines) lines FROM definitions GROUP BY identity),
+        {_LINK_ROWS}, p AS (SELECT c.*, entry, d.* EXCLUDE (identity) FROM (SELECT DISTINCT identity, repo, sha, path, symbol, span_first, span_last FROM cur) c JOIN d ON d.identity = c.identity LEFT JOIN n ON n.target = c.repo || '/' || c.path)
+        SELECT p.repo || '@' || substr(p.sha, 1, 12) || '/' || path || coalesce('#' || symbol, '') address, entry, identity, kind, p."name", signature, docstring, lines, span_first "first", span_last "last",
+          coalesce(string_agg((line - span_first + 1) || ' ' || relation || ' ' || target_address, ';' ORDER BY line, link_seq) FILTER (relation <> 'ref'), '') links, coalesce(string_agg((line - span_first + 1) || ' ' || relation || ' ' || target_address, ';' ORDER BY line, link_seq) FILTER (relation = 'ref'), '') refs
+        FROM p LEFT JOIN rows_ k ON k.source_identity = p.identity AND k.repo = p.repo AND k.sha = p.sha AND k.file = p.path GROUP BY p.repo, p.sha, path, symbol, entry, identity, kind, p."name", signature, docstring, lines, span_first, span_last""",
+    "definition_pages": f"""WITH p AS (SELECT DISTINCT substr({_TI}, 1, 8) prefix FROM links WHERE target_identity IS NOT NULL), d AS (SELECT identity, min((CAST(kind = 'script' AS INTEGER), kind, name)) m FROM definitions GROUP BY identity),
+        h AS (SELECT prefix, count(identity) matches, coalesce(array_to_string(list_slice(list_sort(list(identity) FILTER (identity IS NOT NULL)), 1, 10), ' '), '') identities, min(identity) one, arg_min(m, identity) m FROM p LEFT JOIN d ON starts_with(identity, prefix) GROUP BY prefix)
+        SELECT prefix, matches, identities, CASE WHEN matches = 1 THEN m[2] END kind, CASE WHEN matches = 1 THEN m[3] END "name", CASE WHEN matches = 1 THEN (SELECT count(*) FROM (SELECT DISTINCT repo, path, symbol FROM locations WHERE identity = one)) END places,
+          CASE WHEN matches = 1 THEN (SELECT count(*) FROM (SELECT DISTINCT source_identity, repo, file FROM links WHERE {_TI} = one)) END backlinks FROM h""",
+    "benchmark_ratios": f"""WITH s AS ({SQL["benchmark_summary"]}) SELECT a.family, a.task, a.median_tokens median, b.median_tokens base, CASE WHEN b.median_tokens > 0 THEN a.median_tokens / b.median_tokens END ratio FROM s a JOIN s b USING (family, task) WHERE a.arm = 'click' AND b.arm = 'view'""",
+    "answer_verdicts": f"""WITH {_CURRENT}, a AS (SELECT DISTINCT repo, symbol FROM cur WHERE symbol IS NOT NULL), e AS (SELECT DISTINCT repo, symbol FROM locations WHERE symbol IS NOT NULL AND NOT contains(symbol, '.')),
+        f AS (SELECT DISTINCT a.repo, coalesce((SELECT arg_max(e.symbol, length(e.symbol)) FROM e WHERE e.repo = a.repo AND (e.symbol = a.symbol OR starts_with(a.symbol, e.symbol || '.'))), a.symbol) symbol FROM a), r AS (SELECT repo FROM a UNION SELECT repo FROM e),
+        off_ AS (SELECT DISTINCT repo FROM ((SELECT * FROM a EXCEPT SELECT * FROM e) UNION ALL (SELECT * FROM e EXCEPT SELECT * FROM a))), off2 AS (SELECT DISTINCT repo FROM ((SELECT * FROM f EXCEPT SELECT * FROM e) UNION ALL (SELECT * FROM e EXCEPT SELECT * FROM f)))
+        SELECT repo, repo NOT IN (SELECT repo FROM off_) "strict", repo NOT IN (SELECT repo FROM off2) folded FROM r""",
+}
 SQL["coverage_totals"] = f"""SELECT *, CASE WHEN unmapped > 0 OR unread > 0 OR ignored_links > 0 THEN false WHEN unread IS NULL THEN NULL ELSE true END complete FROM (SELECT count(DISTINCT repo) repos, count(*) revisions, sum(files) files, CASE WHEN count(*) = count(skipped) THEN coalesce(sum(skipped), 0) END skipped, CASE WHEN count(*) = count(unread) THEN coalesce(sum(unread), 0) END unread,
     CASE WHEN count(*) = count(ignored_links) THEN coalesce(sum(ignored_links), 0) END ignored_links, sum(unmapped) unmapped, (SELECT count(DISTINCT link_seq) FROM links WHERE target_identity IS NULL) unresolved_targets FROM ({SQL["coverage"]}))"""
