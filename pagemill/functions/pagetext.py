@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import hashlib
 import re
 import textwrap
@@ -202,3 +203,99 @@ def moved_stamp(old: LinkLine, current: tuple[str, str] | None) -> tuple[str, st
         return None
     address, identity = current
     return None if identity.startswith(old.fields["id"].removeprefix("sha256:").lower()) and address == old.address else (address, identity)
+
+
+def text_diff(old: str, new: str, old_name: str, new_name: str) -> str:
+    """A unified diff with two lines around each change, '' for equal texts."""
+    return "\n".join(difflib.unified_diff(old.splitlines(), new.splitlines(), old_name, new_name, lineterm="", n=2))
+
+
+def same_page(one: str, other: str) -> bool:
+    """Whether two addresses name one page, whatever their revisions."""
+    bare = lambda a: re.sub(r"@[^/#]+", "", a.strip(), count=1) if "/" in a.split("#")[0].split("@")[0] else re.sub(r"@[^#]+", "", a.strip(), count=1)
+    return bare(one) == bare(other)
+
+
+def distribution(requirement: str) -> str:
+    """The name a requirement asks for, as indexes of packages write it."""
+    return re.match(r"[^\s\[<>=!~;@]*", requirement.strip())[0].lower().replace("_", "-")
+
+
+def module_name(name: str | None, target: str, path: str, symbol: str | None) -> str:
+    """A module name for a page written into a folder of its own: from its registry name, else its repository and file."""
+    words = [name or f"{target.split('/')[2]}_{path.rsplit('/', 1)[-1].rsplit('.', 1)[0]}", *([symbol] if symbol else [])]
+    plain = re.sub(r"\W+", "_", "_".join(words), flags=re.ASCII).strip("_").lower()
+    return (plain if plain[:1].isalpha() or plain[:1] == "_" else f"_{plain}") if plain else "page"
+
+
+def packaged(address: str, closure: list[tuple[str, str]], statements: list[str], module: str, binds: list[str], folder: str = "vendored") -> tuple[str, str]:
+    """(text of a module, import line) for a closure that is kept in a file of its own: imports, what it needs, and the page beneath its stamp.
+
+    ``closure`` is (identity, source), dependencies first.
+    """
+    *needed, (identity, source) = closure
+    parts = [*([chr(10).join(statements)] if statements else []), *[text.rstrip("\n") for _, text in needed], stamped(address, identity) + "\n" + source.rstrip("\n")]
+    said = f"from {folder}.{module} import {', '.join(binds)}" if binds else f"import {folder}.{module}"
+    return "\n\n\n".join(parts) + "\n", said
+
+
+@dataclass
+class Move:
+    """What following a link would change: status, what is said of it, the diff, and the lines that would take the place of those from ``first`` to ``last``."""
+
+    row: int
+    address: str
+    status: str
+    message: str
+    diff: str = ""
+    first: int = 0
+    last: int = 0
+    lines: list[str] = field(default_factory=list)
+
+
+def tracked(lines: list[str], addresses: tuple[str, ...] = (), every: bool = False) -> list[LinkLine]:
+    """Links that an update looks at: those of the pages named, else all, else those marked ``track=latest``; never see-links."""
+    links = [k for k in link_lines(lines) if k.relation != "see"]
+    if addresses:
+        return [k for k in links if any(same_page(k.address, a) for a in addresses)]
+    return links if every else [k for k in links if k.fields.get("track") == "latest"]
+
+
+def planned(lines: list[str], k: LinkLine, head: tuple[str, str, str] | None, pinned: tuple[str, str] | None = None) -> Move:
+    """What following a stamped link would change; nothing is changed.
+
+    ``head`` is (address, identity, source) of the page as it is now, ``pinned`` (identity, source) as it was when a from-link was
+    written. Only an is-link with an unedited block moves; a from-link's code is its owner's, who is shown the upstream change.
+    """
+    at = k.row + 1
+    stamp = k.fields.get("id", "").removeprefix("sha256:").lower()
+    if not stamp:
+        return Move(at, k.address, "unexpanded", "not expanded yet")
+    if "vendor" in k.fields:
+        return Move(at, k.address, "vendored", f"kept in {k.fields['vendor']}")
+    if head is None:
+        return Move(at, k.address, "not-found", "its page cannot be found")
+    address, identity, source = head
+    if k.relation == "from":
+        if pinned and pinned[0] == identity:
+            return Move(at, k.address, "upstream", "no upstream change")
+        return Move(at, k.address, "upstream", "upstream has changed", text_diff(pinned[1] if pinned else "", source, k.address, address))
+    block = "\n".join(lines[k.start : k.stop])
+    if not digest(block).startswith(stamp):
+        return Move(at, k.address, "drift", "the code beneath was edited")
+    if identity.startswith(stamp):
+        return Move(at, k.address, "unchanged", f"the same at {address}")
+    pad = " " * k.indent
+    # the length of the digits stays, fields and descriptions too
+    line = lines[k.row].replace(k.address, address, 1).replace(k.fields["id"], k.fields["id"][: len(k.fields["id"]) - len(stamp)] + identity[: len(stamp)], 1)
+    body = [pad + x if x else x for x in source.rstrip("\n").split("\n")]
+    between = lines[k.row + 1 : k.start]
+    return Move(at, k.address, "updated", f"{k.address} to {address}", text_diff(normalized(block), source, k.address, address), k.row, k.stop, [line, *between, *body])
+
+
+def moved(lines: list[str], moves: list[Move]) -> list[str]:
+    """The lines with all moves applied, from below to above so that rows stay right."""
+    out = list(lines)
+    for m in sorted((m for m in moves if m.status == "updated"), key=lambda m: -m.first):
+        out[m.first : m.last] = m.lines
+    return out
