@@ -128,24 +128,60 @@ def orphan_references(links: DataFrame, revisions: DataFrame, definitions: DataF
     revision, is an orphan; a null or empty ``unmapped`` holds no reference. Repeated rows
     count once; empty tables of records make every reference an orphan.
     """
+    return _orphans(links, revisions, definitions, locations, names).select("ref_table", "ref_key", "target", "repo", "sha", "kind").distinct()
+
+
+def _orphans(links: DataFrame, revisions: DataFrame, definitions: DataFrame, locations: DataFrame, names: DataFrame) -> DataFrame:
+    """Orphans with the key and ending by which they were looked for."""
     parents = parent_keys(definitions, locations, names, _short(links))
     lost = merge_references(link_references(links, revisions), parents)
     cols = ["ref_table", "ref_key", "target", "repo", "sha", "kind"]
     imports = import_references(revisions)
     # a module has two spellings as a path: either one found settles it
     met = merge_references(imports, parents.where("kind = 'module'"), "left_semi").select(*cols).distinct()
-    unmet = imports.select(*cols).distinct().join(met, cols, "left_anti")
-    return lost.select(*cols).unionByName(unmet).distinct()
+    unmet = imports.select(*cols, "key", "ends").join(met, cols, "left_anti")
+    return lost.select(*cols, "key", "ends").unionByName(unmet)
 
 
-def orphan_counts(orphans: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Orphans per table, kind and month of the last ``crawled_at`` of the referring revision ('' where it is unknown)."""
-    when = revisions.groupBy("repo", "sha").agg(F.max("crawled_at").alias("crawled_at"))
-    return (
-        orphans.join(when, ["repo", "sha"], "left")
-        .groupBy("ref_table", "kind", F.coalesce(F.substring("crawled_at", 1, 7), F.lit("")).alias("month"))
-        .agg(F.count("*").alias("orphans"))
-    )
+def orphan_status(links: DataFrame, revisions: DataFrame, definitions: DataFrame, locations: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (ref_table, ref_key, target, repo, sha, kind, status, month) of the orphans, whatever their kind.
+
+    A record that the asked revision lacks may be held by others. It was valid from the first crawl of a revision of its
+    repository that has the place, the module's file or (of any repository) the identity: 'late' where that is after the last crawl of the
+    referring revision, 'deleted' where it is not, 'missing' where no revision has it. Registry names and versions carry no dates:
+    'missing'. Only the places that orphans ask for are looked at, and joined by their loose keys. ``month`` is that of the
+    referring crawl ('' where it is unknown).
+    """
+    lost = _orphans(links, revisions, definitions, locations, names)
+    module = F.split("key", "\x1f")
+    loose = (
+        F.when(F.col("kind") == "identity", F.col("key")).when(F.col("kind") == "place", F.expr(f"substr(key, {PREFIX + 2})"))
+        .when(F.col("kind") == "module", F.concat_ws("\x1f", module[0], module[2]))
+    )
+    asked = lost.withColumn("loose", loose).alias("o")
+    crawl = revisions.groupBy("repo", "sha").agg(F.max("crawled_at").alias("crawled_at"))
+    stem = F.expr("left(path, length(path) - 3)")
+    last = F.when(F.col("path").like("%.py"), F.substring_index(stem, "/", -1))
+    folder = F.when(F.col("path").like("%/__init__.py"), F.element_at(F.split("path", "/"), -2))
+    entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("loose"))
+    keys = F.array(
+        entry("identity", F.col("identity")), entry("place", _place("repo", "path", "symbol")),
+        entry("module", F.when(last.isNotNull(), F.concat_ws("\x1f", "repo", last))), entry("module", F.when(folder.isNotNull(), F.concat_ws("\x1f", "repo", folder))),
+    )
+    wanted = asked.select("o.kind", "o.loose").where("loose is not null").distinct()
+    at = locations.where("repo is not null and sha is not null and path is not null").select("identity", "repo", "sha", "path", "symbol").select("repo", "sha", "path", F.explode(keys).alias("k")).select("repo", "sha", "path", "k.*")
+    held = at.where("loose is not null").join(wanted, ["kind", "loose"], "left_semi").join(crawl, ["repo", "sha"])
+    seen = held.groupBy("kind", "loose", F.when(F.col("kind") == "module", F.concat(F.lit("/"), "path")).otherwise("").alias("value")).agg(F.min("crawled_at").alias("first")).alias("h")
+    both = asked.join(seen, F.expr("o.kind = h.kind and o.loose = h.loose and (o.kind <> 'module' or endswith(h.value, o.ends))"), "left")
+    cols = ["ref_table", "ref_key", "target", "repo", "sha", "kind"]
+    got = both.groupBy(*[F.col(f"o.{c}").alias(c) for c in cols]).agg(F.min("h.first").alias("first")).join(crawl, ["repo", "sha"], "left")
+    status = F.when(F.col("first").isNull(), "missing").when(F.col("first") > F.col("crawled_at"), "late").otherwise("deleted")
+    return got.select(*cols, status.alias("status"), F.coalesce(F.substring("crawled_at", 1, 7), F.lit("")).alias("month"))
+
+
+def orphan_counts(told: DataFrame) -> DataFrame:
+    """Orphans per table, kind, status and month; ``told`` is ``orphan_status``."""
+    return told.groupBy("ref_table", "kind", "status", "month").agg(F.count("*").alias("orphans"))
 
 
 def reference_status(links: DataFrame, revisions: DataFrame, definitions: DataFrame, locations: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.hierarchy import descendant_pairs, hierarchies
-from pagemill.operators.references import orphan_counts, orphan_references, reference_status, reference_statuses, status_by_month
+from pagemill.operators.references import orphan_counts, orphan_references, orphan_status, reference_status, reference_statuses, status_by_month
 from pagemill.tables import identity_of, table
 
 
@@ -16,7 +16,7 @@ def _tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _tree(spark, d, paths=False).select(F.col("node").alias("identity"), F.col("root").alias("root_identity"), F.col("depth").cast("int").alias("depth"))
+    return _tree(spark, d).select(F.col("node").alias("identity"), F.col("root").alias("root_identity"), F.col("depth").cast("int").alias("depth"))
 
 
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_by_month(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_counts(_orphans(spark, d), table(spark, d, "revisions", "repo", "sha", "crawled_at"))
+    return orphan_counts(
+        orphan_status(
+            table(spark, d, "links", "link_seq", "target_address", "repo", "sha", "target_form", "target_name", "target_locator", "target_path", "target_rev", "target_symbol", "target_id", "target_identity"),
+            table(spark, d, "revisions", "repo", "sha", "crawled_at", "crawl_seq", "unmapped"),
+            table(spark, d, "definitions", "identity"),
+            table(spark, d, "locations", "identity", "repo", "sha", "path", "symbol"),
+            table(spark, d, "registry_names", "name", "versions"),
+        )
+    )
 
 
 def p6_status(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +118,13 @@ SQL = {
         g AS (SELECT start FROM r WHERE here = start), m AS (SELECT start, min(here) ring FROM r WHERE start IN (SELECT start FROM g) GROUP BY start)
         SELECT ring, count(*) members FROM m GROUP BY ring""",
     "p6_found": f"WITH {_ORPHANS} SELECT DISTINCT ref_table, ref_key, target FROM o",
-    "p6_by_month": f"""WITH {_ORPHANS}, w AS (SELECT repo, sha, max(crawled_at) seen FROM revisions GROUP BY ALL)
-        SELECT ref_table, kind, coalesce(substr(seen, 1, 7), '') AS "month", count(*) orphans FROM o LEFT JOIN w USING (repo, sha) GROUP BY ALL""",
+    "p6_by_month": f"""WITH {_ORPHANS}, w AS (SELECT repo, sha, max(crawled_at) seen FROM revisions GROUP BY ALL), lw AS (SELECT DISTINCT l.identity, l.repo, l.path, coalesce(l.symbol, chr(30)) symbol, w.seen FROM locations l JOIN w ON w.repo = l.repo AND w.sha = l.sha),
+        ki AS (SELECT identity, min(seen) f FROM lw GROUP BY identity), kp AS (SELECT repo, path, symbol, min(seen) f FROM lw GROUP BY ALL),
+        km AS (SELECT u.repo, u.m, min(lw.seen) f FROM (SELECT DISTINCT repo, unnest(map_keys(unmapped)) m FROM revisions) u JOIN lw ON lw.repo = u.repo AND (ends_with('/' || lw.path, '/' || replace(m, '.', '/') || '.py') OR ends_with('/' || lw.path, '/' || replace(m, '.', '/') || '/__init__.py')) GROUP BY ALL),
+        t AS (SELECT DISTINCT CAST(link_seq AS VARCHAR) ref_key, target_address target, ti, target_locator, target_path, coalesce(target_symbol, chr(30)) target_symbol FROM l),
+        g AS (SELECT DISTINCT o.*, coalesce(ki.f, kp.f, km.f) f FROM o LEFT JOIN t ON o.ref_table = 'links' AND t.ref_key = o.ref_key AND t.target = o.target LEFT JOIN ki ON o.kind = 'identity' AND ki.identity = t.ti
+          LEFT JOIN kp ON o.kind = 'place' AND kp.repo = t.target_locator AND kp.path = t.target_path AND kp.symbol = t.target_symbol LEFT JOIN km ON o.kind = 'module' AND km.repo = o.repo AND km.m = o.target)
+        SELECT ref_table, kind, CASE WHEN f IS NULL THEN 'missing' WHEN f > seen THEN 'late' ELSE 'deleted' END status, coalesce(substr(seen, 1, 7), '') AS "month", count(*) orphans FROM g LEFT JOIN w USING (repo, sha) GROUP BY ALL""",
     "p6_status": """WITH crawl AS (SELECT repo, sha, max(crawled_at) seen FROM revisions GROUP BY ALL), newest AS (SELECT repo, arg_max(sha, crawl_seq) newest FROM revisions GROUP BY repo),
         held AS (SELECT DISTINCT identity, repo, sha FROM locations),
         spans AS (SELECT identity, min(crawl.seen) first, max(CASE WHEN sha = newest THEN 1 ELSE 0 END) current FROM held JOIN crawl USING (repo, sha) JOIN newest USING (repo) GROUP BY identity),

@@ -1,6 +1,6 @@
 import pytest
 
-from pagemill.operators.references import orphan_counts, orphan_references, reference_status, reference_statuses, status_by_month
+from pagemill.operators.references import orphan_counts, orphan_references, orphan_status, reference_status, reference_statuses, status_by_month
 
 LINKS = "link_seq bigint, target_address string, repo string, sha string, target_form string, target_name string, target_locator string, target_path string, target_rev string, target_symbol string, target_id string, target_identity string, kind string"
 A, B = "a" * 64, "b" * 64
@@ -38,7 +38,7 @@ def test_each_rule(tables):
 
 
 def test_counts_and_status(tables):
-    counts = {(r.ref_table, r.month): r.orphans for r in orphan_counts(orphan_references(**tables), tables["revisions"]).groupBy("ref_table", "month").sum("orphans").withColumnRenamed("sum(orphans)", "orphans").collect()}
+    counts = {(r.ref_table, r.month): r.orphans for r in orphan_counts(orphan_status(**tables)).groupBy("ref_table", "month").sum("orphans").withColumnRenamed("sum(orphans)", "orphans").collect()}
     assert counts == {("links", "2025-02"): 9, ("revisions", "2025-02"): 1}
     status = {r.link_seq: r.status for r in reference_status(tables["links"], tables["revisions"], tables["definitions"], tables["locations"]).collect()}
     assert status == {1: "live", 2: "missing"}
@@ -67,4 +67,11 @@ def test_statuses_of_every_kind(spark, tables):
     modules = {m: s for (t, k, m), s in got.items() if t == "revisions" and k == f"q@{old}"}
     assert modules == {"was.here": "missing", "comes": "late", "never": "missing"}
     assert sum(r.references for r in status_by_month(rows).collect()) == len(got) == rows.count()
+    # the same of the orphans alone; an identity that places hold and definitions do not was deleted
+    held = tables["locations"].sparkSession.createDataFrame([(B, "q", old, "b.py", None)], tables["locations"].schema)
+    orphans = {(r.ref_table, r.ref_key, r.target): (r.kind, r.status) for r in orphan_status(**dict(args, locations=locations.union(held))).collect()}
+    assert set(orphans) == {(r.ref_table, r.ref_key, r.target) for r in orphan_references(**args).collect()}
+    assert {k: s for k, (kind, s) in orphans.items() if kind != "identity"} == {k: got[k] for k, (kind, _) in orphans.items() if kind != "identity"}
+    assert orphans["links", "2", "t2"] == ("identity", "late")
+    assert orphan_status(**{k: v.limit(0) for k, v in args.items()}).collect() == []
     assert reference_statuses(**{k: v.limit(0) for k, v in args.items()}).collect() == []
