@@ -313,18 +313,15 @@ def is_trivial(doc: str, name: str | None) -> bool:
     return _placeholder(text, n)
 
 
-def documented_functions(definitions: DataFrame, code: bool = True) -> DataFrame:
+def documented_functions(definitions: DataFrame) -> DataFrame:
     """Code-description pairs of the function pages: identity, signature, documentation, code, trivial.
 
     Pages without any documentation are left out; ``trivial`` marks documentation that is empty of
     content. Null or blank docstrings fall back to the source, a null source to nothing; a null
     name repeats nothing; languages other than python and c use the docstring alone. Repeated
     rows count once and extra columns do not matter. Whole sources are read, of any length.
-    With ``code`` false, signature and code stay null and sources are only read where needed.
     """
-    blank = F.coalesce(F.trim(F.regexp_replace("docstring", r"\s+", " ")) == "", F.lit(True))
-    source = F.col("source") if code else F.when(blank, F.col("source"))
-    rows = definitions.where("kind = 'function'").select("identity", "language", "name", "docstring", "signature", source.alias("source"))
+    rows = definitions.where("kind = 'function'").select("identity", "language", "name", "docstring", "signature", "source")
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,9 +330,9 @@ def documented_functions(definitions: DataFrame, code: bool = True) -> DataFrame
                 found = documentation(language, doc, text)
                 if not found.strip():
                     continue
-                if code and not signature and language in FUNCTIONS:
+                if not signature and language in FUNCTIONS:
                     signature = next((f[2] for f in FUNCTIONS[language](text or "", True)), None)
-                for column, x in zip(out, (identity, signature if code else None, found, text if code else None, is_trivial(found, name))):
+                for column, x in zip(out, (identity, signature, found, text, is_trivial(found, name))):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _ARROW.types)], schema=_ARROW)
 
@@ -346,14 +343,20 @@ _ARROW = pa.schema([("identity", pa.string()), ("signature", pa.string()), ("doc
 
 
 def extracted_functions(files: DataFrame) -> DataFrame:
-    """(identity, start, stop, signature, documentation) of every function in whole files (identity, language, source)."""
-    schema = pa.schema([("identity", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("signature", pa.string()), ("documentation", pa.string())])
+    """(identity, start, stop, signature, documentation, trivial) of every documented function in whole files (identity, language, source).
+
+    Braces, or indentation, delimit a function; ``start`` and ``stop`` are its place in the source, the documentation included. Functions
+    without any documentation have no row; null sources and other languages than python and c have none.
+    """
+    kinds = "identity string, start int, stop int, signature string, documentation string, trivial boolean"
+    schema = pa.schema([("identity", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("signature", pa.string()), ("documentation", pa.string()), ("trivial", pa.bool_())])
 
     def lexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [
-                (i, *f) for i, lang, text in zip(*(c.to_pylist() for c in b.columns)) if text and lang in FUNCTIONS for f in FUNCTIONS[lang](text) if f[3].strip()
-            ]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+                (i, *f[:4], is_trivial(f[3], f[2].split("(")[0].split()[-1] if f[2].split("(")[0].split() else None))
+                for i, lang, text in zip(*(c.to_pylist() for c in b.columns)) if text and lang in FUNCTIONS for f in FUNCTIONS[lang](text) if f[3].strip()
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
-    return files.select("identity", "language", "source").mapInArrow(lexed, "identity string, start int, stop int, signature string, documentation string")
+    return files.select("identity", "language", "source").mapInArrow(lexed, kinds)

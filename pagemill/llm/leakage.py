@@ -10,6 +10,7 @@ is scanned once. Offsets of a hit are mapped to the original text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 RUN = 12
 SCHEMA = "doc_id bigint, item_id bigint, words int, start int, stop int"
-#: items are held in memory by every task; beyond this many characters they are refused rather than broadcast
-MAX_ITEM_CHARS = 50_000_000
+#: items of at most so many characters make one automaton, which takes about 130 bytes a character in each Python worker; larger
+#: collections are scanned for part by part, and refused beyond so many parts
+MAX_ITEM_CHARS, MAX_PARTS = 2_000_000, 64
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _WORD = re.compile(rb"[A-Za-z0-9]+")
 
@@ -83,22 +85,45 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN) -> Data
     ``documents`` has doc_id, text; ``items`` item_id, text; other columns do not matter.
     Null or blank texts hold nothing; items of fewer words than ``run`` can't leak; repeated
     rows count once; a null id gives a row with a null id. Empty tables give no rows. The items are
-    gathered after their size is checked (MAX_ITEM_CHARS); the corpus is never shuffled
-    but for the last distinct over the few hits.
+    gathered after their size is checked, in as many parts by a hash of their texts as MAX_ITEM_CHARS asks for, each with one
+    pass over the corpus; the corpus is never shuffled but for the last distinct over the few hits.
     """
     own = items.select("item_id", "text").where("text is not null").distinct()
-    size = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"{size} characters of items; at most {MAX_ITEM_CHARS} fit one automaton, so pass them in parts")
-    held = documents.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in own.collect()])
+    size, longest = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.coalesce(F.max(F.length("text")), F.lit(0))).first()
+    # parts by hash are not all alike: they are planned at half of what one may hold
+    parts = -(-2 * size // MAX_ITEM_CHARS) if size > MAX_ITEM_CHARS else 1
+    if parts > MAX_PARTS or longest > MAX_ITEM_CHARS:
+        raise ValueError(f"{size} characters of items, up to {longest} in one; at most {MAX_PARTS} parts of {MAX_ITEM_CHARS} are scanned for")
+    texts = documents.select("doc_id", "text").where("length(text) > 0")
+    out = None
+    for part in range(parts):
+        mine = own if parts == 1 else own.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        hits = texts.mapInArrow(_scanner(documents.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in mine.collect()]), run), SCHEMA)
+        out = hits if out is None else out.unionByName(hits)
+    return out.distinct()
+
+
+#: the automaton a Python worker built last, with the name of its items
+_BUILT: dict[str, Leaks] = {}
+
+
+def _scanner(held, run: int):
+    name = uuid.uuid4().hex
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaks = Leaks(held.value, run)
+        leaks = _built(name, held, run)
         for b in batches:
             rows = [(doc, *hit) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text for hit in leaks.scan(text)]
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "words", "start", "stop"), r)) for r in rows], schema=_ARROW)
 
-    return documents.select("doc_id", "text").where("length(text) > 0").mapInArrow(found, SCHEMA).distinct()
+    return found
+
+
+def _built(name: str, held, run: int) -> Leaks:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Leaks(held.value, run)
+    return _BUILT[name]
 
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])

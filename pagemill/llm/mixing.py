@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +23,9 @@ TOKENIZERS = os.environ.get("PAGEMILL_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: fixed value: the pattern by which this vocabulary's tokenizer cuts a text before merging
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: longer texts are cut here for the tokenizer, at a line end or space where there is one; a cut costs a token at most
+#: longer texts are handed to the tokenizer in pieces of at least this length, cut only between two words where it cuts itself
 PIECE = 100_000
+_BETWEEN_WORDS = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 def encoder(path: str):
@@ -35,12 +37,15 @@ def encoder(path: str):
 
 
 def _pieces(text: str) -> Iterator[str]:
-    while len(text) > PIECE:
-        at = max(text.rfind("\n", 0, PIECE), text.rfind(" ", 0, PIECE))
-        at = at if at > 0 else PIECE
-        yield text[:at]
-        text = text[at:]
-    yield text
+    """The text in pieces whose tokens are just those of the whole: a blank between two letters always begins a new word."""
+    start = 0
+    while len(text) - start > PIECE:
+        m = _BETWEEN_WORDS.search(text, start + PIECE)
+        if m is None:
+            break
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:]
 
 
 def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -73,13 +78,13 @@ def mix_rates(counts: DataFrame, targets: DataFrame, size: float | None = None)
         targets.select("mix", F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")).alias("source"), "share", "max_repeats")
         .groupBy("mix", "source").agg(F.max_by("max_repeats", F.struct("share", "max_repeats")).alias("max_repeats"), F.max("share").alias("share"))
     )
-    t = wanted.join(F.broadcast(have), "source", "left")  # one row a source
+    t = wanted.join(have, "source", "left")
     live = (F.col("available") > 0) & (F.col("share") > 0) & (F.col("max_repeats") > 0)
     t = t.withColumn("part", F.when(live, F.col("share")))
     per_mix = t.groupBy("mix").agg(F.sum("part").alias("parts"), F.sum(F.when(live, F.col("available"))).alias("all"))
-    t = t.join(F.broadcast(per_mix), "mix").withColumn("part", F.col("part") / F.col("parts"))
+    t = t.join(per_mix, "mix").withColumn("part", F.col("part") / F.col("parts"))
     room = t.groupBy("mix").agg(F.min(F.col("max_repeats") * F.col("available") / F.col("part")).alias("room"))
-    t = t.join(F.broadcast(room), "mix")
+    t = t.join(room, "mix")
     total = F.least("all", "room") if size is None else F.lit(float(size))
     rate = F.when(F.col("part").isNotNull(), F.least(F.col("part") * total / F.col("available"), F.col("max_repeats").cast("double")))
     return t.select("mix", "source", "share", "max_repeats", F.coalesce("available", F.lit(0)).alias("available"), F.coalesce(rate, F.lit(0.0)).alias("rate"))
@@ -94,7 +99,7 @@ def mixed(counts: DataFrame, rates: DataFrame, seed: int = 0) -> DataFrame:
     whole = F.floor("rate")
     copies = (whole + (share < F.col("rate") - whole).cast("int")).cast("int")
     return (
-        counts.join(F.broadcast(rates.where("rate > 0").select("mix", "source", "rate")), "source")
+        counts.join(rates.where("rate > 0").select("mix", "source", "rate"), "source")
         .select("mix", "doc_id", "source", "tokens", copies.alias("copies")).where("copies > 0")
     )
 
@@ -105,7 +110,7 @@ def mix_report(counts: DataFrame, targets: DataFrame, size: float | None = None,
     used = mixed(counts, rates, seed).groupBy("mix", "source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     r = rates.join(used, ["mix", "source"], "left").na.fill(0, ["documents", "tokens"])
     total = r.groupBy("mix").agg(F.sum("tokens").alias("total"))
-    return r.join(F.broadcast(total), "mix").select(
+    return r.join(total, "mix").select(
         "mix", "source", "share", "max_repeats", "available", "rate", "documents", "tokens", F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).alias("reached")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.abuse import REVIEW, abuse_rates, abuse_scores, calibration
-from pagemill.llm.functions_docs import documented_functions
+from pagemill.llm.functions_docs import documented_functions, extracted_functions
 from pagemill.llm.generated import machine_files
 from pagemill.llm.leakage import leaked_items
 from pagemill.llm.licenses import license_verdicts
@@ -24,6 +24,14 @@ def p1_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_characters(table(spark, d, "definitions", "identity", "kind", "source"))
 
 
+def p3_extracted(spark: SparkSession, d: str) -> DataFrame:
+    """Documented functions cut out of whole files, per language: how many, how many with documentation of content, and how many stand as pages of their own."""
+    files = table(spark, d, "definitions", "identity", "kind", "language", "source").where("kind = 'script'").dropDuplicates(["identity"])
+    return extracted_functions(files).join(files.select("identity", "language"), "identity").groupBy("language").agg(
+        F.count("*").alias("functions"), F.count_if(~F.col("trivial")).alias("documented"), F.countDistinct("identity").alias("files")
+    )
+
+
 def _machine(spark: SparkSession, d: str) -> DataFrame:
     return machine_files(
         table(spark, d, "definitions", "identity", "language", "kind", "source"), table(spark, d, "locations", "identity", "repo", "sha", "path", "symbol")
@@ -40,7 +48,7 @@ def p2_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "definitions", "identity", "language", "kind", "name", "signature", "docstring", "source")
-    return documented_functions(pages, code=False).where("not trivial").select("identity").distinct()
+    return documented_functions(pages).where("not trivial").select("identity").distinct()
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +136,21 @@ _RUNS = """WITH i AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(
     ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') r FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) k FROM i)),
     dr AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) k FROM d))"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_verdicts, p3_found, p3_pairs, p5_found, p5_rates, p7_found, p7_licenses, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_scores, p10_rates, p10_calibration)}
-
-SQL = {"p8_found": f"{_RUNS} SELECT DISTINCT doc_id, item_id FROM ir JOIN dr USING (r)"}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shared, p2_found, p2_verdicts, p3_found, p3_pairs, p3_extracted, p5_found, p5_rates, p7_found, p7_licenses, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_scores, p10_rates, p10_calibration)}
+
+#: every window of 240 characters by its hash; the Spark side names symbols and compares only what shares one
+_WINDOWS = """WITH d AS (SELECT DISTINCT identity, source FROM definitions WHERE kind = 'script' AND identity IS NOT NULL AND length(source) >= 240),
+    k AS (SELECT identity, source, unnest(range(1, length(source) - 238)) k FROM d), w AS (SELECT identity, k, hash(substr(source, k, 240)) h FROM k),
+    s AS (SELECT h FROM w GROUP BY h HAVING min(identity) <> max(identity))"""
+
+SQL = {
+    "p1_found": f"""{_WINDOWS}, t AS (SELECT DISTINCT identity, h FROM w WHERE h IN (SELECT h FROM s)), p AS (SELECT DISTINCT a.identity identity_a, b.identity identity_b FROM t a JOIN t b ON a.h = b.h AND a.identity < b.identity),
+        l AS (SELECT DISTINCT identity, repo, path FROM locations WHERE symbol IS NULL)
+        SELECT identity_a, identity_b FROM p WHERE NOT EXISTS (SELECT 1 FROM l x JOIN l y ON x.repo = y.repo AND x.path = y.path WHERE x.identity = identity_a AND y.identity = identity_b)""",
+    "p1_shared": f"""{_WINDOWS}, t AS (SELECT identity, k, lead(k) OVER (PARTITION BY identity ORDER BY k) n FROM w WHERE h IN (SELECT h FROM s))
+        SELECT identity, CAST(any_value(length(source)) AS INTEGER) characters, CAST(sum(least(240, coalesce(n - k, 240))) AS INTEGER) shared FROM t JOIN d USING (identity) GROUP BY identity""",
+    "p8_found": f"{_RUNS} SELECT DISTINCT doc_id, item_id FROM ir JOIN dr USING (r)",
+    "p8_items": f"""{_RUNS.replace("SELECT DISTINCT item_id, array_to_string", "SELECT DISTINCT item_id, k, array_to_string").replace("SELECT DISTINCT doc_id, array_to_string", "SELECT DISTINCT doc_id, k, array_to_string")},
+        h AS (SELECT DISTINCT doc_id, item_id, dr.k at_, dr.k - ir.k diagonal FROM ir JOIN dr USING (r)), g AS (SELECT *, at_ - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY at_) island FROM h),
+        l AS (SELECT doc_id, item_id, count(*) + 11 n FROM g GROUP BY doc_id, item_id, diagonal, island) SELECT item_id, count(DISTINCT doc_id) documents, CAST(max(n) AS INTEGER) longest FROM l GROUP BY item_id""",
+}

@@ -229,3 +229,12 @@ def test_verdicts(spark):
         ("none", "m"): None, ("none", "g"): None, ("none", "n"): "unknown", ("none", "o"): None, ("none", "z"): "unknown", ("two", "m"): None, ("two", "g"): None, ("two", "n"): "conflict", ("two", "o"): None, ("two", "z"): "conflict",
     }
     assert K.license_verdicts(defs.limit(0), locs.limit(0), revs.limit(0), roots.limit(0)).collect() == []
+
+
+def test_functions_of_whole_files(spark):
+    py = 'import os\n\n\ndef a(x):\n    """Says what the first one really does here."""\n    return "def fake(): {"\n\n\nclass B:\n    def m(self):\n        """TODO: document this."""\n\n    def bare(self):\n        return 1\n'
+    c = '/* Opens the valve by so many turns of the wheel. */\nstatic int open_valve(int turns)\n{\n\tchar *s = "}";\n\treturn turns; /* } */\n}\n\nint other(void) { return 0; }\n'
+    files = spark.createDataFrame([("p", "python", py, 1), ("c", "c", c, 1), ("n", "c", None, 1), ("t", "text", c, 1)], "identity string, language string, source string, start int")
+    rows = {(r.identity, r.signature.split("(")[0].split()[-1]): r for r in D.extracted_functions(files).collect()}
+    assert {k: r.trivial for k, r in rows.items()} == {("p", "a"): False, ("p", "m"): True, ("c", "open_valve"): False}
+    assert c[rows["c", "open_valve"].start : rows["c", "open_valve"].stop].rstrip().endswith("}") and D.extracted_functions(files.limit(0)).collect() == []

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from pagemill.llm import abuse as A
 from pagemill.llm import leakage as L
 from pagemill.llm import mixing as M
@@ -72,9 +74,24 @@ def test_mix(spark):
 
 def test_token_counts_of_long_texts(spark):
     enc = M.encoder(f"{M.TOKENIZERS}/{M.VOCABULARY}")
-    text = "some words in a line\n" * 20_000
-    got = M.token_counts(spark.createDataFrame([(1, text, None)], "doc_id bigint, text string, source string")).first()
-    assert abs(got.tokens - len(enc.encode_ordinary(text))) <= len(text) // M.PIECE + 1
+    r = random.Random(8)
+    mixed = "".join(r.choice(["word", " ", "  ", "\n", "é", "12", "'s", " the", "-", "a", "Z "]) for _ in range(120_000))
+    texts = ["some words in a line\n" * 20_000, mixed, "x-" * 80_000]
+    got = {x.doc_id: x.tokens for x in M.token_counts(spark.createDataFrame([(n, t, None) for n, t in enumerate(texts)], "doc_id bigint, text string, source string")).collect()}
+    assert got == {n: len(enc.encode_ordinary(t)) for n, t in enumerate(texts)}
+
+
+def test_leaks_in_parts(spark, monkeypatch):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(30)]
+    docs = spark.createDataFrame([(i, "so " + t.upper() + " it goes") for i, t in items] + [(99, "nothing " * 40)], "doc_id bigint, text string")
+    given = spark.createDataFrame(items, "item_id bigint, text string")
+    want = {(r.doc_id, r.item_id, r.words, r.start, r.stop) for r in L.leaked_items(docs, given).collect()}
+    assert len(want) == 30
+    monkeypatch.setattr(L, "MAX_ITEM_CHARS", 700)
+    assert {(r.doc_id, r.item_id, r.words, r.start, r.stop) for r in L.leaked_items(docs, given).collect()} == want
+    monkeypatch.setattr(L, "MAX_PARTS", 2)
+    with pytest.raises(ValueError):
+        L.leaked_items(docs, given)
 
 
 def test_plain_words():
