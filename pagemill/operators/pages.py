@@ -83,9 +83,11 @@ def history(locations: DataFrame, revisions: DataFrame) -> DataFrame:
     seen = places(locations).groupBy("repo", "path", "symbol", "sha").agg(F.max("identity").alias("identity")).where("identity is not null").join(numbered, ["repo", "sha"])
     spot = Window.partitionBy("repo", "path", "symbol").orderBy("at")
     told = seen.select("*", F.lag("at").over(spot).alias("before"), F.lag("identity").over(spot).alias("was"), F.lead("at").over(spot).alias("next"))
-    came = told.where("before is null or before < at - 1 or was <> identity").select("repo", "path", "symbol", "at", "identity")
-    went = told.where("coalesce(next, of + 1) > at + 1 and at < of").select("repo", "path", "symbol", (F.col("at") + 1).alias("at"), F.lit(None).cast("string").alias("identity"))
-    every = came.unionByName(went).join(numbered.select("repo", "at", "sha"), ["repo", "at"])
+    event = lambda when, at, identity: F.when(when, F.struct(at.cast("int").alias("at"), identity.alias("identity")))
+    came = event(F.expr("before is null or before < at - 1 or was <> identity"), F.col("at"), F.col("identity"))
+    went = event(F.expr("coalesce(next, of + 1) > at + 1 and at < of"), F.col("at") + 1, F.lit(None).cast("string"))
+    changes = told.select("repo", "path", "symbol", F.explode(F.array_compact(F.array(came, went))).alias("e")).select("repo", "path", "symbol", "e.*")
+    every = changes.join(numbered.select("repo", "at", "sha"), ["repo", "at"])
     return every.select("repo", "path", "symbol", "sha", "identity", F.col("identity").isNull().alias("absent"))
 
 

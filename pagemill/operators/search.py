@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.stemming import stems
+from pagemill.session import cut
 
 K1, B = 1.2, 0.75
 COLUMNS = ("name", "symbol", "signature", "docstring")
@@ -57,6 +58,7 @@ def search(documents: DataFrame, query: str, limit: int = 20) -> DataFrame:
     per = words.withColumn("hits", F.filter(hit, lambda x: x.isNotNull())).groupBy(*key).agg(
         F.count("*").alias("length"), *[F.count_if(F.array_contains("hits", t)).alias(f"f{i}") for i, t in enumerate(asked)]
     )
+    per = cut(per)  # one small row a document, for the statistics and for the ranking
     total = documents.select(*key).distinct().count()
     stats = per.agg(F.sum("length").alias("all"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(asked))]).first()
     mean = (stats["all"] or 0) / max(1, total)
