@@ -4,8 +4,9 @@ Texts are rewritten in rounds: runs of a symbol become one symbol, then pairs wh
 symbols fall on the two sides of a partition become one. A new symbol's name is a hash of
 what it replaces, so equal stretches get equal names everywhere without a common
 dictionary, up to their margins. Rounds only touch symbols that are short
-enough for them, which bounds the symbols' lengths and the margins. Where two texts have
-a top-level symbol with equal surroundings in common, they are compared; every span of at
+enough for them, which bounds the symbols' lengths and the margins. A symbol that has grown to ``least`` characters
+and stands in two texts is a span they share, told by its name and a second hash of its characters. Where two texts have
+only a shorter symbol with equal surroundings in common, they are compared; every span of at
 least ``least`` characters that two texts share has such a symbol in its middle.
 """
 
@@ -23,6 +24,10 @@ from pagemill.session import cut
 LEAST = 240
 #: longest symbols that a round still rewrites; a symbol ends up with at most twice the last
 ROUNDS = (1, 1, 2, 2, 4, 4, 8, 8, 16, 16, 32, 32)
+#: and the rounds after these, by which symbols grow that are long enough to be spans themselves
+LONG_ROUNDS = (64, 64, 128, 128, 256, 256, 512, 512)
+#: so many pages are picked from the table by a broadcast list of their numbers, 8 bytes each; more are joined by shuffles alone
+FEW_PAGES = 1_000_000
 #: records of a key that one task pairs with one another; larger groups are paired block by block
 BLOCK = 200
 
@@ -74,8 +79,8 @@ def _pairs(sym: np.ndarray, start: np.ndarray, first: np.ndarray, size: np.ndarr
     return name[keep], start[keep], first[keep], long[keep]
 
 
-def recompress(texts: list[str], rounds: tuple[int, ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Top-level symbols of several texts laid end to end: (name, start, text number, code points of all)."""
+def recompress(texts: list[str], rounds: tuple[int, ...] = ROUNDS) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """Several texts laid end to end: the state (names, starts, whether a text begins, sizes) of their top-level symbols, the ends of the texts, and the code points of all."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     ends = np.cumsum(lengths)
@@ -83,10 +88,29 @@ def recompress(texts: list[str], rounds: tuple[int, ...] = ROUNDS) -> tuple[np.n
     first[(ends - lengths)[lengths > 0]] = True
     sym = _mix(codes.astype(np.uint64) + _M3)
     state = (sym, np.arange(len(codes)), first, np.ones(len(codes), np.int64))
-    for n, most in enumerate(rounds):
+    return _further(state, rounds), ends, codes
+
+
+def _further(state: tuple, rounds: tuple[int, ...], number: int = 0) -> tuple:
+    for n, most in enumerate(rounds, number + 1):
         with np.errstate(over="ignore"):
-            state = _pairs(*_runs(*state, most), most, n + 1)
-    return state[0], state[1], np.searchsorted(ends, state[1], side="right"), codes
+            state = _pairs(*_runs(*state, most), most, n)
+    return state
+
+
+def _sums(codes: np.ndarray) -> tuple[np.ndarray, int]:
+    """Prefix sums of code * odd^place, and the inverse of the greatest power."""
+    power = np.ones(len(codes), np.uint64)
+    power[1:] = np.cumprod(np.full(len(codes) - 1, _ODD))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(codes.astype(np.uint64) + _M3) * power)])
+    return sums, power
+
+
+def _hash(sums: np.ndarray, power: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of stretches, comparable between batches."""
+    got = (sums[stop] - sums[start]) * power[len(power) - 1 - start]
+    # the power left over depends on the batch's size alone; dividing it out makes hashes comparable between batches
+    return got * np.uint64(pow(int(_ODD), -(len(power) - 1), 2**64))
 
 
 def fingerprints(texts: list[str], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -96,29 +120,64 @@ def fingerprints(texts: list[str], least: int = LEAST) -> tuple[np.ndarray, np.n
     twelfths after. A shared span has a symbol that starts where both lie within the span, since no
     symbol is longer than the third of ``least`` that is left.
     """
-    before, after = least // 4, least * 5 // 12
     with np.errstate(over="ignore"):
-        return _fingerprints(texts, before, after)
+        return _fingerprints(*recompress(texts), least)
+
+
+def _owners(start: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.searchsorted(ends, start, side="right")
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    return tuple(np.unique(np.stack(columns), axis=1)) if len(columns[0]) else columns
 
 
-def _fingerprints(texts: list[str], before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
-    name, start, owner, codes = recompress(texts)
+def _fingerprints(state: tuple, ends: np.ndarray, codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    before, after = least // 4, least * 5 // 12
+    name, start = state[:2]
     if not len(name):
         return np.array([], np.int64), np.array([], np.int64)
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    ends = np.cumsum(lengths)
-    ok = (start - before >= (ends - lengths)[owner]) & (start + after <= ends[owner])
+    owner = _owners(start, ends)
+    begins = np.concatenate([[0], ends])[owner]
+    ok = (start - before >= begins) & (start + after <= ends[owner])
     name, start, owner = name[ok], start[ok], owner[ok]
-    # hashes of windows from prefix sums of code * odd^place, brought to one power
-    power = np.ones(len(codes), np.uint64)
-    power[1:] = np.cumprod(np.full(len(codes) - 1, _ODD))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(codes.astype(np.uint64) + _M3) * power)])
-    window = (sums[start + after] - sums[start - before]) * power[len(codes) - 1 - (start - before)]
-    # the power left over depends on the batch's size alone; dividing it out makes keys comparable between batches
-    window *= np.uint64(pow(int(_ODD), -(len(codes) - 1), 2**64))
-    key = _mix(window ^ (name * _M1)).view(np.int64)
-    got = np.unique(np.stack([owner, key]), axis=1) if len(key) else np.zeros((2, 0), np.int64)
-    return got[0], got[1]
+    key = _mix(_hash(*_sums(codes), start - before, start + after) ^ (name * _M1)).view(np.int64)
+    return _distinct(owner, key)
+
+
+def long_symbols(texts: list[str], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, name, second hash) of the symbols that reach ``least`` characters, each when it first does, distinct.
+
+    A text that holds both holds the symbol's characters: equal names and equal hashes of two kinds stand for equal stretches.
+    """
+    with np.errstate(over="ignore"):
+        return _long_symbols(*recompress(texts), least)
+
+
+def _long_symbols(state: tuple, ends: np.ndarray, codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(codes):
+        return np.array([], np.int64), np.array([], np.int64), np.array([], np.int64)
+    sums, power = _sums(codes)
+    found: list[tuple] = []
+    for n, most in enumerate((0, *LONG_ROUNDS)):
+        short = state[3] < least
+        if most:
+            state = _further(state, (most,), len(ROUNDS) + n)
+        grown = state[3] >= least
+        # what has stood since an earlier round is known already
+        if most and grown.any():
+            old = np.isin(state[1], before[0]) & (state[3] == before[1][np.minimum(np.searchsorted(before[0], state[1]), len(before[0]) - 1)]) if len(before[0]) else np.zeros(len(grown), bool)
+            grown &= ~old
+        if grown.any():
+            name, start, size = state[0][grown], state[1][grown], state[3][grown]
+            found.append((_owners(start, ends), name.view(np.int64), _mix(_hash(sums, power, start, start + size) + size.astype(np.uint64)).view(np.int64)))
+        kept = state[3] >= least
+        before = state[1][kept], state[3][kept]
+        if not short.any():
+            break
+    if not found:
+        return np.array([], np.int64), np.array([], np.int64), np.array([], np.int64)
+    return _distinct(*[np.concatenate(c) for c in zip(*found)])
 
 
 def windows(text: str, least: int = LEAST) -> np.ndarray:
@@ -211,30 +270,37 @@ class _Hashed:
 
 
 def _postings(pages: DataFrame, least: int) -> DataFrame:
-    schema = pa.schema([("key", pa.int64()), ("page", pa.string())])
+    """(key, check, page): keys of short symbols, with a null check, and long symbols."""
+    schema = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("page", pa.string())])
+
+    def rows(ids: list[str], texts: list[str]) -> pa.RecordBatch:
+        with np.errstate(over="ignore"):
+            state, ends, codes = recompress(texts)
+            owner, key = _fingerprints(state, ends, codes, least)
+            who, name, check = _long_symbols(state, ends, codes, least)
+        names = pa.array(ids, pa.string()).take(pa.array(np.concatenate([owner, who])))
+        checks = pa.array(np.concatenate([np.zeros(len(key), np.int64), check]), mask=np.concatenate([np.ones(len(key), bool), np.zeros(len(check), bool)]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, name])), checks, names], schema=schema)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            group: list[int] = []
+            group: tuple[list[str], list[str]] = ([], [])
             size = 0
-            for k in range(len(texts) + 1):
-                if k == len(texts) or size > 400_000:
-                    if group:
-                        owner, key = fingerprints([texts[g] for g in group], least)
-                        if len(key):
-                            names = pa.array([ids[g] for g in group], pa.string())
-                            yield pa.RecordBatch.from_arrays([pa.array(key), names.take(pa.array(owner))], schema=schema)
-                    group, size = [], 0
-                if k < len(texts):
-                    group.append(k)
-                    size += len(texts[k])
+            for identity, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                group[0].append(identity)
+                group[1].append(text)
+                size += len(text)
+                if size > 400_000:
+                    yield rows(*group)
+                    group, size = ([], []), 0
+            if group[0]:
+                yield rows(*group)
 
-    return pages.mapInArrow(named, "key bigint, page string")
+    return pages.mapInArrow(named, "key bigint, check bigint, page string")
 
 
 def candidate_pairs(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Distinct (a, b), a < b, of the pages (identity, source) that have a key in common.
+    """Distinct (a, b, sure), a < b, of the pages (identity, source) that have a key or a long symbol in common; ``sure`` where it is a long symbol.
 
     Groups above BLOCK are paired in blocks of bounded size spread over the cluster, so that no
     large group is paired in one task; no pair is left out.
@@ -242,14 +308,14 @@ def candidate_pairs(pages: DataFrame, least: int = LEAST) -> DataFrame:
     # A key stands once for each page, which has many keys: even one that all pages hold is a small share of the
     # rows, so that rows can be placed by key. Counting and grouping share that one exchange; what a task makes
     # of a large group is its cells, each of two blocks, and these are spread before they are paired.
-    postings = _postings(pages, least).select("key", _number("page").alias("page")).repartition("key")
-    shared = postings.withColumn("n", F.expr("count(*) over (partition by key)")).where("n > 1")
+    postings = _postings(pages, least).select("key", "check", _number("page").alias("page")).repartition("key")
+    shared = postings.withColumn("n", F.expr("count(*) over (partition by key, check)")).where("n > 1")
     blocks = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.hash("page"), "blocks"))
     placed = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = placed.groupBy("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.array_sort(F.collect_set("page")).alias("pages"))
-    groups = cells.select("pages").where("size(pages) > 1").distinct()
-    pairs = groups.select("pages", F.posexplode("pages").alias("at", "a")).select("a", F.explode(F.expr("slice(pages, at + 2, size(pages))")).alias("b"))
-    return pairs.distinct()
+    cells = placed.groupBy("key", "check", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    groups = cells.where("size(pages) > 1").groupBy("pages").agg(F.max(F.col("check").isNotNull()).alias("sure"))
+    pairs = groups.select("pages", "sure", F.posexplode("pages").alias("at", "a")).select("a", F.explode(F.expr("slice(pages, at + 2, size(pages))")).alias("b"), "sure")
+    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def _number(identity: str) -> F.Column:
@@ -258,15 +324,19 @@ def _number(identity: str) -> F.Column:
 
 
 def script_pages(definitions: DataFrame, least: int = LEAST) -> DataFrame:
-    """Distinct (identity, source) of the whole-file pages that are long enough to hold a span."""
-    return definitions.where(f"kind = 'script' and identity is not null and length(source) >= {least}").select("identity", "source").dropDuplicates(["identity"])
+    """(identity, source) of the whole-file pages that are long enough to hold a span; repeated rows stand, and fall where pairs are made distinct."""
+    return definitions.where(f"kind = 'script' and identity is not null and length(source) >= {least}").select("identity", "source")
 
 
 def _with_texts(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    keyed = pages.select(_number("identity").alias("page"), "identity", "source")
+    """Pairs, which are kept in the checkpoint folder, with the identities and texts of their pages."""
+    asked = pairs.select(F.col("a").alias("page")).unionByName(pairs.select(F.col("b").alias("page"))).distinct()
+    if asked.count() <= FEW_PAGES:
+        asked = F.broadcast(asked)
+    keyed = pages.select(_number("identity").alias("page"), "identity", "source").join(asked, "page", "left_semi")
     left = keyed.select(F.col("page").alias("a"), F.col("identity").alias("one"), F.col("source").alias("text_one"))
     right = keyed.select(F.col("page").alias("b"), F.col("identity").alias("two"), F.col("source").alias("text_two"))
-    return pairs.join(left, "a").join(right, "b").select("one", "two", "text_one", "text_two")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("one", "two", "text_one", "text_two")
 
 
 def sharing_pairs(definitions: DataFrame, locations: DataFrame, least: int = LEAST) -> DataFrame:
@@ -281,9 +351,9 @@ def sharing_pairs(definitions: DataFrame, locations: DataFrame, least: int = LEA
         locations.where("symbol is null and repo is not null and path is not null")
         .select(_number("identity").alias("page"), F.xxhash64("repo", "path").alias("place"), "repo", "path").distinct()
     )
-    at_a = pairs.join(places.withColumnRenamed("page", "a"), "a")
+    at_a = pairs.select("a", "b").join(places.withColumnRenamed("page", "a"), "a")
     together = at_a.join(places.withColumnRenamed("page", "b"), ["b", "place", "repo", "path"], "left_semi").select("a", "b").distinct()
-    apart = pairs.join(together, ["a", "b"], "left_anti")
+    apart = cut(pairs.join(together, ["a", "b"], "left_anti"))
     schema = pa.schema([("identity_a", pa.string()), ("identity_b", pa.string())])
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +362,12 @@ def sharing_pairs(definitions: DataFrame, locations: DataFrame, least: int = LEA
             rows = [sorted((x, y)) for x, y, s, t in zip(*(c.to_pylist() for c in b.columns)) if have_run(s, t, hashed(x, s), hashed(y, t), least)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], schema=schema)
 
-    return _with_texts(apart, pages).mapInArrow(checked, "identity_a string, identity_b string").distinct()
+    # a number that two pages have tells neither, and what it is in is compared by texts
+    names = pages.groupBy(_number("identity").alias("page")).agg(F.min("identity").alias("name"), F.max("identity").alias("last")).where("name = last")
+    named = apart.where("sure").join(names.select(F.col("page").alias("a"), F.col("name").alias("one")), "a", "left").join(names.select(F.col("page").alias("b"), F.col("name").alias("two")), "b", "left")
+    told = named.where("one is not null and two is not null").select(F.least("one", "two").alias("identity_a"), F.greatest("one", "two").alias("identity_b"))
+    rest = cut(apart.where("not sure").select("a", "b").unionByName(named.where("one is null or two is null").select("a", "b")))
+    return told.unionByName(_with_texts(rest, pages).mapInArrow(checked, "identity_a string, identity_b string")).distinct()
 
 
 def shared_characters(definitions: DataFrame, least: int = LEAST) -> DataFrame:
@@ -313,7 +388,7 @@ def shared_characters(definitions: DataFrame, least: int = LEAST) -> DataFrame:
                 rows |= {(x, len(s), i, j) for i, j in mine} | {(y, len(t), i, j) for i, j in theirs}
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
-    found = _with_texts(candidate_pairs(pages, least), pages).mapInArrow(spans, "identity string, characters int, start int, stop int").distinct()
+    found = _with_texts(cut(candidate_pairs(pages, least)), pages).mapInArrow(spans, "identity string, characters int, start int, stop int").distinct()
     # what a run adds is what reaches beyond all runs that start before it
     reach = F.expr("max(stop) over (partition by identity order by start, stop rows between unbounded preceding and 1 preceding)")
     added = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("reach", F.lit(0))))

@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import spans
 
@@ -37,6 +38,33 @@ def test_keys_do_not_depend_on_the_batch():
         assert sorted(key[owner == n].tolist()) == sorted(alone.tolist())
 
 
+def test_long_symbols_are_shared_spans():
+    pages = [p for p in corpus(3)] + [corpus(3)[4][:900] + "!", "q" * 3000, "ab" * 900]
+    owner, name, check = spans.long_symbols(pages)
+    assert len(owner) > 10
+    held = {}
+    for o, *symbol in zip(owner.tolist(), name.tolist(), check.tolist()):
+        held.setdefault(tuple(symbol), set()).add(o)
+    groups = [g for g in held.values() if len(g) > 1]
+    assert groups and all(brute(pages[i], pages[j], 240) for g in groups for i in g for j in g if i < j)
+    for n, p in enumerate(pages):  # they do not depend on the batch
+        alone = spans.long_symbols([p])
+        assert sorted(zip(alone[1].tolist(), alone[2].tolist())) == sorted(zip(name[owner == n].tolist(), check[owner == n].tolist()))
+    assert len(spans.long_symbols([])[0]) == 0 == len(spans.long_symbols(["", "x"])[0])
+
+
+def test_pages_of_one_number(spark, monkeypatch):
+    monkeypatch.setattr(spans, "_number", lambda c: F.xxhash64(F.substring(c, 1, 3)))
+    pages = corpus(5)
+    defs = spark.createDataFrame([(f"i{n // 3:02}x{n}", "script", p) for n, p in enumerate(pages)], "identity string, kind string, source string")
+    locs = spark.createDataFrame([], "identity string, repo string, path string, symbol string")
+    got = {(r.identity_a, r.identity_b) for r in spans.sharing_pairs(defs, locs).collect()}
+    every = [(f"i{n // 3:02}x{n}", p) for n, p in enumerate(pages)]
+    # pages of one number can't be told apart by it, so pairs among them are not looked for; no others are lost or made up
+    want = {tuple(sorted((x, y))) for x, p in every for y, q in every if x < y and x[:3] != y[:3] and brute(p, q, 240)}
+    assert got == want
+
+
 def covered(a, b, least):
     grams = {b[i : i + least] for i in range(len(b) - least + 1)}
     return {k for i in range(len(a) - least + 1) if a[i : i + least] in grams for k in range(i, i + least)}
