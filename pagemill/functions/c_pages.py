@@ -57,6 +57,20 @@ def c_shape(text: str) -> str:
     return " ".join(words)
 
 
+_CATEGORY = {"id": "identifier", "num": "number", "str": "string", "op": "punctuation", "directive": "directive"}
+
+
+def c_tokens(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(row from 1, position from 0, category, token) of a text's tokens, comments left out."""
+    row, upto, position = 1, 0, 0
+    for m in _TOKEN.finditer(text):
+        if m.lastgroup in ("comment", "space"):
+            continue
+        row, upto = row + text.count("\n", upto, m.start()), m.start()
+        yield row, position, "keyword" if m.lastgroup == "id" and m[0] in KEYWORDS else _CATEGORY[m.lastgroup], m[0].strip()
+        position += 1
+
+
 _TYPES = frozenset("size_t ssize_t ptrdiff_t intptr_t uintptr_t bool int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t".split())
 
 

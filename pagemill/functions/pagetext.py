@@ -124,22 +124,35 @@ def folded(text: str, keep: frozenset[str] = frozenset()) -> tuple[str, list[tup
 
 
 def block_status(lines: list[str], k: LinkLine, identity: str | None) -> str:
-    """How a link's block compares with the page it names: unresolvable, unexpanded, mismatch, drift or ok.
+    """How a link's block compares with the page it names (``identity``, null where it cannot be found), the first that applies.
 
-    A stamp that is not the page's identity is a mismatch; a block that is not the stamp's text has drifted.
+    unexpanded: an is-link without a stamp; drift: its block is not the stamp's text; unresolvable: the page cannot be
+    found; mismatch: an is-link's page is not the stamp's; ok. Only is-links are held against their stamps.
     """
     stamp = k.fields.get("id", "").removeprefix("sha256:").lower()
-    if k.relation == "see":
-        return "ok"
-    if not stamp:
-        return "unexpanded" if k.relation == "is" else "ok"
+    if k.relation == "is":
+        if not stamp:
+            return "unexpanded"
+        if k.stop <= k.start or not digest("\n".join(lines[k.start : k.stop])).startswith(stamp):
+            return "drift"
     if identity is None:
         return "unresolvable"
-    if not identity.startswith(stamp):
-        return "mismatch"
-    if k.relation == "is" and not digest("\n".join(lines[k.start : k.stop])).startswith(stamp):
-        return "drift"
-    return "ok"
+    return "mismatch" if k.relation == "is" and not identity.startswith(stamp) else "ok"
+
+
+def fixed(lines: list[str], found: dict[str, str]) -> tuple[list[str], list[tuple[int, str, str]]]:
+    """The lines with drifted is-links turned into from-links, and (line from 1, address, status) of every link; ``found`` maps addresses to identities.
+
+    The address and the stamp stay, the code beneath is its owner's from then on; such links are reported as 'fixed'.
+    """
+    out, told = list(lines), []
+    for k in link_lines(lines):
+        status = block_status(lines, k, found.get(k.address))
+        if status == "drift":
+            out[k.row] = re.sub(r"^(\s*(?:#|//|--|;+|/\*)[ \t]*[a-z]+):", r"\1-from:", out[k.row], count=1)
+            status = "fixed"
+        told.append((k.row + 1, k.address, status))
+    return out, told
 
 
 def stamped(address: str, identity: str, description: str | None = None, opener: str = "#", marker: str = "link", derived: bool = False) -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.c_pages import c_pages, c_shape
+from pagemill.functions.c_pages import c_pages, c_shape, c_tokens
 from pagemill.functions.links import address
 from pagemill.functions.pagetext import LinkLine, own_text, read_link
 from pagemill.functions.python_pages import module_exports, python_pages, python_shape
@@ -309,3 +309,17 @@ def _link_table(real: DataFrame, refs: DataFrame) -> DataFrame:
 def new_revisions(revisions: DataFrame, crawled: DataFrame) -> DataFrame:
     """Revisions that are not crawled yet."""
     return revisions.join(crawled.select("repo", "sha").distinct(), ["repo", "sha"], "left_anti")
+
+
+_TOKENS = pa.schema([("file", pa.string()), ("row", pa.int32()), ("position", pa.int32()), ("category", pa.string()), ("token", pa.string())])
+
+
+def tokens(files: DataFrame) -> DataFrame:
+    """(file, row, position, category, token) of C texts (file, text): identifier, keyword, number, string, directive or punctuation, without comments. Rows count from 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(file, *t) for file, text in zip(*(c.to_pylist() for c in b.columns)) if text for t in c_tokens(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TOKENS.types)] if rows else [pa.array([], t) for t in _TOKENS.types], schema=_TOKENS)
+
+    return files.select("file", "text").mapInArrow(run, "file string, row int, position int, category string, token string")

@@ -275,13 +275,14 @@ def names_now(names: DataFrame) -> DataFrame:
 
 
 def name_checks(names: DataFrame, locations: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Per registry entry: whether name and owner are well formed, the target is crawled, the default label exists, and labels are commits."""
+    """Per registry entry: whether its name is well formed, its owner is the target's account, the target is crawled, the default label exists, labels are well formed, and all of them are commits."""
     parts = F.split("target", "/", 4)
     e = names.select("name", "registry", "target", "owner", "default_label", "versions").dropDuplicates(["name", "registry"]).withColumn("repo", F.array_join(F.slice(parts, 1, 3), "/")).withColumn("path", F.when(F.size(parts) == 4, F.element_at(parts, 4)))
     held = current_places(locations, revisions).select("repo", "path").distinct().withColumn("held", F.lit(True))
     ok_label = F.col("default_label").isNull() | F.array_contains(F.map_keys("versions"), F.col("default_label"))
     return e.join(held, ["repo", "path"], "left").select(
-        "name", "registry", F.col("name").rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*(?:\.[a-z0-9]+(?:-[a-z0-9]+)*)*$").alias("name_ok"), F.coalesce("held", F.lit(False)).alias("target_ok"), ok_label.alias("label_ok"),
+        "name", "registry", F.col("name").rlike(r"^[a-z0-9]+(?:-[a-z0-9]+)*(?:\.[a-z0-9]+(?:-[a-z0-9]+)*)*$").alias("name_ok"), F.col("owner").eqNullSafe(F.element_at(F.split("repo", "/"), 2)).alias("owner_ok"),
+        F.coalesce("held", F.lit(False)).alias("target_ok"), ok_label.alias("label_ok"), F.forall(F.map_keys("versions"), lambda k: k.rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$")).alias("labels_ok"),
         F.forall(F.map_values("versions"), lambda v: v.rlike("^[0-9a-fA-F]{12,40}$")).alias("pinned"),
     )
 
@@ -320,3 +321,14 @@ def latest_places(locations: DataFrame, revisions: DataFrame) -> DataFrame:
     state = F.when(F.col("same"), "same").when(F.col("to").isNotNull(), "moved").when(F.col("held"), "changed").otherwise("gone")
     to = F.when(state == "moved", F.concat(F.col("to.p"), F.when(F.col("to.s") != "", F.concat(F.lit("#"), F.col("to.s"))).otherwise("")))
     return f.select("repo", "path", "symbol", state.alias("state"), to.alias("moved_to"))
+
+
+def hits_with_places(hits: DataFrame, definitions: DataFrame, locations: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(identity, kind, name, places, current) of distinct hits (column ``identity``) that have a definition: their current places, or all of them where there are none now, as addresses joined by blanks."""
+    h = hits.select("identity").where("identity is not null").distinct().join(definitions_once(definitions).select("identity", "kind", F.col("name").alias("page_name")), "identity")
+    at = places(locations).select("identity", "repo", "sha", "path", "symbol").distinct().join(latest_revision(revisions).withColumn("now", F.lit(True)), ["repo", "sha"], "left")
+    spots = h.join(at, "identity", "left").groupBy("identity", "kind", "page_name").agg(
+        F.array_sort(F.collect_set(F.when(F.col("now"), locator()))).alias("here"), F.array_sort(F.collect_set(locator())).alias("ever")
+    )
+    now = F.size("here") > 0
+    return spots.select("identity", "kind", F.col("page_name").alias("name"), F.array_join(F.when(now, F.col("here")).otherwise(F.col("ever")), " ").alias("places"), now.alias("current"))

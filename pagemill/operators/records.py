@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.sources.records import content_of
+
 
 def summary(runs: DataFrame) -> DataFrame:
     """Per family and task, per family, and in all (rollup, pooled values): runs, pass rate and exact median tokens of each arm.
@@ -88,3 +90,47 @@ def link_grades(links: DataFrame, wanted: DataFrame) -> DataFrame:
     asked = wanted.select("run", "relation", "target_address").distinct().withColumn("n", F.monotonically_increasing_id()).alias("w")
     met = asked.join(given, F.expr("w.run = g.run and w.target_address = g.target_address and (w.relation is null or w.relation = g.relation)"), "left_semi").select("n").withColumn("met", F.lit(True))
     return asked.join(met, "n", "left").groupBy("run").agg(F.every(F.coalesce("met", F.lit(False))).alias("passed"))
+
+
+_SPENT = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+
+
+def total_tokens(usage: F.Column) -> F.Column:
+    """All tokens of a usage object: absent counts are 0, an absent object is null."""
+    total = F.lit(0).cast("bigint")
+    for name in _SPENT:
+        total = total + F.coalesce(usage[name], F.lit(0))
+    return F.when(usage.isNotNull(), total)
+
+
+def stream_calls(parsed: DataFrame) -> DataFrame:
+    """(run, seq, id, name, denied, error, result_chars) of every tool call of parsed streams, joined with its result and denial by its id."""
+    blocks = parsed.select("run", "seq", "e", F.explode(content_of(F.col("e.message.content"))).alias("b"))
+    calls = blocks.where("e.type = 'assistant' and b.type = 'tool_use'").select("run", "seq", "b.id", "b.name")
+    # a result's content is a text, or a list of blocks with texts
+    parts = F.from_json("b.content", "array<struct<text:string>>")
+    said = F.when(F.startswith("b.content", F.lit("[")) & parts.isNotNull(), F.array_join(F.transform(parts, lambda x: x["text"]), "")).otherwise(F.col("b.content"))
+    results = blocks.where("e.type = 'user' and b.type = 'tool_result'").groupBy("run", F.col("b.tool_use_id").alias("id")).agg(
+        F.max_by(F.struct(F.coalesce(F.length(said), F.lit(0)).alias("chars"), F.coalesce("b.is_error", F.lit(False)).alias("error")), "seq").alias("r")
+    )
+    denied = parsed.where("e.type = 'system' and e.subtype = 'permission_denied'").select("run", F.col("e.tool_use_id").alias("id")).distinct().withColumn("denied", F.lit(True))
+    got = calls.join(results, ["run", "id"], "left").join(denied, ["run", "id"], "left")
+    return got.select("run", "seq", "id", "name", F.coalesce("denied", F.lit(False)).alias("denied"), F.coalesce("r.error", F.lit(False)).alias("error"), F.coalesce("r.chars", F.lit(0)).alias("result_chars"))
+
+
+def stream_summary(parsed: DataFrame) -> DataFrame:
+    """(run, requests, input_tokens, tokens, num_turns, rate_limit, calls) of each run.
+
+    The input side is summed once for each message id of the run itself (the first line of a message counts); ``tokens`` are those of its
+    result line, null without one, which is authoritative; ``rate_limit`` is the last one told; ``calls`` counts tool calls by name.
+    """
+    own = parsed.where("e.type = 'assistant' and e.parent_tool_use_id is null and e.message.usage is not null")
+    once = own.groupBy("run", F.col("e.message.id").alias("id")).agg(F.min_by("e.message.usage", "seq").alias("u"))
+    spent = F.coalesce("u.input_tokens", F.lit(0)) + F.coalesce("u.cache_read_input_tokens", F.lit(0)) + F.coalesce("u.cache_creation_input_tokens", F.lit(0))
+    asked = once.groupBy("run").agg(F.count("*").alias("requests"), F.sum(spent).alias("input_tokens"))
+    ends = parsed.groupBy("run").agg(
+        F.max_by("e", F.when(F.col("e.type") == "result", F.col("seq"))).alias("last"), F.max_by("e.rate_limit_info", F.when(F.col("e.type") == "rate_limit_event", F.col("seq"))).alias("rate_limit")
+    )
+    calls = stream_calls(parsed).groupBy("run", "name").agg(F.count("*").alias("n")).groupBy("run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("calls"))
+    out = ends.join(asked, "run", "left").join(calls, "run", "left")
+    return out.select("run", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), total_tokens(F.col("last.usage")).alias("tokens"), F.col("last.num_turns").alias("num_turns"), "rate_limit", "calls")

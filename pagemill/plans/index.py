@@ -279,6 +279,11 @@ def locations_in_order(spark: SparkSession, d: str) -> DataFrame:
     return lookup.locations_in_order(table(spark, d, "locations"), table(spark, d, "revisions"))
 
 
+def hits_with_places(spark: SparkSession, d: str) -> DataFrame:
+    """The pages most linked to, with their places."""
+    return pages.hits_with_places(rank(spark, d), table(spark, d, "definitions"), table(spark, d, "locations"), table(spark, d, "revisions"))
+
+
 def links_in_order(spark: SparkSession, d: str) -> DataFrame:
     return lookup.links_in_order(table(spark, d, "links"))
 
@@ -314,6 +319,12 @@ def extracted_pages(spark: SparkSession, d: str) -> DataFrame:
     return got.join(held, ["identity", "repo", "sha", "path"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
 
 
+def extracted_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions, classes and methods found in the Python files, with identity and span."""
+    got = extraction.extract(_tree(spark, d).where("path like '%.py'")).where("language = 'python' and kind in ('function', 'class')")
+    return got.select("repo", "sha", "path", "symbol", "identity", "span_first", "span_last").distinct()
+
+
 def _trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Whole files with their texts, and all paths of each tree."""
     return _tree(spark, d), table(spark, d, "locations", "repo", "sha", "path").distinct()
@@ -383,8 +394,8 @@ QUERIES = {
     for f in (
         counts, status, current_revision, normalize_identity, spdx_license, parse_address, find_links, dups_identity, dups_shape, locations_of, history, resolve_targets, rank_by_relation, rank, who, who_counts,
         coverage, coverage_totals, directories, unresolved_matching, forward, link_owners, link_rows, merged_definitions, repo_pages, page_links, names_now, name_checks, innermost, symbol_files, latest_places,
-        closure_reach, closure_sizes, closure_budget, closure_order, closure_free_names, closure_nodes, closure_clashes, closure_requirements, search_bm25, line_duplication, benchmark_summary, benchmark_statuses, answer_difference, answer_verdicts, benchmark_ratios, resolve_addresses, preferred_locations, page_objects, definition_pages, who_by_address, locations_in_order, links_in_order, greatest_dups, top_level_symbols, unregistered,
-        extracted_pages, extracted_references, forwarded_references, unmapped_modules, file_imports, skipped_notes,
+        closure_reach, closure_sizes, closure_budget, closure_order, closure_free_names, closure_nodes, closure_clashes, closure_requirements, search_bm25, line_duplication, benchmark_summary, benchmark_statuses, answer_difference, answer_verdicts, benchmark_ratios, resolve_addresses, preferred_locations, page_objects, definition_pages, who_by_address, locations_in_order, hits_with_places, links_in_order, greatest_dups, top_level_symbols, unregistered,
+        extracted_pages, extracted_definitions, extracted_references, forwarded_references, unmapped_modules, file_imports, skipped_notes,
     )
 }
 
@@ -438,8 +449,9 @@ SQL = {
     "page_links": """WITH k AS (SELECT source_identity, repo, sha, file, line, relation, target_address FROM links WHERE source_identity IS NOT NULL GROUP BY ALL)
         SELECT source_identity, repo, sha, count(*) FILTER (relation <> 'ref') links, count(*) FILTER (relation = 'ref') refs, coalesce(string_agg(DISTINCT target_address, ' ' ORDER BY target_address) FILTER (relation <> 'ref'), '') targets FROM k GROUP BY ALL""",
     "names_now": "SELECT name, min(registry) registry, arg_min(target, registry) target, count(DISTINCT registry) registries FROM registry_names GROUP BY name",
-    "name_checks": f"""WITH {_CURRENT}, e AS (SELECT DISTINCT name, registry, target, default_label, versions FROM registry_names), h AS (SELECT DISTINCT repo || '/' || path place FROM cur)
-        SELECT name, registry, regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*(\\.[a-z0-9]+(-[a-z0-9]+)*)*') name_ok, target IN (SELECT place FROM h) target_ok, default_label IS NULL OR list_contains(map_keys(versions), default_label) label_ok,
+    "name_checks": f"""WITH {_CURRENT}, e AS (SELECT DISTINCT name, registry, target, "owner", default_label, versions FROM registry_names), h AS (SELECT DISTINCT repo || '/' || path place FROM cur)
+        SELECT name, registry, regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*(\\.[a-z0-9]+(-[a-z0-9]+)*)*') name_ok, "owner" IS NOT DISTINCT FROM nullif(split_part(target, '/', 2), '') owner_ok, target IN (SELECT place FROM h) target_ok, default_label IS NULL OR list_contains(map_keys(versions), default_label) label_ok,
+        coalesce(list_bool_and([regexp_full_match(v, '[a-z0-9]+(-[a-z0-9]+)*') FOR v IN map_keys(versions)]), true) labels_ok,
         coalesce(list_bool_and([regexp_full_match(v, '[0-9a-fA-F]{{12,40}}') FOR v IN map_values(versions)]), true) pinned FROM e""",
     "innermost": f"""WITH {_CURRENT}, p AS (SELECT DISTINCT repo, path, symbol FROM cur)
         SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.repo = a.repo AND b.path = a.path AND b.symbol IS NOT NULL AND (a.symbol IS NULL OR starts_with(b.symbol, a.symbol || '.')))""",
@@ -490,6 +502,11 @@ _ORDERED = "SELECT DISTINCT identity, l.repo, l.sha, path, symbol, committed_at,
 _LINK_ROWS = "rows_ AS (SELECT source_identity, repo, sha, file, line, relation, target_address, min(link_seq) link_seq FROM links GROUP BY ALL)"
 SQL |= {
     "locations_in_order": f"""WITH {_CRAWLS}, o AS ({_ORDERED}) SELECT identity, repo, sha, path, symbol, CAST(row_number() OVER (PARTITION BY identity ORDER BY committed_at NULLS FIRST, crawl_seq, repo, path, symbol NULLS FIRST) AS INTEGER) "at" FROM o""",
+    "hits_with_places": f"""WITH {_CURRENT}, t AS ({SQL["rank"]}), d AS (SELECT identity, any_value(kind) kind, any_value("name") "name" FROM definitions GROUP BY identity),
+        a AS (SELECT DISTINCT l.identity, l.repo || '@' || substr(l.sha, 1, 12) || '/' || path || coalesce('#' || symbol, '') a, latest.sha IS NOT NULL now_ FROM locations l LEFT JOIN latest ON latest.repo = l.repo AND latest.sha = l.sha)
+        SELECT identity, kind, "name", coalesce(string_agg(a, ' ' ORDER BY a) FILTER (now_), string_agg(a, ' ' ORDER BY a), '') places, coalesce(bool_or(now_), false) "current" FROM t JOIN d USING (identity) LEFT JOIN a USING (identity) GROUP BY ALL""",
+    "extracted_definitions": """WITH f AS (SELECT DISTINCT repo, sha, path FROM locations JOIN definitions USING (identity) WHERE symbol IS NULL AND kind = 'script' AND path LIKE '%.py'), d AS (SELECT identity, any_value(kind) kind FROM definitions GROUP BY identity)
+        SELECT DISTINCT repo, sha, path, symbol, identity, span_first, span_last FROM locations JOIN f USING (repo, sha, path) LEFT JOIN d USING (identity) WHERE symbol IS NOT NULL AND coalesce(kind, 'function') <> 'constant'""",
     "links_in_order": f"""WITH {_LINK_ROWS} SELECT source_identity, repo, sha, link_seq, CAST(row_number() OVER (PARTITION BY source_identity, repo, sha ORDER BY line, link_seq) AS INTEGER) "at" FROM rows_""",
     "greatest_dups": f"""SELECT * FROM ({SQL["dups_identity"]}) ORDER BY places DESC, lines DESC NULLS LAST, "names", "key" LIMIT 50""",
     "top_level_symbols": f"""WITH {_CURRENT}, t AS (SELECT DISTINCT repo, path, symbol, span_first FROM cur WHERE symbol IS NOT NULL AND NOT contains(symbol, '.')) SELECT repo, path, string_agg(symbol, ',' ORDER BY span_first, symbol) symbols FROM t GROUP BY ALL""",

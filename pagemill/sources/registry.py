@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import subprocess
 import tomllib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ NAMES = "name string, registry string, target string, description string, owner
 
 
 def read_names(spark: SparkSession, folder: str, registry: str) -> DataFrame:
-    """Entries of ``names/*.toml`` files; files that are no TOML, or have no target, give no row."""
+    """Entries of ``names/*.toml`` files; files that are no TOML, or have no target, give no row, and neither does a folder that is not there."""
     schema = pa.schema([("name", pa.string()), ("registry", pa.string()), ("target", pa.string()), ("description", pa.string()), ("owner", pa.string()), ("default_label", pa.string()), ("versions", pa.map_(pa.string(), pa.string()))])
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,7 +31,25 @@ def read_names(spark: SparkSession, folder: str, registry: str) -> DataFrame:
                     rows.append({"name": e.get("name"), "registry": registry, "target": e["target"], "description": e.get("description"), "owner": e.get("owner"), "default_label": e.get("default"), "versions": labels})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.text(f"{folder}/*.toml", wholetext=True).mapInArrow(parsed, NAMES)
+    try:
+        texts = spark.read.text(f"{folder}/*.toml", wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], NAMES)  # every lookup is a miss
+    return texts.mapInArrow(parsed, NAMES)
+
+
+def declared(folder: str, rev: str, file: str) -> tuple[str, list[str]]:
+    """(commit, names) that a repository claims for itself in a TOML file (``name`` or ``names``) at a revision; no names where the file is missing or no TOML."""
+    sha = subprocess.run(["git", "-C", folder, "rev-parse", "--verify", f"{rev}^{{commit}}"], check=True, capture_output=True, text=True).stdout.strip()
+    got = subprocess.run(["git", "-C", folder, "show", f"{sha}:{file}"], capture_output=True)
+    try:
+        said = tomllib.loads(got.stdout.decode()) if got.returncode == 0 else {}
+    except (tomllib.TOMLDecodeError, UnicodeDecodeError):
+        said = {}
+    names = said.get("names", [said["name"]] if "name" in said else [])
+    return sha, [n for n in names if isinstance(n, str)] if isinstance(names, list) else []
 
 
 def first_registry(names: DataFrame, order: list[str]) -> DataFrame:

@@ -208,3 +208,76 @@ def test_lookup(spark):
     want = spark.createDataFrame([(1, a, "h/o/r", "p.py", None, None), (2, a, None, None, None, None)], "ask int, identity string, at_repo string, at_path string, at_symbol string, at_rev string")
     assert {r.ask for r in lookup.preferred_location(want, at, revs).collect()} == {1, 2}
     assert lookup.unregistered(spark.createDataFrame([("x",), ("y",)], "locator string"), spark.createDataFrame([("x",)], "locator string")).first().locator == "y"
+
+
+def test_streams(spark, tmp_path):
+    import gzip
+    import json
+
+    from pagemill.sources.records import parsed_stream, read_stream
+
+    use = {"input_tokens": 5, "cache_read_input_tokens": 7, "output_tokens": 1}
+    said = lambda **k: json.dumps(k)
+    lines = [
+        said(type="system", subtype="init"), "not json", "",
+        said(type="assistant", message={"id": "m1", "usage": use, "content": [{"type": "tool_use", "id": "t1", "name": "Read", "input": {"a": 1}}]}),
+        said(type="assistant", message={"id": "m1", "usage": use, "content": [{"type": "tool_use", "id": "t2", "name": "Read", "input": {}}, {"type": "text", "text": "x"}]}),
+        said(type="assistant", parent_tool_use_id="t1", message={"id": "m9", "usage": use, "content": "inner"}),
+        said(type="user", message={"content": [{"type": "tool_result", "tool_use_id": "t1", "content": [{"type": "text", "text": "abc"}, {"type": "text", "text": "de"}], "is_error": True}]}),
+        said(type="user", message={"content": [{"type": "tool_result", "tool_use_id": "t2", "content": "four"}]}),
+        said(type="system", subtype="permission_denied", tool_use_id="t2"), said(type="rate_limit_event", rate_limit_info={"n": 1}), said(type="rate_limit_event", rate_limit_info={"n": 2}),
+        said(type="result", usage={"input_tokens": 100, "output_tokens": 20}, num_turns=3),
+    ]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    with gzip.open(tmp_path / "b.jsonl.gz", "wt") as f:
+        f.write("\n".join(lines[:4]))
+    p = parsed_stream(read_stream(spark, str(tmp_path)))
+    got = {r.run: r for r in records.stream_summary(p).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.requests, a.input_tokens, a.tokens, a.num_turns, a.calls) == (1, 12, 120, 3, {"Read": 2}) and json.loads(a.rate_limit) == {"n": 2}
+    assert (b.requests, b.tokens, b.calls) == (1, None, {"Read": 1})
+    calls = {r.id: (r.denied, r.error, r.result_chars) for r in records.stream_calls(p).where("run = 'a'").collect()}
+    assert calls == {"t1": (False, True, 5), "t2": (True, False, 4)}
+
+
+def test_live_closures_and_what_became_of_pages(spark):
+    from pagemill.operators import extraction, ingest
+
+    sha = "e" * 40
+    texts = {
+        "m.py": "import os\nfrom n import h\ndef f(): return g() + h()\ndef g(): return 1\ndef lost(): return nowhere_at_all\n", "n.py": "def h(): return os_\nos_ = 1\n",
+        "o.py": "from n import h as g\nfrom m import g as own\ndef two(): return h2() + own()\ndef h2(): return g()\n", "x.py": "from p import q\nfrom r.s import q as q2\ndef both(): return q(), q2()\n", "p.py": "def q(): return 1\n", "r/s.py": "def q(): return 2\n",
+    }
+    files = spark.createDataFrame([("h/o/r", sha, p, t) for p, t in texts.items()], "repo string, sha string, path string, text string")
+    roots = spark.createDataFrame([("h/o/r", sha, p, s) for p, s in (("m.py", "f"), ("m.py", "lost"), ("x.py", "both"), ("q.py", "none"), ("o.py", "two"))], "repo string, sha string, path string, symbol string")
+    got = {r.symbol: (r.status, r.pages, r.detail) for r in ingest.live_closures(files, roots).collect()}
+    assert got == {"f": ("ok", 4, None), "lost": ("free names", 1, "nowhere_at_all"), "both": ("clash", 3, "q"), "none": ("not found", None, None), "two": ("ok", 5, None)}
+    assert ingest.live_closures(files, roots, most_pages=2).where("symbol = 'f'").first().status == "over budget"
+    head = extraction.extract(files)
+    at = {(r.path, r.symbol): r.identity for r in head.where("kind is not null").collect()}
+    asked = spark.createDataFrame([("h/o/r", "m.py", "f", "0"), ("h/o/r", "old.py", "q", at["p.py", "q"]), ("h/o/r", "old.py", None, at["n.py", None]), ("h/o/r", "old.py", "x", "0")], "repo string, path string, symbol string, identity string")
+    told = {(r.path, r.symbol): (r.rule, r.to_path, r.to_symbol) for r in ingest.latest_in_tree(asked, head).collect()}
+    assert told == {("m.py", "f"): ("place", "m.py", "f"), ("old.py", "q"): ("identity", "p.py", "q"), ("old.py", None): ("identity", "n.py", None), ("old.py", "x"): (None, None, None)}
+
+
+def test_tokens_and_declared_names(spark, tmp_path):
+    from pagemill.operators.extraction import tokens
+    from pagemill.sources.registry import declared, read_names
+
+    got = [tuple(r) for r in tokens(spark.createDataFrame([("a", "int x; // no\n\n#define A 1\nchar *s = \"q\";\n"), ("n", None)], "file string, text string")).orderBy("position").collect()]
+    assert got[:3] == [("a", 1, 0, "keyword", "int"), ("a", 1, 1, "identifier", "x"), ("a", 1, 2, "punctuation", ";")] and got[3][1:] == (3, 3, "directive", "#define A 1") and got[7][1] == 4 and got[8][3:] == ("string", '"q"')
+    run = repo(tmp_path / "r")
+    (tmp_path / "r/own.toml").write_text('names = ["a.b", "a.c", 3]\n')
+    run("add", ".")
+    run("commit", "-qm", "names")
+    assert declared(str(tmp_path / "r"), "HEAD", "own.toml")[1] == ["a.b", "a.c"] and declared(str(tmp_path / "r"), "HEAD~1", "own.toml")[1] == []
+    assert read_names(spark, str(tmp_path / "nowhere"), "main").collect() == []
+
+
+def test_fixed_links():
+    page = "def f():\n    return 1\n"
+    stamp = T.digest(page)[:12]
+    lines = f"# link: a.b@v1 id={stamp}\ndef f():\n    return 1\n\n\n# link: a.c@v1 id={stamp}\ndef f():\n    return 2\n\n\n# link: a.d@v1\n\n# link-see: a.e@v1\n".split("\n")
+    out, told = T.fixed(lines, {"a.b@v1": T.digest(page), "a.c@v1": T.digest(page)})
+    assert [x[2] for x in told] == ["ok", "fixed", "unexpanded", "unresolvable"] and out[5].startswith("# link-from: a.c@v1") and out[0] == lines[0]
+    assert T.block_status(lines, T.link_lines(lines)[0], "f" * 64) == "mismatch"
