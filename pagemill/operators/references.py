@@ -8,7 +8,7 @@ were valid) before they are merged; adaptive execution splits a key that draws v
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.tables import identity_of, is_sha, latest_revision
@@ -212,53 +212,95 @@ def reference_status(links: DataFrame, revisions: DataFrame, definitions: DataFr
     return got.select("link_seq", "target", status.alias("status")).distinct()
 
 
-def reference_statuses(links: DataFrame, revisions: DataFrame, definitions: DataFrame, locations: DataFrame, names: DataFrame) -> DataFrame:
-    """Distinct (ref_table, ref_key, target, repo, sha, kind, status, month) of the references of every kind that ``orphan_references`` decides.
+def _digest(*columns) -> F.Column:
+    """Sixteen bytes that stand for some texts: long keys are merged by these."""
+    return F.unhex(F.md5(F.concat_ws("\x1d", *columns)))
 
-    'late', 'deleted' and 'live' are told by the first crawl that saw the record and by whether the newest
-    revision of a repository holds it, as in ``reference_status``. A place without a sha, or a module, that the
-    revision asked for lacks is 'late' or 'deleted' if another revision of its repository has it, by its first crawl.
-    'missing' is what no revision has. Registry names and versions carry no dates: 'missing' or 'live'.
+
+def _dated_parents(revisions: DataFrame, definitions: DataFrame, locations: DataFrame, names: DataFrame, short: list[int]) -> DataFrame:
+    """(k, value, first, current) of every record that a reference may name, and of places and modules in any revision of their repository.
+
+    ``k`` stands for kind and key. ``first`` is the first crawl of a revision that holds the record, ``current`` whether the newest one of a
+    repository does. Rows repeat; what is made of them does not count them.
     """
     crawl = revisions.groupBy("repo", "sha").agg(F.max("crawled_at").alias("crawled_at"))
     newest = latest_revision(revisions).select("repo", F.col("sha").alias("newest"))
-    dated = crawl.join(newest, "repo")
-    spans = [F.min("crawled_at").alias("first"), F.max((F.col("sha") == F.col("newest")).cast("int")).alias("current")]
-    seen = locations.select("identity", "repo", "sha", "path", "symbol").distinct().join(dated, ["repo", "sha"])
-    keys = parent_keys(definitions, locations, names, _short(links)).distinct()
-    by_identity = seen.groupBy(F.col("identity").alias("of")).agg(*spans)
-    by_path = seen.where("path is not null").groupBy(_place("repo", "path", "symbol").alias("of")).agg(*spans)
-    of = F.when(F.col("kind") == "identity", F.col("key")).when(F.col("kind") == "prefix", F.col("value")).when(F.col("kind") == "place", F.expr(f"substr(key, {PREFIX + 2})"))
-    keys = keys.withColumn("of", of)
-    ids = keys.where("kind in ('identity', 'prefix')").join(by_identity, "of", "left")
-    # the place of one revision was there from its crawl on
-    at = seen.where("path is not null").groupBy(F.concat_ws("\x1f", F.substring("sha", 1, PREFIX), _place("repo", "path", "symbol")).alias("key"), F.col("sha").alias("value")).agg(F.min("crawled_at").alias("first"))
-    places = keys.where("kind = 'place'").join(at, ["key", "value"], "left").join(by_path.select("of", "current"), "of", "left")
-    others = keys.where("kind not in ('identity', 'prefix', 'place')").withColumns({"first": F.lit(None).cast("string"), "current": F.lit(None).cast("int")})
-    any_path = by_path.select(F.lit("place of any").alias("kind"), F.col("of").alias("key"), F.lit("").alias("value"), "first", "current")
-    module = F.split("key", "\x1f")
-    any_module = (
-        keys.where("kind = 'module'").select(module[0].alias("repo"), module[1].alias("sha"), module[2].alias("stem"), "value").join(dated, ["repo", "sha"])
-        .groupBy(F.lit("module of any").alias("kind"), F.concat_ws("\x1f", "repo", "stem").alias("key"), "value").agg(*spans)
-    )
-    columns = ["kind", "key", "value", "first", "current"]
-    parents = ids.select(*columns).unionByName(places.select(*columns)).unionByName(others.select(*columns)).unionByName(any_path).unionByName(any_module)
+    dated = crawl.join(newest, "repo").select("repo", "sha", "crawled_at", (F.col("sha") == F.col("newest")).cast("int").alias("now"))
+    spans = [F.min("crawled_at").alias("first"), F.max("now").alias("current")]
+    seen = locations.select("identity", "repo", "sha", "path", "symbol").join(dated, ["repo", "sha"])
+    none = [F.lit(None).cast("string").alias("first"), F.lit(None).cast("int").alias("current")]
+    kind = lambda name, *key: _digest(F.lit(name), *key).alias("k")
+
+    by_identity = seen.where("identity is not null").groupBy("identity").agg(*spans)
+    ids = definitions.select("identity").where("identity is not null").distinct().join(by_identity, "identity", "left")
+    prefixes = F.array_distinct(F.array(*[F.substring("identity", 1, n) for n in sorted({*short, PREFIX})]))
+    out = ids.select(kind("identity", F.col("identity")), F.lit("").alias("value"), "first", "current")
+    out = out.unionByName(ids.select(F.explode(prefixes).alias("p"), "identity", "first", "current").select(kind("prefix", F.col("p")), F.col("identity").alias("value"), "first", "current"))
+
+    # one exchange by place tells both what a revision held and what any did
+    at = seen.where("path is not null").select(kind("place of any", _place("repo", "path", "symbol")), kind("place", F.concat_ws("\x1f", F.substring("sha", 1, PREFIX), _place("repo", "path", "symbol"))).alias("at"), "sha", "crawled_at", "now")
+    spots = Window.partitionBy("k")
+    at = at.select("*", F.min("crawled_at").over(spots).alias("first"), F.max("now").over(spots).alias("current"))
+    out = out.unionByName(at.groupBy("k").agg(F.first("first").alias("first"), F.first("current").alias("current")).select("k", F.lit("").alias("value"), "first", "current"))
+    out = out.unionByName(at.select(F.col("at").alias("k"), F.col("sha").alias("value"), F.col("crawled_at").alias("first"), "current"))
+
+    last, stem = F.substring_index("path", "/", -1), F.expr("left(path, length(path) - 3)")
+    stems = F.array_distinct(F.array(F.substring_index(stem, "/", -1), F.when(last == "__init__.py", F.element_at(F.split(F.concat(F.lit("/"), "path"), "/"), -2)).otherwise(F.substring_index(stem, "/", -1))))
+    py = seen.where("path like '%.py' and symbol is null").select("repo", "sha", "path", "crawled_at", "now", F.explode(stems).alias("stem"))
+    # a file may be known by its symbols alone
+    inner = seen.where("path like '%.py' and symbol is not null").select("repo", "sha", "path", "crawled_at", "now").distinct().select("repo", "sha", "path", "crawled_at", "now", F.explode(stems).alias("stem"))
+    py = py.unionByName(inner).withColumn("value", F.concat(F.lit("/"), "path"))
+    out = out.unionByName(py.select(kind("module", F.concat_ws("\x1f", "repo", "sha", "stem")), "value", *none).distinct())
+    out = out.unionByName(py.groupBy(kind("module of any", F.concat_ws("\x1f", "repo", "stem")), "value").agg(*spans))
 
-    cols = ["ref_table", "ref_key", "target", "repo", "sha", "said"]
-    exact = link_references(links, revisions).unionByName(import_references(revisions).withColumn("at_latest", F.lit(False))).withColumn("said", F.col("kind")).distinct()
-    loose = exact.where("at_latest or kind = 'module'").withColumns(
-        {"kind": F.concat("kind", F.lit(" of any")), "key": F.when(F.col("kind") == "place", F.expr(f"substr(key, {PREFIX + 2})")).otherwise(F.concat_ws("\x1f", module[0], module[2])), "starts": F.lit("")}
-    )
-    met = merge_references(exact.unionByName(loose), parents, "left")
-    own = F.col("r.kind") == F.col("r.said")
-    got = met.groupBy(*[F.col(f"r.{c}").alias(c) for c in cols]).agg(
-        F.max(own & F.col("p.kind").isNotNull()).alias("known"), F.min(F.when(own, F.col("p.first"))).alias("first"), F.max(F.when(own, F.col("p.current"))).alias("current"), F.min(F.when(~own, F.col("p.first"))).alias("elsewhere")
+    named = names.where("name is not null")
+    out = out.unionByName(named.select(kind("name", F.col("name")), F.lit("").alias("value"), *none).distinct())
+    labels = named.where("versions is not null").select("name", F.explode(F.map_keys("versions")).alias("label"))
+    return out.unionByName(labels.select(kind("version", F.concat_ws("\x1f", "name", "label")), F.lit("").alias("value"), *none).distinct())
+
+
+_STATUS = ["ref_table", "ref_key", "target", "repo", "sha", "kind"]
+
+
+def _status_rows(links: DataFrame, revisions: DataFrame, definitions: DataFrame, locations: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References with a digest of their own columns (``rid``), and (rid, ref_table, status, month) of each."""
+    crawl = revisions.groupBy("repo", "sha").agg(F.max("crawled_at").alias("crawled_at"))
+    refs = link_references(links, revisions).unionByName(import_references(revisions).withColumn("at_latest", F.lit(False)))
+    refs = refs.withColumn("rid", _digest("ref_table", "ref_key", F.coalesce("target", F.lit("\x1e")), F.coalesce("repo", F.lit("\x1e")), F.coalesce("sha", F.lit("\x1e")), "kind"))
+    dated = refs.join(crawl, ["repo", "sha"], "left")
+    module = F.split("key", "\x1f")
+    exact = dated.select("rid", "ref_table", "crawled_at", F.lit(True).alias("own"), F.when(F.col("key").isNotNull(), _digest("kind", "key")).alias("k"), "starts", "ends")
+    any_key = F.when(F.col("kind") == "place", F.expr(f"substr(key, {PREFIX + 2})")).otherwise(F.concat_ws("\x1f", module[0], module[2]))
+    loose = dated.where("(at_latest or kind = 'module') and key is not null").select("rid", "ref_table", "crawled_at", F.lit(False).alias("own"), _digest(F.concat("kind", F.lit(" of any")), any_key).alias("k"), F.lit("").alias("starts"), "ends")
+    r, p = exact.unionByName(loose).alias("r"), _dated_parents(revisions, definitions, locations, names, _short(links)).hint("merge").alias("p")
+    met = r.join(p, F.expr("r.k = p.k and startswith(p.value, r.starts) and endswith(p.value, r.ends)"), "left")
+    own = F.col("r.own")
+    got = met.groupBy(F.col("r.rid").alias("rid")).agg(
+        F.first("r.ref_table").alias("ref_table"), F.first("r.crawled_at").alias("crawled_at"), F.max(own & F.col("p.k").isNotNull()).alias("known"), F.min(F.when(own, F.col("p.first"))).alias("first"),
+        F.max(F.when(own, F.col("p.current"))).alias("current"), F.min(F.when(~own, F.col("p.first"))).alias("elsewhere"),
     )
     status = (
         F.when(F.col("known"), F.when(F.col("first") > F.col("crawled_at"), "late").when(F.col("current") == 0, "deleted").otherwise("live"))
         .when(F.col("elsewhere") > F.col("crawled_at"), "late").when(F.col("elsewhere").isNotNull(), "deleted").otherwise("missing")
     )
-    return got.join(crawl, ["repo", "sha"], "left").select("ref_table", "ref_key", "target", "repo", "sha", F.col("said").alias("kind"), status.alias("status"), F.coalesce(F.substring("crawled_at", 1, 7), F.lit("")).alias("month"))
+    return refs, got.select("rid", "ref_table", status.alias("status"), F.coalesce(F.substring("crawled_at", 1, 7), F.lit("")).alias("month"))
+
+
+def reference_statuses(links: DataFrame, revisions: DataFrame, definitions: DataFrame, locations: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (ref_table, ref_key, target, repo, sha, kind, status, month) of the references of every kind that ``orphan_references`` decides.
+
+    'late', 'deleted' and 'live' are told by the first crawl that saw the record and by whether the newest
+    revision of a repository holds it, as in ``reference_status``. A place without a sha, or a module, that the
+    revision asked for lacks is 'late' or 'deleted' if another revision of its repository has it, by its first crawl.
+    'missing' is what no revision has. Registry names and versions carry no dates: 'missing' or 'live'.
+    """
+    refs, told = _status_rows(links, revisions, definitions, locations, names)
+    return refs.select("rid", *_STATUS).distinct().join(told.drop("ref_table"), "rid").drop("rid")
+
+
+def statuses_by_month(links: DataFrame, revisions: DataFrame, definitions: DataFrame, locations: DataFrame, names: DataFrame) -> DataFrame:
+    """``status_by_month`` of ``reference_statuses``, without bringing the references' own columns to it."""
+    return status_by_month(_status_rows(links, revisions, definitions, locations, names)[1])
 
 
 def status_by_month(statuses: DataFrame) -> DataFrame:

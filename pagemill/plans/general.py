@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.hierarchy import descendant_pairs, hierarchies
-from pagemill.operators.references import orphan_counts, orphan_references, orphan_status, reference_status, reference_statuses, status_by_month
+from pagemill.operators.references import orphan_counts, orphan_references, orphan_status, reference_status, statuses_by_month
 from pagemill.tables import identity_of, table
 
 
@@ -69,14 +69,12 @@ def p6_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_status_by_month(spark: SparkSession, d: str) -> DataFrame:
-    return status_by_month(
-        reference_statuses(
-            table(spark, d, "links", "link_seq", "target_address", "repo", "sha", "target_form", "target_name", "target_locator", "target_path", "target_rev", "target_symbol", "target_id", "target_identity"),
-            table(spark, d, "revisions", "repo", "sha", "crawled_at", "crawl_seq", "unmapped"),
-            table(spark, d, "definitions", "identity"),
-            table(spark, d, "locations", "identity", "repo", "sha", "path", "symbol"),
-            table(spark, d, "registry_names", "name", "versions"),
-        )
+    return statuses_by_month(
+        table(spark, d, "links", "link_seq", "target_address", "repo", "sha", "target_form", "target_name", "target_locator", "target_path", "target_rev", "target_symbol", "target_id", "target_identity"),
+        table(spark, d, "revisions", "repo", "sha", "crawled_at", "crawl_seq", "unmapped"),
+        table(spark, d, "definitions", "identity"),
+        table(spark, d, "locations", "identity", "repo", "sha", "path", "symbol"),
+        table(spark, d, "registry_names", "name", "versions"),
     )
 
 
