@@ -27,7 +27,7 @@ ROUNDS = (1, 1, 2, 2, 4, 4, 8, 8, 16, 16, 32, 32)
 #: and the rounds after these, by which symbols grow that are long enough to be spans themselves
 LONG_ROUNDS = (64, 64, 128, 128, 256, 256, 512, 512)
 #: so many pages are picked from the table by a broadcast list of their numbers, 8 bytes each; more are joined by shuffles alone
-FEW_PAGES = 1_000_000
+FEW_PAGES = 400_000
 #: records of a key that one task pairs with one another; larger groups are paired block by block
 BLOCK = 200
 
