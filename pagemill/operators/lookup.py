@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.links import address
 from pagemill.operators.pages import crawls, current_places, definitions_once, link_rows, locator, places, registry_entry, resolve_targets
+from pagemill.session import cut
 from pagemill.tables import identity_of, is_sha
 
 #: order of relations in lists of backlinks
@@ -19,7 +20,8 @@ def resolve(addresses: DataFrame, definitions: DataFrame, locations: DataFrame,
     status: 'found'; 'malformed' where it does not parse; 'unknown' where the index cannot tell one page, ambiguous
     prefixes included; 'no row' where a place names an identity without a definition.
     """
-    asked = addresses.select("address").where("address is not null").distinct().withColumn("a", address("address")).withColumn("link_seq", F.xxhash64("address"))
+    # each address is parsed once for all the ways in which it is looked up, which go by the address itself
+    asked = cut(addresses.select("address").where("address is not null").distinct().withColumn("a", address("address")).withColumn("link_seq", F.col("address")))
     as_links = asked.select(
         "link_seq", F.col("a.form").alias("target_form"), F.col("a.name").alias("target_name"), F.col("a.locator").alias("target_locator"), F.col("a.path").alias("target_path"), F.col("a.rev").alias("target_rev"),
         F.col("a.symbol").alias("target_symbol"), F.col("a.identity").alias("target_id"), F.lit(None).cast("string").alias("target_identity"),
@@ -107,11 +109,11 @@ def who_asked(addresses: DataFrame, definitions: DataFrame, locations: DataFrame
     of the linking page, a definition before a file. ``at`` numbers an address's backlinks: relation (is, from, see, ref), asserted first, then repository, file and line.
     """
     told = resolve(addresses, definitions, locations, revisions, names)
-    a = told.withColumn("a", address("address")).where("a is not null")
+    a = cut(told.select("address", "identity").withColumn("a", address("address")).where("a is not null"))
     at_place = a.where("a.form = 'locator'").select("address", F.col("a.locator").alias("l"), F.col("a.path").alias("p"), F.col("a.symbol").alias("s"))
     at_name = a.where("a.form = 'name'").select("address", F.col("a.name").alias("n"), F.col("a.symbol").alias("s"))
-    b = backlinks.withColumn("b", address("target_address"))
     row = ["source_identity", "repo", "file", "line", "relation", "origin", "target_address"]
+    b = cut(backlinks.select(*row, "target_identity").withColumn("b", address("target_address")))
     by_id = a.where("identity is not null").select("address", F.col("identity").alias("target_identity")).join(b, "target_identity").select("address", *row)
     by_place = at_place.join(b, F.expr("b.locator = l and b.path = p and b.symbol <=> s")).select("address", *row)
     by_name = at_name.join(b, F.expr("b.name = n and b.symbol <=> s")).select("address", *row)

@@ -123,6 +123,19 @@ SQL = {
         g AS (SELECT DISTINCT o.*, coalesce(ki.f, kp.f, km.f) f FROM o LEFT JOIN t ON o.ref_table = 'links' AND t.ref_key = o.ref_key AND t.target = o.target LEFT JOIN ki ON o.kind = 'identity' AND ki.identity = t.ti
           LEFT JOIN kp ON o.kind = 'place' AND kp.repo = t.target_locator AND kp.path = t.target_path AND kp.symbol = t.target_symbol LEFT JOIN km ON o.kind = 'module' AND km.repo = o.repo AND km.m = o.target)
         SELECT ref_table, kind, CASE WHEN f IS NULL THEN 'missing' WHEN f > seen THEN 'late' ELSE 'deleted' END status, coalesce(substr(seen, 1, 7), '') AS "month", count(*) orphans FROM g LEFT JOIN w USING (repo, sha) GROUP BY ALL""",
+    "p6_status_by_month": f"""WITH {_ORPHANS}, w AS (SELECT repo, sha, max(crawled_at) seen FROM revisions GROUP BY ALL), lw AS (SELECT DISTINCT l.identity, l.repo, l.sha, l.path, coalesce(l.symbol, chr(30)) symbol, w.seen, latest.sha = l.sha now_ FROM locations l JOIN w ON w.repo = l.repo AND w.sha = l.sha JOIN latest ON latest.repo = l.repo),
+        ki AS (SELECT d.identity, min(seen) f, max(CAST(now_ AS INTEGER)) c FROM (SELECT DISTINCT identity FROM definitions) d LEFT JOIN lw ON lw.identity = d.identity GROUP BY d.identity), kp AS (SELECT repo, path, symbol, min(seen) f, max(CAST(now_ AS INTEGER)) c FROM lw GROUP BY ALL),
+        m AS (SELECT DISTINCT repo, sha, unnest(map_keys(unmapped)) m FROM revisions), mf AS (SELECT DISTINCT repo, m FROM m),
+        ka AS (SELECT mf.repo, mf.m, lw.sha, min(lw.seen) f FROM mf JOIN lw ON lw.repo = mf.repo AND (ends_with('/' || lw.path, '/' || replace(m, '.', '/') || '.py') OR ends_with('/' || lw.path, '/' || replace(m, '.', '/') || '/__init__.py')) GROUP BY ALL), km AS (SELECT repo, m, min(f) f FROM ka GROUP BY ALL),
+        s AS (
+          SELECT 'links' t, CAST(link_seq AS VARCHAR) k, target_address g, k.repo, k.sha, ki.identity IS NOT NULL known, ki.f, ki.c, NULL e FROM k LEFT JOIN ki ON ki.identity = k.ti WHERE kind = 'identity'
+          UNION ALL SELECT 'links', CAST(link_seq AS VARCHAR), target_address, k.repo, k.sha, count(ki.identity) > 0, min(ki.f), max(ki.c), NULL FROM k LEFT JOIN ki ON substr(ki.identity, 1, 12) = substr(k.tid, 1, 12) AND starts_with(ki.identity, k.tid) WHERE kind = 'prefix' GROUP BY ALL
+          UNION ALL SELECT 'links', CAST(link_seq AS VARCHAR), target_address, k.repo, k.sha, count(lw.sha) > 0, min(lw.seen), max(kp.c), min(CASE WHEN NOT coalesce(regexp_matches(target_rev, '^[0-9a-fA-F]{{12,40}}$'), false) THEN kp.f END)
+            FROM k LEFT JOIN kp ON kp.repo = target_locator AND kp.path = target_path AND kp.symbol = coalesce(target_symbol, chr(30)) LEFT JOIN lw ON lw.repo = kp.repo AND lw.path = kp.path AND lw.symbol = kp.symbol AND starts_with(lw.sha, k.rev) WHERE kind = 'place' GROUP BY ALL
+          UNION ALL SELECT 'links', CAST(link_seq AS VARCHAR), target_address, repo, sha, EXISTS (SELECT 1 FROM registry_names r WHERE r.name = k.target_name AND (kind = 'name' OR list_contains(map_keys(r.versions), k.target_rev))), NULL, NULL, NULL FROM k WHERE kind IN ('name', 'version')
+          UNION ALL SELECT 'revisions', m.repo || '@' || m.sha, m.m, m.repo, m.sha, ka.sha IS NOT NULL, NULL, NULL, km.f FROM m LEFT JOIN ka ON ka.repo = m.repo AND ka.sha = m.sha AND ka.m = m.m LEFT JOIN km ON km.repo = m.repo AND km.m = m.m),
+        z AS (SELECT DISTINCT t, k, g, s.repo, s.sha, coalesce(substr(seen, 1, 7), '') "month", CASE WHEN known THEN CASE WHEN f > seen THEN 'late' WHEN c = 0 THEN 'deleted' ELSE 'live' END WHEN e > seen THEN 'late' WHEN e IS NOT NULL THEN 'deleted' ELSE 'missing' END status FROM s LEFT JOIN w ON w.repo = s.repo AND w.sha = s.sha)
+        SELECT t ref_table, status, "month", count(*) "references" FROM z GROUP BY ALL""",
     "p6_status": """WITH crawl AS (SELECT repo, sha, max(crawled_at) seen FROM revisions GROUP BY ALL), newest AS (SELECT repo, arg_max(sha, crawl_seq) newest FROM revisions GROUP BY repo),
         held AS (SELECT DISTINCT identity, repo, sha FROM locations),
         spans AS (SELECT identity, min(crawl.seen) first, max(CASE WHEN sha = newest THEN 1 ELSE 0 END) current FROM held JOIN crawl USING (repo, sha) JOIN newest USING (repo) GROUP BY identity),

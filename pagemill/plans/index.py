@@ -529,5 +529,21 @@ SQL |= {
         off_ AS (SELECT DISTINCT repo FROM ((SELECT * FROM a EXCEPT SELECT * FROM e) UNION ALL (SELECT * FROM e EXCEPT SELECT * FROM a))), off2 AS (SELECT DISTINCT repo FROM ((SELECT * FROM f EXCEPT SELECT * FROM e) UNION ALL (SELECT * FROM e EXCEPT SELECT * FROM f)))
         SELECT repo, repo NOT IN (SELECT repo FROM off_) "strict", repo NOT IN (SELECT repo FROM off2) folded FROM r""",
 }
+_BY_ADDRESS = SQL["resolve_targets"].replace(
+    "SELECT DISTINCT link_seq, target_form, target_name, target_locator, target_path, target_rev, target_symbol, regexp_replace(lower(target_id), '^sha256:', '') tid FROM links WHERE target_identity IS NULL",
+    "SELECT DISTINCT target_address link_seq, target_form, target_name, target_locator, target_path, target_rev, target_symbol, CASE WHEN target_form = 'identity' THEN regexp_replace(lower(target_address), '^sha256:', '') END tid FROM links",
+)
+SQL["resolve_addresses"] = f"""WITH found AS ({_BY_ADDRESS}), d AS (SELECT identity, any_value(kind) kind, any_value("name") "name" FROM definitions GROUP BY identity), a AS (SELECT DISTINCT target_address, target_form FROM links WHERE target_address IS NOT NULL)
+    SELECT target_address address, CASE WHEN target_form IS NULL THEN 'malformed' WHEN target_identity IS NULL THEN 'unknown' WHEN d.identity IS NOT NULL THEN 'found' ELSE 'no row' END status, target_identity "identity", d.kind, d."name"
+    FROM a LEFT JOIN found ON found.link_seq = a.target_address LEFT JOIN d ON d.identity = found.target_identity"""
+SQL["who_by_address"] = f"""WITH who AS ({SQL["who"]}), res AS ({SQL["resolve_addresses"]}), {_CURRENT},
+    ad AS (SELECT DISTINCT target_address, target_form f, target_name n, target_locator l, target_path p, target_symbol s FROM links WHERE target_form IS NOT NULL), ask AS (SELECT DISTINCT target_address address FROM links WHERE origin = 'asserted'),
+    a AS (SELECT ask.address, f, n, l, p, s, res.identity FROM ask JOIN ad ON ad.target_address = ask.address JOIN res ON res.address = ask.address), b AS (SELECT who.*, f, n, l, p, s FROM who LEFT JOIN ad ON ad.target_address = who.target_address),
+    e AS (SELECT a.address, b.source_identity, b.repo, b.file, b.line, b.relation, b.origin, b.target_address FROM a JOIN b ON b.target_identity = a.identity
+          UNION SELECT a.address, b.source_identity, b.repo, b.file, b.line, b.relation, b.origin, b.target_address FROM a JOIN b ON a.f = 'locator' AND b.l = a.l AND b.p = a.p AND b.s IS NOT DISTINCT FROM a.s
+          UNION SELECT a.address, b.source_identity, b.repo, b.file, b.line, b.relation, b.origin, b.target_address FROM a JOIN b ON a.f = 'name' AND b.n = a.n AND b.s IS NOT DISTINCT FROM a.s),
+    h AS (SELECT identity, arg_min(repo || '/' || path || coalesce('#' || symbol, ''), (CAST(symbol IS NULL AS INTEGER), repo, path, coalesce(symbol, ''))) place FROM cur GROUP BY identity)
+    SELECT address, source_identity, place, relation, origin, target_address, CAST(row_number() OVER (PARTITION BY address ORDER BY list_position(['is', 'from', 'see', 'ref'], relation), origin <> 'asserted', repo, file, line, target_address, source_identity) AS INTEGER) "at"
+    FROM e LEFT JOIN h ON h.identity = e.source_identity"""
 SQL["coverage_totals"] = f"""SELECT *, CASE WHEN unmapped > 0 OR unread > 0 OR ignored_links > 0 THEN false WHEN unread IS NULL THEN NULL ELSE true END complete FROM (SELECT count(DISTINCT repo) repos, count(*) revisions, sum(files) files, CASE WHEN count(*) = count(skipped) THEN coalesce(sum(skipped), 0) END skipped, CASE WHEN count(*) = count(unread) THEN coalesce(sum(unread), 0) END unread,
     CASE WHEN count(*) = count(ignored_links) THEN coalesce(sum(ignored_links), 0) END ignored_links, sum(unmapped) unmapped, (SELECT count(DISTINCT link_seq) FROM links WHERE target_identity IS NULL) unresolved_targets FROM ({SQL["coverage"]}))"""
