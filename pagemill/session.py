@@ -34,3 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
 def task_slots(spark: SparkSession) -> int:
     """Cores of the cluster as far as Spark tells, at least two."""
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+#: an input of less than so many bytes a task slot is spread over all slots before Python reads it
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all task slots where the input is small: a file of one row group is otherwise one task's, however
+    many slots wait. Large inputs, and those whose size Spark does not know, stay where they are read."""
+    slots = task_slots(df.sparkSession)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(slots) if size < slots * SMALL else df
