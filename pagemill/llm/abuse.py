@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.plaintext import plain_words, sentences
-from pagemill.session import cut
+from pagemill.session import cut, spread
 
 #: labelled documents the examples are taken from, at most, and the sentences of these together; beyond either the documents least by a hash of their id
 MAX_LABELLED, MAX_SENTENCES = 20_000, 400_000
@@ -252,7 +252,7 @@ def tokenized(documents: DataFrame) -> DataFrame:
                     held.append(words)
             yield pa.RecordBatch.from_arrays([pa.array(ids, schema.types[0]), pa.array(held, schema.types[1])], schema=schema)
 
-    return documents.select("doc_id", "text").where("length(trim(text)) > 0").mapInArrow(split, "doc_id bigint, sentences array<string>")
+    return spread(documents.select("doc_id", "text").where("length(trim(text)) > 0")).mapInArrow(split, "doc_id bigint, sentences array<string>")
 
 
 def judgements(labels: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.links import LINK
+from pagemill.session import spread
 
 SCHEMA = "identity string, signature string, documentation string, code string, trivial boolean"
 
@@ -336,7 +337,7 @@ def documented_functions(definitions: DataFrame) -> DataFrame:
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, _ARROW.types)], schema=_ARROW)
 
-    return rows.mapInArrow(paired, SCHEMA)
+    return spread(rows).mapInArrow(paired, SCHEMA)
 
 
 _ARROW = pa.schema([("identity", pa.string()), ("signature", pa.string()), ("documentation", pa.string()), ("code", pa.string()), ("trivial", pa.bool_())])
@@ -359,4 +360,4 @@ def extracted_functions(files: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
-    return files.select("identity", "language", "source").mapInArrow(lexed, kinds)
+    return spread(files.select("identity", "language", "source")).mapInArrow(lexed, kinds)

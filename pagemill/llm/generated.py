@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.links import LINK
+from pagemill.session import spread
 from pagemill.tables import whole_files
 
 #: how many canonical lines a line of code holds, on average, before it counts as minified
@@ -259,7 +260,7 @@ def machine_files(definitions: DataFrame, locations: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     pages = (
-        definitions.where("kind = 'script' and identity is not null").select("identity", "language", "source")
+        spread(definitions.where("kind = 'script' and identity is not null").select("identity", "language", "source"))
         .mapInArrow(judged, "identity string, hashes boolean, verdict string, blank boolean").where("not blank").dropDuplicates(["identity", "hashes"])
     )
     folder = F.col("path").rlike(f"(?i){VENDOR_FOLDER.pattern}")

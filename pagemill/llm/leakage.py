@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.session import spread
+
 RUN = 12
 SCHEMA = "doc_id bigint, item_id bigint, words int, start int, stop int"
 #: items of at most so many characters make one automaton, which takes about 130 bytes a character in each Python worker; larger
@@ -94,7 +96,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN) -> Data
     parts = -(-2 * size // MAX_ITEM_CHARS) if size > MAX_ITEM_CHARS else 1
     if parts > MAX_PARTS or longest > MAX_ITEM_CHARS:
         raise ValueError(f"{size} characters of items, up to {longest} in one; at most {MAX_PARTS} parts of {MAX_ITEM_CHARS} are scanned for")
-    texts = documents.select("doc_id", "text").where("length(text) > 0")
+    texts = spread(documents.select("doc_id", "text").where("length(text) > 0"))
     out = None
     for part in range(parts):
         mine = own if parts == 1 else own.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)

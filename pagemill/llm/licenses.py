@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.links import LINK
 from pagemill.llm.functions_docs import _C, _PY
+from pagemill.session import spread
 from pagemill.tables import whole_files
 
 #: fixed values: the licences and the ways they are named; '' stands for licences that are not among the eight
@@ -315,10 +316,9 @@ def file_licenses(definitions: DataFrame) -> DataFrame:
             ids, langs, texts = (c.to_pylist() for c in b.columns)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([offered(x, t) for x, t in zip(langs, texts)], schema.types[1])], schema=schema)
 
+    pages = definitions.where("kind = 'script' and language in ('python', 'c') and identity is not null").select("identity", "language", "source")
     return (
-        definitions.where("kind = 'script' and language in ('python', 'c') and identity is not null")
-        .select("identity", "language", "source")
-        .mapInArrow(read, "identity string, offers array<array<string>>")
+        spread(pages).mapInArrow(read, "identity string, offers array<array<string>>")
         .dropDuplicates(["identity"])
     )
 

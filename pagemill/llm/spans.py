@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import cut
+from pagemill.session import cut, spread
 
 LEAST = 240
 #: longest symbols that a round still rewrites; a symbol ends up with at most twice the last
@@ -296,7 +296,7 @@ def _postings(pages: DataFrame, least: int) -> DataFrame:
             if group[0]:
                 yield rows(*group)
 
-    return pages.mapInArrow(named, "key bigint, check bigint, page string")
+    return spread(pages).mapInArrow(named, "key bigint, check bigint, page string")
 
 
 def candidate_pairs(pages: DataFrame, least: int = LEAST) -> DataFrame:
