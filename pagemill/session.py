@@ -37,7 +37,7 @@ def task_slots(spark: SparkSession) -> int:
 
 
 #: an input of less than so many bytes a task slot is spread over all slots before Python reads it
-SMALL = 16 << 20
+SMALL = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:

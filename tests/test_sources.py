@@ -281,3 +281,13 @@ def test_fixed_links():
     out, told = T.fixed(lines, {"a.b@v1": T.digest(page), "a.c@v1": T.digest(page)})
     assert [x[2] for x in told] == ["ok", "fixed", "unexpanded", "unresolvable"] and out[5].startswith("# link-from: a.c@v1") and out[0] == lines[0]
     assert T.block_status(lines, T.link_lines(lines)[0], "f" * 64) == "mismatch"
+
+
+def test_small_inputs_are_spread(spark, tmp_path):
+    from pagemill import session
+
+    df = spark.range(100).coalesce(1)
+    wide = session.spread(df)
+    assert wide.rdd.getNumPartitions() == session.task_slots(spark) and sorted(r.id for r in wide.collect()) == list(range(100))
+    known = session.cut(df)  # of unknown size, so left as it is
+    assert session.spread(known).rdd.getNumPartitions() == known.rdd.getNumPartitions()
