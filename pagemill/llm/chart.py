@@ -1,10 +1,11 @@
-"""Chart parsing of token sequences against a grammar, exact and error-correcting."""
+"""Chart parsing of token sequences against a grammar, and their cheapest repairs."""
 
 from __future__ import annotations
 
-import heapq
 from functools import lru_cache
-from itertools import count, product
+from itertools import product
+
+from pagemill.llm.repair import Repairer
 
 
 class Grammar:
@@ -24,7 +25,8 @@ class Grammar:
             kinds = [alt[0] for alt in self.rules.pop(name)]
             self.rules = {k: [new for alt in alts for new in product(*[kinds if x == name else [x] for x in alt])] for k, alts in self.rules.items()}
         self.accepts = lru_cache(maxsize=100_000)(self._accepts)
-        self.repair = lru_cache(maxsize=20_000)(self._repair)
+        self._repaired = lru_cache(maxsize=20_000)(self._repair)
+        self._repairer: Repairer | None = None
 
     def _accepts(self, start: str, tokens: tuple[str, ...]) -> bool:
         """Whether ``start`` derives the tokens (Earley's chart, no edits)."""
@@ -66,61 +68,12 @@ class Grammar:
                     chart[at + 1][name, right, dot + 1, origin] = None
         return any((start, r, len(r), 0) in chart[-1] for r in rules[start])
 
-    def _repair(self, start: str, tokens: tuple[str, ...], most: int = 3) -> tuple[int, tuple[int, ...]]:
-        """The least number of edits (insert, delete, replace a token) after which ``start`` derives the tokens.
-
-        Returns the number and the token positions of the edits. Charts are filled in order of cost, so the
-        first full parse is the cheapest. Costs above ``most`` come back as ``most + 1``, without positions.
-        """
-        rules, n = self.rules, len(tokens)
-        best: dict[tuple, int] = {}
-        spans: dict[tuple[str, int], list[tuple[int, int, tuple]]] = {}
-        waits: dict[tuple[str, int], list[tuple]] = {}
-        heap: list[tuple] = []
-        tick = count()
+    def repair(self, start: str, tokens: tuple[str, ...]) -> tuple[int, tuple[int, ...]]:
+        """The least number of edits (insert, delete, replace a token) after which ``start`` derives the tokens, and the
+        token positions of such edits, in order."""
+        return (self._repaired if len(tokens) <= 64 else self._repair)(start, tokens)  # long ones are seldom met twice
 
-        def push(cost: int, item: tuple, edits: tuple) -> None:
-            if cost <= most and best.get(item, most + 1) > cost:
-                best[item] = cost
-                heapq.heappush(heap, (cost, next(tick), item, edits))
-
-        for r in rules[start]:
-            push(0, (start, r, 0, 0, 0), ())
-        closed = set()
-        steps = 0
-        while heap and steps < 60_000:
-            steps += 1
-            cost, _, item, edits = heapq.heappop(heap)
-            if item in closed:
-                continue
-            closed.add(item)
-            name, right, dot, origin, at = item
-            if dot == len(right):
-                if name == start and origin == 0:
-                    if at == n:
-                        return cost, edits
-                    push(cost + 1, (name, right, dot, origin, at + 1), (*edits, at))
-                spans.setdefault((name, origin), []).append((at, cost, edits))
-                for parent, c2, e2 in waits.get((name, origin), ()):
-                    push(c2 + cost, (parent[0], parent[1], parent[2] + 1, parent[3], at), (*e2, *edits))
-                continue
-            symbol = right[dot]
-            if symbol in rules:
-                key = (symbol, at)
-                if key not in waits:
-                    waits[key] = []
-                    for r in rules[symbol]:
-                        push(0, (symbol, r, 0, at, at), ())
-                waits[key].append((item, cost, edits))
-                for to, c2, e2 in spans.get(key, ()):
-                    push(cost + c2, (name, right, dot + 1, origin, to), (*edits, *e2))
-                continue
-            moved = (name, right, dot + 1, origin)
-            if at < n:
-                if symbol == tokens[at]:
-                    push(cost, (*moved, at + 1), edits)
-                else:
-                    push(cost + 1, (*moved, at + 1), (*edits, at))
-                push(cost + 1, (name, right, dot, origin, at + 1), (*edits, at))
-            push(cost + 1, (*moved, at), (*edits, at))
-        return most + 1, ()
+    def _repair(self, start: str, tokens: tuple[str, ...]) -> tuple[int, tuple[int, ...]]:
+        if self._repairer is None:
+            self._repairer = Repairer(self.rules)
+        return self._repairer.repair(start, tokens)

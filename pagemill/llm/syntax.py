@@ -2,8 +2,8 @@
 
 A file is lexed; brackets are matched and every bracketed group is folded into one
 token, so that a statement or group becomes a short token sequence. Each sequence is parsed
-by chart; where that fails, the cheapest repair is found by error-correcting chart
-parsing. A file whose repairs cost anything is flagged, and where the edits lie tells
+by chart; where that fails, the cheapest repair of the whole sequence is found, whatever its
+length and cost. A file whose repairs cost anything is flagged, and where the edits lie tells
 truncation, merge conflict and wrong language apart.
 """
 
@@ -123,7 +123,8 @@ C = Grammar(
     list -> item | item , list
     item -> assign | param | abstract | { | cond : cond | specs : assign | specs abstract : assign | default : assign
     param -> specs | specs declarator | specs declarator N | specs abstract | ... | specs declarator attr | specs declarator = value
-    abstract -> * | * abstract | q abstract | * q | [ | ( | ( ( | abstract [
+    abstract -> bare | * abstract | q abstract
+    bare -> * | * q | [ | ( | ( ( | bare [
     header -> clause ; clause | clause ; ; | ; clause | ; ;
     header -> ; ; expr | ; expr ; | ; expr ; expr | clause ; ; expr | clause ; expr ; | clause ; expr ; expr | id list
     clause -> expr | specs inits
@@ -168,10 +169,8 @@ _C_KIND |= dict.fromkeys(["struct", "union", "enum"], "record") | dict.fromkeys(
 _C_KIND |= dict.fromkeys(["sizeof", "_Alignof", "alignof", "__alignof__"], "sizeof") | dict.fromkeys(["asm", "__asm__", "__asm"], "asm") | dict.fromkeys(["_Static_assert", "static_assert"], "assert") | dict.fromkeys(["typeof", "__typeof__", "typeof_unqual"], "typeof")
 _C_CONTROL = frozenset("if else while do for switch case default return break continue goto".split())
 _CONFLICT = re.compile(r"^(?:<{7}(?: .*)?|={7}|>{7}(?: .*)?)$", re.M)
-#: so many failing pieces of one file are repaired; each further one adds one edit, the least it can
-REPAIRED = 6
-#: and sequences of at most so many tokens, once chains of operators and elements are made short; a longer one that fails counts as one edit
-LONGEST = 60
+#: more failing pieces than these in a file are many, which tells a wrong language where edits are less dense
+MANY = 6
 
 
 class Edits:
@@ -197,18 +196,26 @@ class Edits:
 
     def check(self, grammar: Grammar, start: str, tokens: list[tuple]) -> None:
         """Parse one folded sequence; tokens are (kind, offset, ...)."""
-        kinds = _c_kinds(tokens) if grammar is C else tuple(t[0] for t in tokens)
-        kept = _shortened(kinds) if grammar is PYTHON or start in ("statement", "list", "inited") else range(len(kinds))
-        kinds = tuple(kinds[k] for k in kept)
-        if grammar.accepts(start, kinds):
-            return
-        self.pieces += 1
-        at = tokens[0][1]
-        if self.pieces > REPAIRED or len(kinds) > LONGEST:
-            self.add(at)
-            return
-        cost, edits = grammar.repair(start, kinds)
-        self.add(tokens[kept[min(edits[0], len(kinds) - 1)]][1] if edits else at, max(1, cost))
+        if not _accepted(grammar, start, tokens):
+            self.mend(grammar, start, tokens)
+
+    def mend(self, grammar: Grammar, start: str, tokens: list[tuple], pieces: int = 1) -> None:
+        """Add the cheapest repair of a whole sequence, of any length and cost; ``pieces`` of it do not parse."""
+        cost, edits = grammar.repair(start, _kinds(grammar, tokens))
+        if cost:
+            self.pieces += pieces
+        for k in edits:
+            self.add(tokens[min(k, len(tokens) - 1)][1])
+
+
+def _kinds(grammar: Grammar, tokens: list[tuple]) -> tuple[str, ...]:
+    return _c_kinds(tokens) if grammar is C else tuple(t[0] for t in tokens)
+
+
+def _accepted(grammar: Grammar, start: str, tokens: list[tuple]) -> bool:
+    kinds = _kinds(grammar, tokens)
+    kept = _shortened(kinds) if grammar is PYTHON or start in ("statement", "list", "inited") else range(len(kinds))
+    return grammar.accepts(start, tuple(kinds[k] for k in kept))
 
 
 _OPERANDS = frozenset("n N a k c 0 s ( [ {".split())
@@ -356,18 +363,18 @@ def _py_group(start: str, kids: list[list], edits: Edits, at: int, bracket: str,
         piece: list[tuple[str, int]] = []
         form = {"paren": "star", "list": "star", "args": "arg", "brace": "pair" if ":" in kinds or "**" in kinds else "star"}[start]
         parameters = 0  # lambdas whose parameters are not over: their commas separate no elements
+        failing = 0
         for tok in [*tokens, (",", at)]:
             parameters += (tok[0] == "lambda") - (tok[0] == ":" and parameters > 0)
             if tok[0] != "," or parameters:
                 piece.append(tok)
-            elif piece:
-                edits.check(PYTHON, form, piece)
-                piece = []
-            elif tok is not tokens[-1] and tok[1] != at:
-                edits.add(tok[1])
+            else:
+                failing += not _accepted(PYTHON, form, piece) if piece else tok[1] != at
                 piece = []
         if piece:
-            edits.check(PYTHON, start, piece)
+            failing += not _accepted(PYTHON, start, piece)
+        if failing:  # elements tell that it fails, the whole what repairs it
+            edits.mend(PYTHON, start, tokens, failing)
         return
     edits.check(PYTHON, start, tokens)
 
@@ -573,14 +580,15 @@ def _c_sequence(start: str, node: list, edits: Edits) -> None:
     if len(kinds) > 24 and start in ("inited", "list", "enums"):
         piece: list[tuple] = []
         form = {"inited": "entry", "list": "item", "enums": "enum"}[start]
+        failing = 0
         for k, t in enumerate([*tokens, (",", node[1], None)]):
             if t[0] != ",":
                 piece.append(t)
-            elif piece:
-                edits.check(C, form, piece)
+            else:
+                failing += not _accepted(C, form, piece) if piece else k < len(tokens)
                 piece = []
-            elif k < len(tokens):
-                edits.add(t[1])
+        if failing:  # elements tell that it fails, the whole what repairs it
+            edits.mend(C, start, tokens, failing)
         return
     if start == "list" and C.accepts("specs", _c_kinds(tokens)):
         return
@@ -854,7 +862,7 @@ def repairs(language: str, source: str | None) -> tuple[int, str | None]:
     total = source.rstrip().count("\n") + 1
     if lines[0] >= total:
         return edits.cost, "truncation"
-    if len(lines) >= max(2, 0.25 * total) or edits.pieces > REPAIRED and len(lines) > 0.15 * total:
+    if len(lines) >= max(2, 0.25 * total) or edits.pieces > MANY and len(lines) > 0.15 * total:
         return edits.cost, "mismatch"
     return edits.cost, "error"
 
@@ -924,8 +932,8 @@ def unparsed_pages(definitions: DataFrame) -> DataFrame:
 def invalid_files(definitions: DataFrame, locations: DataFrame, revisions: DataFrame) -> DataFrame:
     """(repo, sha, path, language, cost, cause) of the files that are not valid in their language.
 
-    ``cost`` is the number of edits that repair the page (each statement's repair is counted up to
-    four, and one for each statement beyond the first few that fail), ``cause`` as in ``repairs``. Files that only the
+    ``cost`` is the number of edits that repair the page (one for each bracket, block or character out of place, and the
+    least that each statement or group takes, whatever its length), ``cause`` as in ``repairs``. Files that only the
     notes report have a null cost, cause 'reported', and the language of their suffix ('' if it is another).
     Null or empty sources parse; places of pages without a row count only where reported; repeated rows count once.
     """

@@ -3,6 +3,7 @@
 import ast
 import random
 import warnings
+from functools import cache
 
 import pytest
 
@@ -10,6 +11,7 @@ from pagemill.llm import functions_docs as D
 from pagemill.llm import generated as G
 from pagemill.llm import licenses as K
 from pagemill.llm import syntax as S
+from pagemill.llm.chart import Grammar
 
 HAND = '"""Helpers for generated tag reports; do not edit the late relay by hand."""\n\nimport os\n\n\ndef f(a):\n    """Says what it does here."""\n    if a:\n        return os.path.join(a, "b")\n    return None\n\n\ndef g(b, c):\n    for x in b:\n        c += x\n    return c\n'
 
@@ -157,6 +159,37 @@ def test_causes_and_least_cost():
     assert S.PYTHON.repair("line", ("n", "=", "n", "n"))[0] == 1 and S.PYTHON.repair("line", ("n", "=", "n"))[0] == 0
 
 
+@pytest.mark.parametrize(
+    "language, source, want",
+    [
+        ("python", "a b c d " * 10 + "\n", 20), ("python", "a b " * 35 + "\n", 35), ("python", "a b " * 2500 + "\n", 2500), ("python", "a b c d e f g h i j\n" * 12, 60),
+        ("python", "def f(" + "1, " * 40 + "): pass\n", 40), ("python", "f(" + "a b c d e f, " * 12 + ")\n", 36), ("c", "int f(void)\n{\n" + "    a = 1 2 3 4 5;\n" * 12 + "}\n", 24), ("c", "int x = a" + " b" * 60 + " : c" * 60 + ";\n", 31),
+        ("c", "int x[] = { " + "1 2 3, " * 40 + "};\n", 40), ("c", "int f(void) { g(a ? b, c : d, " + "e, " * 12 + "h); }\n", 0), ("c", "int x = " + "a ? " * 100 + "b c" + " : d" * 100 + ";\n", 1),
+    ],
+)
+def test_no_piece_or_edit_is_left_out(language, source, want):
+    assert S.repairs(language, source)[0] == want
+
+
+def test_repairs_are_the_cheapest():
+    grammar = Grammar("e -> b | b ? e : e | - e\nb -> x | l | x + b\nl -> x [ | l [")
+    kinds, r = "x+?:-[", random.Random(5)
+
+    @cache
+    def cost(tokens):
+        return grammar.repair("e", tokens)[0]
+
+    for _ in range(60):
+        tokens = tuple(r.choices(kinds + ":?", k=r.randrange(9)))
+        cuts = [(tokens[:i], tokens[i:]) for i in range(len(tokens) + 1)]
+        near = [a + b[1:] for a, b in cuts if b] + [a + (k,) + b for a, b in cuts for k in kinds] + [a + (k,) + b[1:] for a, b in cuts if b for k in kinds]
+        assert (cost(tokens) == 0) == grammar.accepts("e", tokens) and len(grammar.repair("e", tokens)[1]) == cost(tokens)
+        # no edit saves more than one, and some edit saves one: that is the distance
+        assert not cost(tokens) or min(map(cost, near)) == cost(tokens) - 1
+    # calls inside calls, as deep as it takes
+    assert cost(tuple("x" + "?x" * 40 + ":x" * 40)) == 0 and cost(tuple("x" + ":x" * 40)) == 20
+
+
 def test_invalid_files(spark):
     defs = spark.createDataFrame([("a", "python", "script", "x = (\n", 1), ("a", "python", "script", "x = (\n", 1), ("b", "python", "script", None, 1), ("c", "text", "script", "x = (", 1), ("d", "c", "script", "int x;\n", 1)], "identity string, language string, kind string, source string, cost int")
     locs = spark.createDataFrame([(i, "r", "s", f"{i}.py", None) for i in "aabcd"], "identity string, repo string, sha string, path string, symbol string")
